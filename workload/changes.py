@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.rows import computed_once
 from tidemark.schemas import ENTITIES, Entity
+from tidemark.streaming.landing import project
 
 PARTITIONS = 6  # Kafka partitions per topic
 SLOTS = 8       # offsets reserved per key
@@ -145,26 +147,27 @@ def kafka_records(spark: SparkSession, sf_dir: str, entity: Entity) -> DataFrame
         op.alias("op"),
         (ts_ms + 250).alias("ts_ms"),
     )
-    keep_nulls = {"ignoreNullFields": "false"}
-    value = F.when(F.col("kind") == "F", F.to_json(change, keep_nulls)).otherwise(
-        F.to_json(F.struct(change.alias("payload")), keep_nulls)
-    )
     place = F.when(F.col("mirrored"), SLOTS - 1 - F.col("slot")).otherwise(F.col("slot"))
-    rows = changes(spark, sf_dir, entity)
-    return rows.select(
+    rows = changes(spark, sf_dir, entity).select(
         F.lit(entity.topic).alias("topic"),
         F.pmod("k", F.lit(PARTITIONS)).cast("int").alias("partition"),
-        (F.floor(F.col("k") / PARTITIONS) * SLOTS + place).cast("bigint").alias("offset"),
+        (F.expr(f"k div {PARTITIONS}") * SLOTS + place).alias("offset"),
         F.timestamp_add("SECOND", F.lit(1), _hours(F.col("slot"))).alias("timestamp"),
         F.to_json(F.struct(F.col("id").alias(entity.key))).cast("binary").alias("key"),
-        F.when(F.col("slot") != TOMBSTONE, value).cast("binary").alias("value"),
+        (F.col("slot") == TOMBSTONE).alias("tombstone"),
+        F.col("kind"),
+        change.alias("change"),
     )
+    bare = F.to_json("change", {"ignoreNullFields": "false"})
+    told = rows.withColumn("told", F.when(~F.col("tombstone"), bare))
+    value = F.when(F.col("kind") == "F", F.col("told")).otherwise(
+        F.concat(F.lit('{"payload":'), F.col("told"), F.lit("}")))
+    kept = ("topic", "partition", "offset", "timestamp", "key")
+    return computed_once(told, F.struct(value.cast("binary").alias("value")), *kept)
 
 
 def raw_records(spark: SparkSession, sf_dir: str, entity: Entity) -> DataFrame:
     """The same records in landing columns, before any ingestion stamp."""
-    from tidemark.streaming.landing import project
-
     return project(kafka_records(spark, sf_dir, entity))
 
 

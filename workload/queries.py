@@ -20,7 +20,8 @@ from tidemark.plans.publish import PublicationRejected, Publisher
 from tidemark.schemas import LANDING_DATE, ORDERS, PAYMENTS, REFUNDS, Entity
 from tidemark.session import configure, scratch, written
 from tidemark.sources import tables
-from tidemark.sources.layers import file_layout, files_of, landing_scan, run_scan
+from tidemark.sources import layers
+from tidemark.sources.layers import files_of, landing_scan, run_scan
 from tidemark.sources.streams import file_stream
 from tidemark.streaming.landing import catch_up, project
 from workload import stages
@@ -324,9 +325,9 @@ def layer_reconcile(spark, sf_dir):
 
 
 @query
-def file_layout_listing(spark, sf_dir):
+def file_layout(spark, sf_dir):
     root = stages.landing(spark, sf_dir, ORDERS, scattered=True)
-    return file_layout(spark, root)
+    return layers.file_layout(spark, root)
 
 
 @query
