@@ -1,0 +1,104 @@
+from datetime import date
+
+import pytest
+from helpers import at, change, image
+from pyspark.sql import functions as F
+
+from tidemark.operators import current as state
+from tidemark.plans.consolidate import Consolidation
+from tidemark.plans.publish import Publisher
+from tidemark.schemas import KAFKA_RECORD, LANDING_DATE, ORDERS
+from tidemark.streaming.landing import land_batch
+
+D1, D2, D3 = date(2024, 5, 1), date(2024, 5, 2), date(2024, 5, 3)
+
+
+def send(spark, root, day, changes):
+    rows = [(ORDERS.topic, 0, offset, at(day), b"k", value and value.encode())
+            for offset, value in changes]
+    land_batch(spark.createDataFrame(rows, KAFKA_RECORD).coalesce(1), root, F.lit(at(day)))
+
+
+@pytest.fixture
+def job(spark, tmp_path):
+    root = str(tmp_path / "landing")
+    send(spark, root, 1, [(0, change("c", after=image("1"), lsn=10)),
+                          (1, change("c", after=image("2"), lsn=11)),
+                          (2, change("u", after=image("1", "SHIPPED"), lsn=30))])
+    send(spark, root, 2, [(3, change("u", after=image("1", "CONFIRMED"), lsn=20)),  # out of order
+                          (4, change("d", before=image("2"), lsn=40)), (5, None)])
+    send(spark, root, 3, [(4, change("d", before=image("2"), lsn=40)),  # landed a second time
+                          (6, change("c", after=image("3"), lsn=50))])
+    source = Publisher(spark, "orders", root, str(tmp_path / "compacted"), str(tmp_path / "ledger"))
+    source.publish([D1, D2, D3])
+    return Consolidation(spark, ORDERS, source, str(tmp_path / "out"), buckets=4)
+
+
+EXPECTED = {"1": ("SHIPPED", "u"), "2": ("CREATED", "d"), "3": ("CREATED", "c")}
+
+
+def current(job):
+    return {r.id_order: (r.status_order, r.cdc_operation) for r in job.current().collect()}
+
+
+def test_history_is_built_and_rebuilt_by_date(job):
+    assert job.history().count() == 0
+    for days in ([D1, D2], [D3], [D2], [D1, D2, D3]):
+        job.reprocess(days)
+    found = sorted((r.offset, r[LANDING_DATE]) for r in job.history().collect())
+    assert [o for o, _ in found] == [0, 1, 2, 3, 4, 6]
+
+
+def test_an_event_landed_twice_stays_on_its_first_date(job):
+    job.reprocess([D1, D2])
+    job.reprocess([D3])
+    assert {(r.offset, r[LANDING_DATE]) for r in job.history().where("offset >= 4").collect()} \
+        == {(4, D2), (6, D3)}
+
+
+@pytest.mark.parametrize("steps", [
+    [[D1], [D2], [D3]], [[D3], [D2], [D1]], [[D1, D2, D3]], [[D2], [D1], [D2], [D3], [D3]]])
+def test_current_state_does_not_depend_on_the_batches(job, steps):
+    assert current(job) == {}
+    for days in steps:
+        job.apply(days)
+    assert current(job) == EXPECTED
+
+
+def test_rebuild_equals_folding(job):
+    job.reprocess([D1, D2, D3])
+    job.rebuild()
+    assert current(job) == EXPECTED
+    job.apply([D2])
+    assert current(job) == EXPECTED
+
+
+def test_a_version_without_a_pointer_is_not_seen(spark, job, monkeypatch):
+    job.apply([D1])
+    before = current(job)
+    monkeypatch.setattr("tidemark.plans.consolidate.write_bucketed", _write_then_fail)
+    with pytest.raises(OSError):
+        job.apply([D2])
+    assert current(job) == before
+
+
+def _write_then_fail(rows, name, path, key, buckets):
+    rows.write.parquet(path)
+    raise OSError("lost")
+
+
+def test_the_stored_state_is_not_shuffled_by_a_fold(spark, job):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        job.apply([D1, D2])
+        folded = state.fold(job.current(), job.batch([D3]), ORDERS)
+        plan = folded._jdf.queryExecution().executedPlan().toString()
+        stored = job.current()
+        assert "Bucketed: true" in plan
+        # every exchange sits above the batch: none has a bucketed scan below it
+        for block in plan.split("Exchange hashpartitioning")[1:]:
+            head = block.split("SortMergeJoin")[0].split("+- Sort")[0]
+            assert "Bucketed: true" not in head
+        assert stored.count() == 2 and folded.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
