@@ -87,18 +87,30 @@ def _write_then_fail(rows, name, path, key, buckets):
     raise OSError("lost")
 
 
-def test_the_stored_state_is_not_shuffled_by_a_fold(spark, job):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+@pytest.mark.parametrize("shuffle_partitions", ["2", "4", "9"])
+def test_the_stored_state_is_not_shuffled_by_a_fold(spark, job, shuffle_partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", shuffle_partitions)
     try:
         job.apply([D1, D2])
-        folded = state.fold(job.current(), job.batch([D3]), ORDERS)
+        folded = state.fold(job.current(), job.batch([D3]), ORDERS, job.buckets)
         plan = folded._jdf.queryExecution().executedPlan().toString()
-        stored = job.current()
-        assert "Bucketed: true" in plan
-        # every exchange sits above the batch: none has a bucketed scan below it
-        for block in plan.split("Exchange hashpartitioning")[1:]:
-            head = block.split("SortMergeJoin")[0].split("+- Sort")[0]
-            assert "Bucketed: true" not in head
-        assert stored.count() == 2 and folded.count() == 3
+        stored, arriving = plan.split("SortMergeJoin")[1].split("Exchange", 1)
+        assert "Bucketed: true" in stored and "Bucketed: true" not in arriving
+        assert plan.count("from_json") == 1 and "from_json" in arriving
+        assert folded.count() == 3
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_folding_keeps_one_file_per_bucket(job):
+    for days in ([D1, D2], [D3], [D1]):
+        job.apply(days)
+        files = job.current().inputFiles()
+        assert 1 <= len(files) <= job.buckets
+
+
+def test_the_number_of_buckets_can_change(job):
+    job.apply([D1, D2])
+    wider = Consolidation(job.spark, ORDERS, job.publisher, job.root, buckets=7)
+    wider.apply([D3])
+    assert current(wider) == EXPECTED == current(job)

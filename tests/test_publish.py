@@ -175,3 +175,13 @@ def test_several_files_per_date_without_a_shuffle(spark, place):
     layout = file_layout(spark, job.compacted)
     assert {r[0]: r[1] for r in layout.groupBy("ingestion_date_utc").count().collect()} \
         == {D1: 3, D2: 1}
+
+
+def test_a_date_with_files_but_no_rows_publishes_nothing(spark, place):
+    day = f"{place.root}/ingestion_date_utc=2024-05-03"
+    spark.createDataFrame([], spark.read.parquet(place.root).drop("ingestion_date_utc").schema) \
+        .write.parquet(day)
+    job = place()
+    done = states(job.publish([D3]))[D3]
+    assert (done.status, done.input_rows, done.published_path) == ("COMPLETED", 0, None)
+    assert job.published().count() == 0

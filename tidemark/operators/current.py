@@ -24,24 +24,28 @@ def active(current: DataFrame) -> DataFrame:
     return current.where(F.col("cdc_operation") != DELETE_OP)
 
 
-def fold(current: DataFrame, batch: DataFrame, entity: Entity) -> DataFrame:
+def fold(current: DataFrame, batch: DataFrame, entity: Entity,
+         buckets: int | None = None) -> DataFrame:
     """Current state after a batch of events, in any order and however often applied.
 
-    The batch is reduced to one row per key, then known keys take the newer row and new
-    keys are added. Both joins keep the key's partitioning: a ``current`` table bucketed
-    by its key is read in place, only the batch moves, and the result can be written
-    into the same buckets without another shuffle.
+    The batch is reduced to one row per key and meets the stored rows on the key; the
+    newer row stays. Where ``current`` is stored in ``buckets`` by its key, it is read in
+    place: the reduced batch moves to the buckets, the stored rows do not, and every task
+    ends up with the rows of exactly one bucket.
     """
     key = entity.key
     rest = [c for c in entity.event_columns if c != key]
-    new = latest(batch, entity).select(
+    reduced = latest(batch, entity)
+    if buckets:
+        reduced = reduced.repartition(buckets, key)
+    new = reduced.select(
         F.col(key).alias("new_key"), F.struct(*ORDERING).alias("new_order"),
         F.struct(*rest).alias("new_row"))
     old = current.select(key, F.struct(*ORDERING).alias("old_order"),
                          F.struct(*rest).alias("old_row"))
-    newer = F.when(F.col("new_order") > F.col("old_order"), F.col("new_row"))
-    known = old.join(new, F.col(key) == F.col("new_key"), "left").select(
-        key, F.coalesce(newer, "old_row").alias("row"))
-    added = new.join(current.select(key), F.col("new_key") == F.col(key), "left_anti").select(
-        F.col("new_key").alias(key), F.col("new_row").alias("row"))
-    return known.unionByName(added).select(key, "row.*")
+    joined = old.join(new, F.col(key) == F.col("new_key"), "full_outer")
+    newer = F.col("old_order").isNull() | (F.col("new_order") > F.col("old_order"))
+    return joined.select(
+        F.coalesce(key, "new_key").alias(key),
+        F.when(newer, F.col("new_row")).otherwise(F.col("old_row")).alias("row"),
+    ).select(key, "row.*")

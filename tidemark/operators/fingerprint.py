@@ -58,18 +58,27 @@ def fingerprint(raw: DataFrame, by: Sequence[str] = (), payload: bool = False,
     return raw.select(*columns).groupBy(*by, *GROUP).agg(*metrics)
 
 
-def difference(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Groups whose fingerprints differ or exist on one side only; none means equal."""
+def comparison(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Both fingerprints side by side per group, with ``equal`` telling whether they agree.
+
+    A group that one side lacks is not equal.
+    """
     keys = [*by, *GROUP]
     metrics = [m for m in METRICS if m in left.columns]
 
     def sided(df: DataFrame, side: str) -> DataFrame:
         return df.select(*keys, *[F.col(m).alias(f"{side}_{m}") for m in metrics])
 
-    same = F.lit(True)
+    equal = F.lit(True)
     for m in metrics:
-        same = same & F.col(f"input_{m}").eqNullSafe(F.col(f"output_{m}"))
-    return sided(left, "input").join(sided(right, "output"), keys, "full_outer").where(~same)
+        equal = equal & F.col(f"input_{m}").eqNullSafe(F.col(f"output_{m}"))
+    both = sided(left, "input").join(sided(right, "output"), keys, "full_outer")
+    return both.withColumn("equal", equal)
+
+
+def difference(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Groups whose fingerprints differ or exist on one side only; none means equal."""
+    return comparison(left, right, by).where(~F.col("equal")).drop("equal")
 
 
 def duplicates(raw: DataFrame, identity: Sequence[str] = IDENTITY) -> DataFrame:

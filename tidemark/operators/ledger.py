@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schemas import COMPLETED, FAILED, LEDGER, RUNNING
+from tidemark.session import empty
 
 # Admission verdicts.
 RUN = "RUN"
@@ -34,7 +35,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], LEDGER)
+        return empty(spark, LEDGER)
 
 
 def append(states: DataFrame, path: str) -> None:

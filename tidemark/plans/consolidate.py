@@ -22,6 +22,7 @@ from tidemark.operators import history as past
 from tidemark.operators.events import events
 from tidemark.plans.publish import Publisher
 from tidemark.schemas import LANDING_DATE, Entity
+from tidemark.session import empty
 from tidemark.sources.tables import attach_bucketed, write_bucketed
 
 _VERSIONS = "seq bigint, version string, path string, buckets int, created_at timestamp"
@@ -57,7 +58,7 @@ class Consolidation:
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
 
     def reprocess(self, dates: Iterable[date]) -> None:
         """Rebuild the history of ``dates`` from what is published for them.
@@ -74,7 +75,7 @@ class Consolidation:
         """The current state in force; empty before the first version."""
         version = self._version()
         if version is None:
-            return self.spark.createDataFrame([], self.entity.event_schema)
+            return empty(self.spark, self.entity.event_schema)
         return attach_bucketed(self.spark, f"{self.entity.name}_current_{version.version}",
                                version.path, self.entity.event_schema, self.entity.key,
                                version.buckets)
@@ -90,8 +91,8 @@ class Consolidation:
         if version is None:
             self._write(state.latest(batch, self.entity), bucketed=False)
         else:
-            self._write(state.fold(self.current(), batch, self.entity),
-                        bucketed=version.buckets == self.buckets)
+            folded = state.fold(self.current(), batch, self.entity, version.buckets)
+            self._write(folded, bucketed=version.buckets == self.buckets)
 
     def _versions(self) -> str:
         return f"{self.root}/current-versions"

@@ -34,7 +34,7 @@ from tidemark.schemas import (
     RUNNING,
     VALIDATION_METHOD,
 )
-from tidemark.session import written
+from tidemark.session import empty, written
 from tidemark.sources.layers import (
     file_layout,
     landing_scan,
@@ -43,7 +43,7 @@ from tidemark.sources.layers import (
     run_scan,
 )
 
-_DATES_PER_WRITE = 100  # bounds the size of one plan
+_PARTS_PER_WRITE = 100  # bounds the size of one plan
 
 
 class PublicationRejected(RuntimeError):
@@ -160,13 +160,13 @@ class Publisher:
         layout = file_layout(self.spark, self.landing, list(by_date))
         decisions = {r[LANDING_DATE]: r for r in policy(layout, limits=self.limits).collect()}
 
-        empty = [a for d, a in by_date.items() if d not in decisions]
-        for attempt in empty:
+        no_data = [a for d, a in by_date.items() if d not in decisions]
+        for attempt in no_data:
             attempt.facts |= dict.fromkeys(
                 ("input_files", "output_files", "input_bytes", "output_bytes",
                  "input_rows", "output_rows"), 0)
             attempt.finish(COMPLETED)
-        self._record(empty)
+        self._record(no_data)
 
         filled = [by_date[d] for d in sorted(decisions)]
         for attempt in filled:
@@ -194,19 +194,26 @@ class Publisher:
         return decisions[attempt.partition_date].expected_files
 
     def write_runs(self, records: DataFrame, files: dict[date, int | None], run: str) -> None:
-        """Write each date into at most its number of files, without a shuffle.
+        """Write each date into at most its number of files; ``None`` keeps the file count.
 
-        Every date keeps its own tasks, each of which reads about one target file's worth
-        of small files and writes one file, so a large date takes many tasks.
+        A large date keeps its own tasks and is not shuffled: each task reads about one
+        target file's worth of small files and writes one file. Dates that fit one file
+        are small and share one shuffle instead of a plan branch each.
         """
-        days = sorted(files)
-        for start in range(0, len(days), _DATES_PER_WRITE):
-            parts = []
-            for day in days[start:start + _DATES_PER_WRITE]:
-                part = records.where(F.col(LANDING_DATE) == F.lit(day))
-                parts.append(part.coalesce(files[day]) if files[day] else part)
+        date_column = F.col(LANDING_DATE)
+        single = [d for d, n in files.items() if n == 1]
+        kept = [d for d, n in files.items() if n is None]
+        parts = []
+        if single:
+            parts.append(records.where(date_column.isin(single))
+                         .repartition(len(single), date_column))
+        if kept:
+            parts.append(records.where(date_column.isin(kept)))
+        parts += [records.where(date_column == F.lit(d)).coalesce(n)
+                  for d, n in sorted(files.items()) if n is not None and n > 1]
+        for start in range(0, len(parts), _PARTS_PER_WRITE):
             (
-                reduce(DataFrame.unionByName, parts)
+                reduce(DataFrame.unionByName, parts[start:start + _PARTS_PER_WRITE])
                 .withColumn("run_id", F.lit(run))
                 .write.mode("append")
                 .partitionBy(LANDING_DATE, "run_id")
@@ -217,21 +224,20 @@ class Publisher:
         by = (LANDING_DATE,)
         before = written(
             prints.fingerprint(records, by, self.payload, ingested=True), "fingerprint-input")
-        limits = {r[LANDING_DATE]: r for r in before.groupBy(LANDING_DATE).agg(
-            F.sum("row_count").alias("rows"), F.max("last_ingested_at").alias("through")).collect()}
+        newest = before.groupBy(LANDING_DATE).agg(F.max("last_ingested_at"))
+        through = {r[0]: r[1] for r in newest.collect()}
         paths = {a.partition_date: run_path(self.compacted, a.partition_date, a.run_id)
                  for a in rewritten}
-        in_place = {a.partition_date: limits[a.partition_date].through
-                    for a in filled if a not in rewritten and a.partition_date in limits}
+        in_place = {d: at for d, at in through.items() if d not in paths}
         output = raw_columns(run_scan(self.spark, self.compacted, list(paths.values())))
         if in_place:
             output = output.unionByName(_landing_through(self.spark, self.landing, in_place))
-        after = written(prints.fingerprint(output, by, self.payload), "fingerprint-output")
-
-        differing = {r[0] for r in prints.difference(before, after, by)
-                     .select(LANDING_DATE).distinct().collect()}
-        out_rows = {r[0]: r[1] for r in
-                    after.groupBy(LANDING_DATE).agg(F.sum("row_count")).collect()}
+        after = prints.fingerprint(output, by, self.payload)
+        found = prints.comparison(before, after, by).groupBy(LANDING_DATE).agg(
+            F.coalesce(F.sum("input_row_count"), F.lit(0)).alias("input_rows"),
+            F.coalesce(F.sum("output_row_count"), F.lit(0)).alias("output_rows"),
+            F.every("equal").alias("equal"))
+        results = {r[LANDING_DATE]: r for r in found.collect()}
         out_files = {}
         if paths:
             layout = file_layout(self.spark, self.compacted, paths=list(paths.values()))
@@ -241,20 +247,23 @@ class Publisher:
             day = attempt.partition_date
             files = out_files.get(day)
             own = attempt.facts if day in in_place else {}
+            result = results.get(day)  # none where a listed date has files but no rows
             attempt.facts |= {
-                "input_rows": limits[day].rows if day in limits else 0,
-                "output_rows": out_rows.get(day, 0),
+                "input_rows": result.input_rows if result else 0,
+                "output_rows": result.output_rows if result else 0,
                 "output_files": files.input_files if files else own.get("input_files", 0),
                 "output_bytes": files.input_bytes if files else own.get("input_bytes", 0),
             }
-            if day in differing:
+            if result and not result.equal:
                 attempt.validated(FAILED)
                 attempt.finish(FAILED, "identity fingerprints of input and output differ")
                 continue
             attempt.validated(PASSED)
-            in_landing = f"{self.landing}/{LANDING_DATE}={day}"
-            attempt.facts["published_path"] = paths.get(day, in_landing)
-            attempt.facts["published_through"] = in_place.get(day)
+            if day in paths:
+                attempt.facts["published_path"] = paths[day]
+            elif day in in_place:
+                attempt.facts["published_path"] = f"{self.landing}/{LANDING_DATE}={day}"
+                attempt.facts["published_through"] = in_place[day]
             attempt.finish(COMPLETED)
 
 
@@ -289,5 +298,5 @@ def published_read(spark: SparkSession, ledger_path: str, dataset: str, landing:
     if in_place:
         parts.append(_landing_through(spark, landing, in_place))
     if not parts:
-        return spark.createDataFrame([], RAW_LANDING)
+        return empty(spark, RAW_LANDING)
     return reduce(DataFrame.unionByName, parts)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Settings that change results or plans. All are runtime settings, so they can
 # be applied to a session somebody else built.
@@ -62,3 +63,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def empty(spark: SparkSession, schema: StructType) -> DataFrame:
+    """No rows, known as such when planning, so joins and unions with it vanish."""
+    return spark.createDataFrame([], schema).limit(0)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.schemas import LANDING_DATE, RAW_COLUMNS, RAW_LANDING, RAW_RUN
+from tidemark.session import empty
 
 _MISSING = "PATH_NOT_FOUND"
 
@@ -39,7 +40,7 @@ def landing_scan(spark: SparkSession, root: str, dates: Iterable[date] | None =
     except AnalysisException as error:
         if error.getCondition() != _MISSING:
             raise
-        landed = spark.createDataFrame([], RAW_LANDING)
+        landed = empty(spark, RAW_LANDING)
     return _on_dates(landed, dates)
 
 
@@ -64,7 +65,7 @@ def run_scan(spark: SparkSession, compacted: str, paths: list[str]) -> DataFrame
             present = [run_scan(spark, compacted, paths[:half]),
                        run_scan(spark, compacted, paths[half:])]
     if not present:
-        return spark.createDataFrame([], RAW_RUN)
+        return empty(spark, RAW_RUN)
     first, *rest = present
     for other in rest:
         first = first.unionByName(other)
@@ -90,9 +91,9 @@ def file_layout(spark: SparkSession, root: str, dates: Iterable[date] | None = N
     except AnalysisException as error:
         if error.getCondition() != _MISSING:
             raise
-        return spark.createDataFrame([], _LAYOUT)
+        return empty(spark, _LAYOUT)
     if LANDING_DATE not in files.columns:  # nothing but an empty directory
-        return spark.createDataFrame([], _LAYOUT)
+        return empty(spark, _LAYOUT)
     return _on_dates(files, dates).select(
         F.col(LANDING_DATE).cast("date").alias(LANDING_DATE),
         F.col("path").alias("file_path"),
