@@ -90,3 +90,20 @@ def test_new_events_without_ranges_is_the_same(spark, monkeypatch):
 def test_new_events_of_an_empty_batch(spark):
     known = event_frame(spark, [event("A", 1, 1)])
     assert past.new_events(event_frame(spark, []), known).count() == 0
+
+
+def test_a_batch_without_repeats_is_not_shuffled(spark, tmp_path):
+    event_frame(spark, [event("A", n, n) for n in range(10)]).write.parquet(str(tmp_path / "b"))
+    batch = spark.read.parquet(str(tmp_path / "b"))
+    out = past.new_events(batch, event_frame(spark, [event("A", 50, 50)]))
+    assert out.count() == 10
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_offset_range_reaches_the_history_scan(spark, tmp_path):
+    event_frame(spark, [event("A", n, n) for n in range(10)]).write.parquet(str(tmp_path / "h"))
+    batch = event_frame(spark, [event("A", n, n) for n in (7, 8)])
+    found = past.repeated_identities(batch, spark.read.parquet(str(tmp_path / "h")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(offset,7)" in plan and "LessThanOrEqual(offset,8)" in plan
+    assert sorted((r.offset, r.known) for r in found.collect()) == [(7, True), (8, True)]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.schemas import IDENTITY, LANDING_DATE
+from tidemark.session import written
 
 _MAX_RANGES = 10_000  # topic partitions; beyond it history is compared without ranges
 
@@ -23,24 +24,50 @@ def offset_ranges(batch: DataFrame) -> DataFrame:
         F.min("offset").alias("from_offset"), F.max("offset").alias("to_offset"))
 
 
-def new_events(batch: DataFrame, history: DataFrame) -> DataFrame:
-    """Events of ``batch`` whose identity ``history`` does not hold yet, each once.
+def _within(known: DataFrame, ranges: list) -> DataFrame:
+    """Known identities inside the offset range of their topic partition.
 
-    On the history side only identities move, and only those inside the offset range the
-    batch touches on their topic partition. The overall range also reaches the scan, where
-    it skips files and row groups. Ranges are fetched only when they are few.
+    The overall range reaches the scan as well, where it skips files and row groups.
     """
+    limits = known.sparkSession.createDataFrame(
+        ranges, "topic string, kafka_partition int, from_offset bigint, to_offset bigint")
+    overall = F.col("offset").between(min(r.from_offset for r in ranges),
+                                      max(r.to_offset for r in ranges))
+    own = F.col("offset").between(F.col("from_offset"), F.col("to_offset"))
+    bounded = known.where(overall).join(F.broadcast(limits), ["topic", "kafka_partition"])
+    return bounded.where(own).select(*IDENTITY)
+
+
+def repeated_identities(arrived: DataFrame, history: DataFrame) -> DataFrame:
+    """Identities that ``arrived`` holds more than once or that ``history`` holds already
+    (``known``). Both sides are counted in one pass; only identities move."""
     known = history.select(*IDENTITY)
-    ranges = offset_ranges(batch).limit(_MAX_RANGES + 1).collect()
+    ranges = offset_ranges(arrived).limit(_MAX_RANGES + 1).collect()
     if ranges and len(ranges) <= _MAX_RANGES:
-        known = known.where(F.col("offset").between(
-            min(r.from_offset for r in ranges), max(r.to_offset for r in ranges)))
-        limits = batch.sparkSession.createDataFrame(
-            ranges, "topic string, kafka_partition int, from_offset bigint, to_offset bigint")
-        known = known.join(F.broadcast(limits), ["topic", "kafka_partition"]).where(
-            F.col("offset").between(F.col("from_offset"), F.col("to_offset"))
-        ).select(*IDENTITY)
-    return distinct_events(batch).join(known, list(IDENTITY), "left_anti")
+        known = _within(known, ranges)
+    one, none = F.lit(1), F.lit(0)
+    seen = arrived.select(*IDENTITY, one.alias("new"), none.alias("old")).unionByName(
+        known.select(*IDENTITY, none.alias("new"), one.alias("old")))
+    counted = seen.groupBy(*IDENTITY).agg(F.sum("new").alias("new"), F.sum("old").alias("old"))
+    repeated = (F.col("new") > 1) | ((F.col("new") > 0) & (F.col("old") > 0))
+    return counted.where(repeated).select(*IDENTITY, (F.col("old") > 0).alias("known"))
+
+
+def new_events(batch: DataFrame, history: DataFrame, arrived: DataFrame | None = None) -> DataFrame:
+    """Events of ``batch`` whose identity ``history`` does not hold yet, each once.
+
+    Repeats are the exception, so they are looked for first, by identity alone. Without
+    any, the batch passes untouched and unshuffled. Else the rest of the batch is kept as
+    it is and only the repeated events are deduplicated. ``arrived`` may name a cheaper
+    source of the batch's identities, such as the raw records it was parsed from.
+    """
+    source = batch if arrived is None else arrived
+    repeated = written(repeated_identities(source, history), "repeated")
+    if repeated.isEmpty():
+        return batch
+    untouched = batch.join(repeated, list(IDENTITY), "left_anti")
+    again = batch.join(repeated.where(~F.col("known")), list(IDENTITY), "left_semi")
+    return untouched.unionByName(distinct_events(again))
 
 
 def write_dates(history: DataFrame, path: str) -> None:

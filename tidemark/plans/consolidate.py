@@ -21,7 +21,7 @@ from tidemark.operators import current as state
 from tidemark.operators import history as past
 from tidemark.operators.events import events
 from tidemark.plans.publish import Publisher
-from tidemark.schemas import LANDING_DATE, Entity
+from tidemark.schemas import IDENTITY, LANDING_DATE, Entity
 from tidemark.session import empty
 from tidemark.sources.tables import attach_bucketed, write_bucketed
 
@@ -67,7 +67,8 @@ class Consolidation:
         """
         days = list(dates)
         others = self.history().where(~F.col(LANDING_DATE).isin(days))
-        past.write_dates(past.new_events(self.batch(days), others), self.history_path)
+        arrived = self.publisher.published(days).select(*IDENTITY)
+        past.write_dates(past.new_events(self.batch(days), others, arrived), self.history_path)
 
     # -- current state --------------------------------------------------------------------
 
