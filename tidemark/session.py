@@ -15,13 +15,37 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Unlike the older format, this one carries statistics, so scans skip row groups by time.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
 # Hides secrets in plans and logs.
 REDACTION = r"(?i)secret|password|token|access[.]?key|credential"
 
 
+def object_store(endpoint: str, access_key: str, secret_key: str, *, tls: bool = True) -> dict[str, str]:
+    """Settings for an S3-compatible store that is addressed by path."""
+    return {
+        "spark.hadoop.fs.s3a.endpoint": endpoint,
+        "spark.hadoop.fs.s3a.access.key": access_key,
+        "spark.hadoop.fs.s3a.secret.key": secret_key,
+        "spark.hadoop.fs.s3a.path.style.access": "true",
+        "spark.hadoop.fs.s3a.connection.ssl.enabled": str(tls).lower(),
+    }
+
+
+def rest_catalog(name: str, uri: str, warehouse: str, **more: str) -> dict[str, str]:
+    """Settings of a REST table catalog; ``more`` holds further keys of the catalog, such as
+    ``credential`` or ``scope``, with ``_`` for ``-``. Needs the table format's package."""
+    prefix = f"spark.sql.catalog.{name}"
+    return {
+        prefix: "org.apache.iceberg.spark.SparkCatalog",
+        f"{prefix}.type": "rest",
+        f"{prefix}.uri": uri,
+        f"{prefix}.warehouse": warehouse,
+    } | {f"{prefix}.{key.replace('_', '-')}": value for key, value in more.items()}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to ``spark`` and return it."""
     for key, value in RUNTIME.items():
@@ -29,11 +53,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def builder(app: str) -> SparkSession.Builder:
+def builder(app: str, *settings: dict[str, str]) -> SparkSession.Builder:
     """A session builder with the settings that must be known before start-up."""
     out = SparkSession.builder.appName(app).config("spark.redaction.regex", REDACTION)
-    for key, value in RUNTIME.items():
-        out = out.config(key, value)
+    for group in (RUNTIME, *settings):
+        for key, value in group.items():
+            out = out.config(key, value)
     return out
 
 
