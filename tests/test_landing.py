@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 from tidemark.schemas import KAFKA_RECORD, RAW_LANDING
 from tidemark.sources.layers import file_layout, landing_scan
 from tidemark.sources.streams import file_stream, kafka_options, kafka_stream
-from tidemark.streaming.landing import catch_up, land_batch, project, stamp, start_landing
+from tidemark.streaming.landing import (
+    catch_up,
+    land_batch,
+    print_stream,
+    project,
+    stamp,
+    start_landing,
+)
 
 
 @pytest.fixture
@@ -110,3 +117,10 @@ def test_kafka_source_needs_its_package(spark):
 def test_file_stream_has_the_record_shape(spark, paths):
     kafka_frame(spark, 1).write.parquet(paths["topic"])
     assert file_stream(spark, paths["topic"]).columns == KAFKA_RECORD.fieldNames()
+
+
+def test_a_topic_can_be_printed(spark, paths):
+    kafka_frame(spark, 2).write.parquet(paths["topic"])
+    query = print_stream(file_stream(spark, paths["topic"]))
+    query.awaitTermination()
+    assert sum(p.numInputRows for p in query.recentProgress) == 2

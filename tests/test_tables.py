@@ -45,3 +45,13 @@ def test_written_results_live_in_the_shared_folder(spark):
 def test_configure_sets_utc(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
     assert configure(spark).conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def test_dropping_a_managed_table_removes_its_files(spark):
+    rows = spark.createDataFrame([(1, "a")], "id bigint, description string")
+    tables.create_table(spark, "managed_smoke", rows.schema)
+    tables.insert_rows(rows, "managed_smoke")
+    (path,) = {f.rsplit("/", 1)[0] for f in spark.table("managed_smoke").inputFiles()}
+    tables.drop_table(spark, "managed_smoke")
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

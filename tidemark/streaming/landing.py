@@ -61,3 +61,13 @@ def land_batch(records: DataFrame, path: str, ingested_at: Column) -> None:
     """Append records with a known ingestion time, for backfills outside the stream."""
     stamped = stamp(project(records), ingested_at)
     stamped.write.mode("append").partitionBy(LANDING_DATE).parquet(path)
+
+
+def print_stream(records: DataFrame) -> StreamingQuery:
+    """Print the records available now to the console, to look at a topic by hand."""
+    return (
+        records.writeStream.format("console")
+        .option("truncate", "false")
+        .trigger(availableNow=True)
+        .start()
+    )
