@@ -185,3 +185,11 @@ def test_a_date_with_files_but_no_rows_publishes_nothing(spark, place):
     done = states(job.publish([D3]))[D3]
     assert (done.status, done.input_rows, done.published_path) == ("COMPLETED", 0, None)
     assert job.published().count() == 0
+
+
+def test_a_retry_at_the_same_stated_time_gets_its_own_run(spark, place):
+    now = datetime(2024, 5, 3, tzinfo=timezone.utc)
+    with pytest.raises(PublicationRejected):
+        place(Losing).publish([D1], now)
+    done = states(place().publish([D1], now))[D1]
+    assert (done.status, done.output_rows) == ("COMPLETED", 60)

@@ -146,7 +146,7 @@ class Publisher:
         unknown = [r for r in rows if r.verdict == ledger.UNKNOWN_STATUS]
         if unknown:
             raise ValueError(f"unknown status {unknown[0].status} on {unknown[0].partition_date}")
-        run = run_id(now)
+        run = run_id()  # from the clock, not from ``now``: a repeated call never reuses a run
         return [Attempt(self.dataset, r.partition_date, r.seq, run, now)
                 for r in rows if r.verdict in ledger.ADMITTED]
 
