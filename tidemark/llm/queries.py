@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, rules
+from tidemark.llm import bins, language, mixing, packing, rules
 from tidemark.llm.tables import table
 from tidemark.session import written
 
@@ -17,12 +17,28 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(measured, cutoffs)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_token_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bins.packed_rows(table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs.where(~language.held_out())))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
+    "op5_token_bins": op5_token_bins,
     "op7_quality_rules": op7_quality_rules,
+    "op8_language": op8_language,
     "op9_mixing": op9_mixing,
 }
 ORACLE: dict[str, str] = {}

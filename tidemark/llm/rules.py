@@ -20,9 +20,13 @@ or are null count for nothing. A null language is a stratum of its own.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 SPACES = " \t\n\x0b\f\r"
 _SPACE = r"[\x20\x09-\x0D]"
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -101,8 +105,6 @@ RULES = {
 
 def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     """P(count <= k) for n draws with ``rate``; 1 where k is above the mean, which no test needs."""
-    import math
-
     odds, start = math.log(rate) - math.log1p(-rate), math.log1p(-rate)
     zero = F.struct((n * F.lit(start)).alias("log"), F.lit(0.0).alias("sum"))
     summed = F.aggregate(
@@ -147,11 +149,11 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.05,
              count(kind)("good_seen"), count(kind & above)("good_hit"),
              count(F.col("proposing") & ~F.col("good"))("bad_seen"),
              count(F.col("proposing") & ~F.col("good") & above)("bad_hit")))
-    strata = F.count_distinct(F.coalesce(F.col("lang"), F.lit("\0"))).alias("strata")
-    tested = tested.crossJoin(F.broadcast(tested.agg(strata)))  # one row
+    tested = written(tested, "tested-cutoffs")
+    strata = max(tested.select("lang").distinct().count(), 1)
     tail = binomial_tail(F.col("k"), F.col("n"), risk / len(RULES))
     tested = tested.withColumn("tail", tail).withColumn(
-        "passes", (F.col("n") > 0) & (F.col("tail") <= F.lit(doubt / len(RULES)) / F.col("strata")))
+        "passes", (F.col("n") > 0) & (F.col("tail") <= F.lit(doubt / len(RULES) / strata)))
     order = Window.partitionBy("lang", "rule").orderBy("step")
     share = lambda hit, seen: F.col(hit) / F.greatest(F.col(seen), F.lit(1))
     gain = share("bad_hit", "bad_seen") - GOOD_COST * share("good_hit", "good_seen")
