@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bins, language, mixing, packing, rules
+from tidemark.llm import bins, language, minhash, mixing, packing, rules
 from tidemark.llm.tables import table
 from tidemark.session import written
 
@@ -21,6 +21,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op5_token_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.packed_rows(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op4_minhash": op4_minhash,
     "op5_token_bins": op5_token_bins,
     "op7_quality_rules": op7_quality_rules,
     "op8_language": op8_language,
