@@ -99,7 +99,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0,
         .select(F.col("source").alias("s"), F.col("b.bin").alias("border"), F.col("b.ahead").alias("ahead")))
     plan = shares.join(border, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = plan.withColumnRenamed("source", "of")
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    small = shares.count() <= BROADCAST_SOURCES
+    joined = rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     at = F.col("bin") == F.col("border")
     sorted_ = Window.partitionBy("source").orderBy("key", "doc_id", "tie", "size")
     ahead = F.col("ahead") + F.coalesce(
