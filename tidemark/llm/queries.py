@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bins, language, minhash, mixing, packing, rules, vectors
+from tidemark.llm import bins, kneser, language, minhash, mixing, packing, rules, vectors
 from tidemark.llm.tables import table
 from tidemark.session import written
 
@@ -21,6 +21,10 @@ def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vectors": op1_vectors,
+    "op2_kneser_ney": op2_kneser_ney,
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
     "op5_token_bins": op5_token_bins,
