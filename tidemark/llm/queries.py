@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bins, kneser, language, minhash, mixing, packing, rules, vectors
+from tidemark.llm import bins, kneser, language, minhash, mixing, packing, rules, suffixes, vectors
 from tidemark.llm.tables import table
 from tidemark.session import written
 
@@ -46,6 +46,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_strings(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vectors": op1_vectors,
     "op2_kneser_ney": op2_kneser_ney,
@@ -55,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
+    "op10_suffixes": op10_suffixes,
 }
 ORACLE: dict[str, str] = {}
