@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bins, kneser, language, minhash, mixing, packing, rules, suffixes, vectors
+from tidemark.llm import bins, kneser, language, minhash, mixing, packing, rules, secrets, suffixes, vectors
 from tidemark.llm.tables import table
 from tidemark.session import written
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = written(rules.measure(table(spark, sf_dir, "documents")), "rules")
     cutoffs = rules.calibrate(measured, table(spark, sf_dir, "labels"))
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
     "op5_token_bins": op5_token_bins,
+    "op6_secrets": op6_secrets,
     "op7_quality_rules": op7_quality_rules,
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
