@@ -1,9 +1,25 @@
-"""The supplied tables, as the queries of this folder read them."""
+"""The supplied tables as queries and pipeline read them, and the removal of rows by a list."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.session import written
+
+BROADCAST_ROWS = 1_000_000  # of two numbers; a longer list meets the documents by a shuffle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def without(docs: DataFrame, dropped: DataFrame, computed: dict[str, Column]) -> DataFrame:
+    """``docs`` less the rows that ``dropped`` lists by doc_id and the ``computed`` columns. Texts
+    are shuffled only if the list is too long to be sent to every task. Rows without an id are
+    matched like any other."""
+    listed = written(dropped.select(*[F.col(c).alias(f"dropped_{c}") for c in dropped.columns]), "dropped")
+    own = {"doc_id": F.col("doc_id").cast("long")} | computed
+    on = [own[c].eqNullSafe(F.col(f"dropped_{c}")) for c in dropped.columns]
+    short = listed.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(listed) if short else listed, on, "left_anti")
