@@ -12,11 +12,13 @@ signature is listed under every chunk with every choice of ERRORS symbols left o
 a pair shares a list.
 
 A list is not expanded into its pairs. (1) Documents with equal sets are one class from the
-start. (2) In each list every class is compared with the list's first one. (3) Components
-form. (4) Only lists that still hold several components are gone through pair by pair, across
-components, by signatures inside tasks; long ones are cut into blocks. What passes the
-distance is confirmed on the full sets, recomputed from the texts. A large group of copies
-is one component after step 3, so its size does not square.
+start. (2) In ``ROUNDS`` rounds, each list has a leader, drawn anew, and every class is compared
+with the leader of another component that it shares most lists with; components grow. (3) Lists
+that still hold several components are gone through pair by pair, across components, by
+signatures inside tasks; long ones are cut into blocks, and a pair counts in the first list it
+shares. What passes the distance has a second, wider signature compared, and then the full
+sets, recomputed from the texts. A large group of copies is one component after step 2,
+so its size does not square.
 
 Result: the smallest doc_id reachable over links. Null, empty or wordless text links with
 nothing. Documents with fewer words than a run are one run. Rows are judged as they are:
@@ -40,10 +42,20 @@ from tidemark.session import written
 CHUNKS, WIDTH, ERRORS = 15, 5, 1
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = (ERRORS + 1) * CHUNKS - 1
+ROUNDS = 3
+WIDE, WIDE_DISTANCE = 256, 77  # symbols of 8 bits; exceeded at similarity 0.8 with a chance of 4 in 100,000
 BLOCK = 1500  # classes of a list compared with each other in one group
 
-_SEEDS = mixed(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_XOR, _TIMES = _SEEDS[:SYMBOLS], _SEEDS[SYMBOLS:] | np.uint64(1)
+_SLOTS = 7  # low bits of a list's number: its chunk and choice
+_CHOICES = [list(c) for c in combinations(range(WIDTH), WIDTH - ERRORS)]
+
+
+def _hashes(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = mixed(np.arange(seed, seed + 2 * n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return seeds[:n], seeds[n:] | np.uint64(1)
+
+
+_NARROW_HASHES, _WIDE_HASHES = _hashes(SYMBOLS, 1), _hashes(WIDE, 10_000)
 
 
 def shingles(texts: list[bytes], words: int, powers: Powers) -> list[np.ndarray]:
@@ -74,12 +86,21 @@ def set_number(values: np.ndarray) -> int:
     return int(mixed(np.array([total + np.uint64(len(values))], np.uint64)).astype(np.int64)[0])
 
 
-def signature(values: np.ndarray) -> bytes:
-    low = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+def _lowest(values: np.ndarray, hashes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    xor, times = hashes
+    low = np.full(len(xor), np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(values), 4096):
-        part = (values[a:a + 4096, None] ^ _XOR) * _TIMES
+        part = (values[a:a + 4096, None] ^ xor) * times
         low = np.minimum(low, part.min(axis=0))
-    return mixed(low).astype("<u2").tobytes()
+    return mixed(low)
+
+
+def signature(values: np.ndarray) -> bytes:
+    return _lowest(values, _NARROW_HASHES).astype("<u2").tobytes()
+
+
+def wide_signature(values: np.ndarray) -> bytes:
+    return _lowest(values, _WIDE_HASHES).astype(np.uint8).tobytes()
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -107,8 +128,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 def listed(classes: DataFrame) -> DataFrame:
     """(list, node): every class under each of its lists."""
-    choices = [list(c) for c in combinations(range(WIDTH), WIDTH - ERRORS)]
-    salt = mixed(np.arange(1, CHUNKS * len(choices) + 1, dtype=np.uint64) << np.uint64(7))
+    choices, salt = _CHOICES, mixed(np.arange(1, CHUNKS * len(_CHOICES) + 1, dtype=np.uint64) << np.uint64(7))
 
     def keyed(batches):
         import pyarrow as pa
@@ -120,12 +140,11 @@ def listed(classes: DataFrame) -> DataFrame:
             symbols = symbols.reshape(-1, CHUNKS, WIDTH)
             node = batch.column("node").to_numpy()
             keys = []
-            for c in range(CHUNKS):
-                for k, chosen in enumerate(choices):
-                    key = np.full(len(node), salt[c * len(choices) + k])
-                    for s in chosen:
-                        key = mixed(key ^ symbols[:, c, s])
-                    keys.append(key)
+            for slot in range(CHUNKS * len(choices)):
+                key = np.full(len(node), salt[slot])
+                for s in choices[slot % len(choices)]:
+                    key = mixed(key ^ symbols[:, slot // len(choices), s])
+                keys.append(key >> np.uint64(_SLOTS) << np.uint64(_SLOTS) | np.uint64(slot))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.tile(node, len(keys)))],
                 names=["list", "node"])
@@ -133,56 +152,75 @@ def listed(classes: DataFrame) -> DataFrame:
     return classes.select("node", "sig").mapInArrow(keyed, "list bigint, node bigint")
 
 
+def _first_slot(same: np.ndarray) -> np.ndarray:
+    """The first slot that pairs share, from which symbols (columns) they have in common."""
+    same = same.reshape(-1, CHUNKS, WIDTH)
+    chunk = (same.sum(axis=2) >= WIDTH - ERRORS).argmax(axis=1)
+    inside = same[np.arange(len(same)), chunk]
+    # The first choice that leaves out the symbol in which they differ, if there is one.
+    fits = np.stack([inside[:, c].all(axis=1) for c in _CHOICES], axis=1)
+    return chunk * len(_CHOICES) + fits.argmax(axis=1)
+
+
 def _shared(lists: DataFrame) -> DataFrame:
-    """(list, node, lead) for lists of two classes or more; lead is the list's first class."""
+    """(list, node) for lists of two classes or more."""
 
     def marked(batches):
         import pyarrow as pa
 
-        last = None  # list, node of the last row seen, its lead, and whether it was given out
+        held = None  # the last row, if it may be alone in its list
+        before = None  # the last list seen
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, node = batch.column("list").to_numpy(), batch.column("node").to_numpy()
-            fresh = np.concatenate([[True], key[1:] != key[:-1]])
-            start = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
-            lead = node[start]
-            alone = fresh & np.concatenate([fresh[1:], [True]])
-            pending = None
-            if last is not None and last[0] == key[0]:
-                lead[start == 0] = last[1]
-                alone[0] = False
-                pending = last if last[2] else None
-            out = ~alone
-            single = bool(alone[-1])
-            keys, nodes, leads = key[out], node[out], lead[out]
-            if pending:
-                keys, nodes, leads = (np.concatenate([[x], y]) for x, y in (
-                    (pending[0], keys), (pending[1], nodes), (pending[1], leads)))
-            last = (key[-1], lead[-1], single)
+            same = key[1:] == key[:-1]
+            goes_on = before is not None and before == key[0]
+            out = np.concatenate([[goes_on], same]) | np.concatenate([same, [False]])
+            keys, nodes = key[out], node[out]
+            if held is not None and goes_on:
+                keys, nodes = np.concatenate([[held[0]], keys]), np.concatenate([[held[1]], nodes])
+            held = None if out[-1] else (key[-1], node[-1])
+            before = key[-1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.astype(np.int64)), pa.array(nodes.astype(np.int64)),
-                 pa.array(leads.astype(np.int64))], names=["list", "node", "lead"])
+                [pa.array(keys.astype(np.int64)), pa.array(nodes.astype(np.int64))], names=["list", "node"])
+
+    dealt = lists.repartition("list").sortWithinPartitions("list")
+    return dealt.mapInArrow(marked, "list bigint, node bigint")
+
+
+def _led(shared: DataFrame, places: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each class and the leader, of another component, that it shares most lists with."""
+    held = _placed(shared, places)
+    draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "root")
+    leads = held.groupBy("list").agg(
+        F.min(draw).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    met = held.join(leads.select("list", "lead"), "list").where("root <> lead.root")
+    often = met.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("n"))
+    best = often.groupBy("node").agg(F.max(F.struct("n", "lead"))["lead"].alias("lead"))
+    return best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
-    dealt = lists.repartition("list").sortWithinPartitions("list", "node")
-    return dealt.mapInArrow(marked, "list bigint, node bigint, lead bigint")
 
+def _placed(shared: DataFrame, places: DataFrame) -> DataFrame:
+    return shared.join(places, "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes whose signatures are within the distance and whose sizes allow a link."""
-    side = lambda c: classes.select(
-        F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("sig").alias(f"sig_{c}"))
+
+def _near(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sizes and wide signatures allow a link."""
+    sized = texts.select("node", "wide").join(classes.select("node", "size"), "node")
+    side = lambda c: sized.select(
+        F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("wide").alias(f"wide_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(
         100 * F.least("size_a", "size_b") >= 80 * F.greatest("size_a", "size_b"))
 
     def close(batches):
         for batch in batches:
             if batch.num_rows:
-                a, b = (matrix(batch.column(f"sig_{c}"), "<u2", SYMBOLS) for c in "ab")
-                near = (a != b).sum(axis=1) <= DISTANCE
+                a, b = (matrix(batch.column(f"wide_{c}"), np.uint8, WIDE) for c in "ab")
+                near = (a != b).sum(axis=1) <= WIDE_DISTANCE
                 yield batch.select(["a", "b"]).filter(near)
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(close, "a bigint, b bigint")
+    return both.select("a", "b", "wide_a", "wide_b").mapInArrow(close, "a bigint, b bigint")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -215,8 +253,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
 def _across(shared: DataFrame, places: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes in a common list but in different components, within the distance."""
-    held = shared.join(places, "node", "left").select(
-        "list", "node", F.coalesce("root", "node").alias("root"))
+    held = _placed(shared, places)
     several = held.groupBy("list").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
     rows = held.join(several.select("list", "n"), "list").join(classes.select("node", "size", "sig"), "node")
@@ -237,13 +274,17 @@ def _across(shared: DataFrame, places: DataFrame, classes: DataFrame) -> DataFra
             sig = matrix(group.column("sig"), "<u2", SYMBOLS)[order]
             upto = np.searchsorted(size, size * 100 // 80, "right").tolist()
             inside = bool((own[0] == own).all())
+            slot = group.column("list")[0].as_py() & ((1 << _SLOTS) - 1)
             a, b = [], []
             for i in range(len(node) - 1):
                 j = np.flatnonzero(root[i + 1:upto[i]] != root[i]) + i + 1
                 if not inside:
                     j = j[own[j] != own[i]]
                 if len(j):
-                    j = j[(sig[j] != sig[i]).sum(axis=1) <= DISTANCE]
+                    same = sig[j] == sig[i]
+                    near = same.sum(axis=1) >= SYMBOLS - DISTANCE
+                    near[near] = _first_slot(same[near]) == slot
+                    j = j[near]
                     a.append(np.minimum(node[i], node[j]))
                     b.append(np.maximum(node[i], node[j]))
             if a:
@@ -251,7 +292,7 @@ def _across(shared: DataFrame, places: DataFrame, classes: DataFrame) -> DataFra
                     [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(compared, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(compared, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -265,14 +306,14 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     texts = written(
         docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
         .transform(lambda d: _of_class(d, words)), "texts")
-    leads = shared.where("node <> lead").select(
-        F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    tried = written(_near(leads, classes), "tried")
-    links = written(_confirmed(tried, texts, words), "links")
-    places = components(links)
-    more = _across(shared, places, classes).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(written(_confirmed(more, texts, words), "links"))
-    places = components(links)
+    places = links = tried = shared.select("node", F.col("node").alias("root")).limit(0)
+    links = tried = links.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for turn in range(ROUNDS + 1):
+        pairs = _led(shared, places, turn) if turn < ROUNDS else _across(shared, places, classes)
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(written(_confirmed(_near(pairs, classes, texts), texts, words), "links"))
+        places = components(links)
     found = written(classes.join(places, "node", "left").select(
         "node", "rep", F.coalesce("root", "node").alias("root")), "found")
     smallest = found.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -283,16 +324,22 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def _of_class(rows: DataFrame, words: int) -> DataFrame:
-    """(node, text), one text a class: of rows that share an id, only one whose set is the class's."""
+    """(node, text, wide), one a class: of rows that share an id, only one whose set is the class's."""
 
     def fitting(batches):
+        import pyarrow as pa
+
         powers = Powers()
         for batch in batches:
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
-            numbers = []
+            nodes, wide = batch.column("node").to_pylist(), []
             for a, b in chunks(texts):
-                numbers += [set_number(v) if len(v) else None for v in shingles(texts[a:b], words, powers)]
-            yield batch.filter(np.array([n == w for n, w in zip(numbers, batch.column("node").to_pylist())], bool))
-
-    fits = rows.select("node", "text").mapInArrow(fitting, "node bigint, text string")
+                for node, values in zip(nodes[a:b], shingles(texts[a:b], words, powers)):
+                    fits = len(values) and set_number(values) == node
+                    wide.append(wide_signature(values) if fits else None)
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("text"), pa.array(wide, pa.binary())], names=["node", "text", "wide"])
+            yield out.filter(np.array([w is not None for w in wide], bool))
+
+    fits = rows.select("node", "text").mapInArrow(fitting, "node bigint, text string, wide binary")
     return fits.dropDuplicates(["node"])
