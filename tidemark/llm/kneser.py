@@ -20,17 +20,20 @@ trusted text every document is kept, with null perplexity. An empty table gives
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.blocks import gather, opened
 from tidemark.session import written
 
 ORDER = 4
 QUANTILE = 0.995
 MARGIN = 0.05  # nats a character
 SLACK = 3.0
-BLOCK_BYTES = 1 << 23  # of text in a block
+BLOCK_CHARS = 1 << 23  # of text in a block
 CHUNK_CHARS = 1 << 20  # looked at together
 BROADCAST_IDS = 2_000_000  # trusted ids of eight bytes; beyond it the planner joins by shuffle
 START, END = "\u0002", "\u0003"
@@ -150,52 +153,6 @@ def log_probabilities(grams: DataFrame, model) -> DataFrame:
     return out.select("gram", F.log("p").alias("log_p"))
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """(block, rows, texts): whole documents in compressed blocks of about BLOCK_BYTES of text."""
-    def gathered(batches):
-        import io
-        import zlib
-
-        import pyarrow as pa
-        import zstandard
-
-        compressor = zstandard.ZstdCompressor(level=6)
-
-        def block(parts: list):
-            table = pa.Table.from_batches(parts).combine_chunks()
-            raw = io.BytesIO()
-            with pa.ipc.new_stream(raw, table.schema) as stream:
-                stream.write_table(table)
-            data = compressor.compress(raw.getvalue())
-            name = zlib.crc32(data) << 31 ^ zlib.adler32(data)  # by content, so a repeated task names alike
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([data], pa.binary())],
-                                              names=["block", "data"])
-
-        parts, size = [], 0
-        for batch in batches:
-            lengths = [len(t) if t else 0 for t in batch.column("text").to_pylist()]
-            a = 0
-            for i, n in enumerate(lengths):
-                size += n
-                if size >= BLOCK_BYTES:
-                    yield block([*parts, batch.slice(a, i + 1 - a)])
-                    parts, size, a = [], 0, i + 1
-            if a < len(lengths):
-                parts.append(batch.slice(a))
-        if parts:
-            yield block(parts)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("tie"), "text")
-    return rows.mapInArrow(gathered, "block bigint, data binary")
-
-
-def _opened(data: bytes):
-    import pyarrow as pa
-    import zstandard
-
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all()
-
-
 def _asked(blocks: DataFrame) -> DataFrame:
     """(block, gram): the distinct n-grams of each block."""
 
@@ -204,7 +161,7 @@ def _asked(blocks: DataFrame) -> DataFrame:
 
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
-                texts = [t or "" for t in _opened(data.as_py()).column("text").to_pylist()]
+                texts = [t or "" for t in opened(data.as_py()).column("text").to_pylist()]
                 found: set[str] = set()
                 for _, _, grams, _ in _grams(texts):
                     found.update(grams)
@@ -225,8 +182,11 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("tie"),
                            (F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long").alias("n"),
                            F.lit(None).cast("double").alias("loss"), F.lit(None).cast("double").alias("deviation"))
-    blocks = written(_blocks(docs), "blocks")
-    asked = written(_asked(blocks), "asked")
+    # Both exchanges are read twice in one plan, so texts and n-grams move once.
+    parts = max(1, math.ceil((docs.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_CHARS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("tie"), "text")
+    blocks = gather(rows, BLOCK_CHARS).repartition(parts, "block")
+    asked = _asked(blocks).repartition("gram")
     known = log_probabilities(asked.select("gram").distinct(), model)
     answers = asked.join(known, "gram").select("block", "gram", "log_p")
 
@@ -236,7 +196,7 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         answers = dict(zip(right.column("gram").to_pylist(), right.column("log_p").to_pylist()))
         parts = []
         for data in left.column("data"):
-            table = _opened(data.as_py())
+            table = opened(data.as_py())
             texts = [t or "" for t in table.column("text").to_pylist()]
             mean, deviation = np.empty(len(texts)), np.empty(len(texts))
             for first, number, grams, begins in _grams(texts):
