@@ -11,7 +11,8 @@ difference cover needs one level of names and no recursion below it:
    share live on, all others are unique, and so is every string that contains no shared name.
 2. Merge in the remaining suffixes: positions up to PERIOD - 1 bytes before a shared name are
    sorted by the fingerprint of all their LENGTH bytes; equal neighbours are equal
-   strings, and the smallest document among them keeps its own.
+   strings, and the smallest document among them keeps its own. Documents whose whole text a
+   smaller one has are found beforehand in the same way; they lose everything and take no part.
 
 Texts move once, in compressed blocks. Blocks send each shard their distinct names (then
 strings) as sorted lists, and get a bit per entry back. A string that a third of all documents
@@ -54,21 +55,23 @@ class Texts:
         n = len(self.bytes)
         powers.reach(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * powers.up[:n], out=self.sums[1:])
+        part = self.sums[1:]
+        np.add(self.bytes, np.uint64(1), out=part, dtype=np.uint64, casting="unsafe")
+        part *= powers.up[:n]
+        np.cumsum(part, out=part)
         self.down = powers.down
-        # Rows without an id are left out of the comparison.
-        self.owned = np.array([i is not None for i in self.ids], bool)
         self.order = np.array([i or 0 for i in self.ids], np.int64)
-
-    def doc(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.begins, at, "right") - 1
+        size = np.diff(self.begins)
+        self.doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        # Rows without an id are left out of the comparison: nothing has room in them.
+        ends = np.where([i is not None for i in self.ids], self.begins[1:], 0)
+        self.end = np.repeat(ends, size)
 
     def inside(self, at: np.ndarray, length: int) -> np.ndarray:
         """Those of the positions ``at`` from which ``length`` bytes lie in one document with an id."""
-        doc = self.doc(at)
-        return at[(at + length <= self.begins[doc + 1]) & self.owned[doc]]
+        return at[at + length <= self.end[at]]
 
-    def prints(self, at: np.ndarray, length: int) -> np.ndarray:
+    def prints(self, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         return mixed((self.sums[at + length] - self.sums[at]) * self.down[at])
 
     def sampled(self) -> np.ndarray:
@@ -76,6 +79,13 @@ class Texts:
         at = (np.arange(0, n, PERIOD)[:, None] + np.array(COVER)).ravel()
         return self.inside(at[at < n], NAME)
 
+    def wholes(self):
+        """Texts that can lose something, by number, and the entries of their fingerprints."""
+        long = np.flatnonzero((np.diff(self.begins) >= LENGTH) & np.array([i is not None for i in self.ids], bool))
+        size = np.diff(self.begins)[long]
+        prints = self.prints(self.begins[long], size) + size.astype(np.uint64)
+        return long, _entries(prints, self.order[long])
+
 
 def _entries(prints: np.ndarray, order: np.ndarray):
     """Distinct fingerprints, rising, with the smallest and largest id of each and the entry of each position."""
@@ -117,43 +127,76 @@ _CUT = 24  # bits of a name that do not travel
 
 
 def _names(blocks: DataFrame, bits: int) -> DataFrame:
-    """Step 1: the distinct names of each block, and which of them several of its documents share."""
+    """Step 1: the distinct names of each block, and which of them several of its documents
+    share. In shards of their own, numbered from 2 ** bits on, also the whole texts."""
 
     def listed(batches):
+        import pyarrow as pa
+        import pyarrow.compute
+
         powers = Powers()
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
-                distinct, multi, _ = _block_names(Texts(data.as_py(), powers))
+                texts = Texts(data.as_py(), powers)
+                distinct, multi = _block_names(texts)[:2]
                 yield _sent(block, distinct, lambda a, b, m=multi: np.packbits(m[a:b]).tobytes(), _shards(distinct, bits), _CUT)
+                _, (distinct, low, _, _) = texts.wholes()
+                rows = _with_ids(block, distinct, low, bits)
+                shard = pyarrow.compute.add(rows.column("shard"), pa.scalar(1 << bits, pa.int32()))
+                yield rows.set_column(1, "shard", shard)
 
     return blocks.mapInArrow(listed, _SENT)
 
 
 def _block_names(texts: Texts):
+    """Distinct names, rising, which of them several documents of the block have, and the
+    sampled positions with theirs."""
     at = texts.sampled()
-    # Cut first, so that an entry is one number in both places.
     prints = texts.prints(at, NAME) >> np.uint64(_CUT) << np.uint64(_CUT)
-    distinct, low, high, entry = _entries(prints, texts.order[texts.doc(at)])
-    return distinct, low != high, (at, entry)
+    # The bits that a name does not use take the document's number, so one sort does for both.
+    # (Blocks hold fewer documents than that unless nearly all are empty, and those have no name.)
+    both = np.sort(prints | (texts.doc[at] % (1 << _CUT)).astype(np.uint64))
+    name = both >> np.uint64(_CUT) << np.uint64(_CUT)
+    fresh = np.concatenate([[True], name[1:] != name[:-1]]) if len(name) else np.zeros(0, bool)
+    start = np.flatnonzero(fresh)
+    last = np.concatenate([start[1:], [len(name)]]) - 1 if len(start) else start
+    return name[start], both[start] != both[last], at, prints
 
 
-def _shared_names(sent: DataFrame) -> DataFrame:
-    def sorted_(table):
-        import pyarrow as pa
+def _shared_names(sent: DataFrame, bits: int) -> DataFrame:
+    """For each name, whether several documents have it; for each whole text, whether a smaller one has it."""
 
+    def sorted_(table):
         lists = [summed(k) for k in table.column("keys").to_pylist()]
+        if table.column("shard")[0].as_py() >= 1 << bits:
+            return _answer(table, _lower_elsewhere(lists, table), 3, 1 << bits)
         multi = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)).astype(bool)
                  for m, k in zip(table.column("more").to_pylist(), lists)]
         every = np.sort(np.concatenate(lists))
         shared = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(k[m] for k, m in zip(lists, multi))]))
-        bits = [np.packbits(_among(k, shared)).tobytes() for k in lists]
-        n = len(bits)
-        return pa.table({"block": table.column("block"), "step": pa.array([1] * n, pa.int32()),
-                         "shard": table.column("shard"), "bits": pa.array(bits, pa.binary())})
+        return _answer(table, [_among(k, shared) for k in lists], 1)
 
     return sent.groupBy("shard").applyInArrow(sorted_, _ANSWER)
 
 
+def _lower_elsewhere(lists: list[np.ndarray], table) -> list[np.ndarray]:
+    """For each entry of each block, whether another block has it with a smaller id."""
+    ids = [unpacked(m[8:]).astype(np.int64) + int.from_bytes(m[:8], "little", signed=True)
+           for m in table.column("more").to_pylist()]
+    own = np.concatenate(ids)
+    _, low, _, entry = _entries(np.concatenate(lists), own)
+    return np.split(low[entry] < own, np.cumsum([len(k) for k in lists])[:-1])
+
+
+def _answer(table, flags: list[np.ndarray], step: int, less: int = 0):
+    import pyarrow as pa
+
+    shards = [s - less for s in table.column("shard").to_pylist()]
+    return pa.table({"block": table.column("block"), "step": pa.array([step] * len(flags), pa.int32()),
+                     "shard": pa.array(shards, pa.int32()),
+                     "bits": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())})
+
+
 def _among(keys: np.ndarray, shared: np.ndarray) -> np.ndarray:
     if not len(shared):
         return np.zeros(len(keys), bool)
@@ -173,14 +216,17 @@ def _answered(answers, step: int, borders: np.ndarray) -> np.ndarray:
 
 def _block_strings(texts: Texts, answers, bits: int):
     """Step 2: positions at or before a shared name, and their strings."""
-    distinct, _, (at, entry) = _block_names(texts)
-    live = at[_answered(answers, 1, _shards(distinct, bits))[entry]]
+    distinct, _, at, prints = _block_names(texts)
+    live = at[_among(prints, distinct[_answered(answers, 1, _shards(distinct, bits))])]
+    long, (distinct, low, _, entry) = texts.wholes()
+    copies = np.zeros(len(texts.ids), bool)
+    copies[long] = _answered(answers, 3, _shards(distinct, bits))[entry] | (texts.order[long] > low[entry])
     mark = np.zeros(len(texts.bytes) + 1, np.int32)
     np.add.at(mark, np.maximum(live - PERIOD + 1, 0), 1)
     np.add.at(mark, live + 1, -1)
-    starts = texts.inside(np.flatnonzero(np.cumsum(mark[:-1]) > 0), LENGTH)
-    order = texts.order[texts.doc(starts)]
-    return starts, order, _entries(texts.prints(starts, LENGTH), order)
+    starts = texts.inside(np.flatnonzero((np.cumsum(mark[:-1]) > 0) & ~copies[texts.doc]), LENGTH)
+    order = texts.order[texts.doc[starts]]
+    return copies, starts, order, _entries(texts.prints(starts, LENGTH), order)
 
 
 def _strings(blocks: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
@@ -189,34 +235,29 @@ def _strings(blocks: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
 
         powers, parts = Powers(), []
         for block, data in zip(left.column("block").to_pylist(), left.column("data").to_pylist()):
-            _, _, (distinct, low, _, _) = _block_strings(Texts(data, powers), right, bits)
-            base = int(low.min()) if len(low) else 0
-
-            def ids(a, b, low=low, base=base):
-                return base.to_bytes(8, "little", signed=True) + packed((low[a:b] - base).astype(np.uint64))
-
-            parts.append(_sent(block, distinct, ids, _shards(distinct, bits), 0))
+            *_, (distinct, low, _, _) = _block_strings(Texts(data, powers), right, bits)
+            parts.append(_with_ids(block, distinct, low, bits))
         return pa.Table.from_batches(parts)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(listed, _SENT)
 
 
+def _with_ids(block: int, distinct: np.ndarray, low: np.ndarray, bits: int):
+    """The rows for the shards of a block's strings, with the smallest id of each."""
+    base = int(low.min()) if len(low) else 0
+
+    def ids(a, b):
+        return base.to_bytes(8, "little", signed=True) + packed((low[a:b] - base).astype(np.uint64))
+
+    return _sent(block, distinct, ids, _shards(distinct, bits), 0)
+
+
 def _smaller(sent: DataFrame) -> DataFrame:
-    """For each block's string: whether a document of another block with a smaller id than its own has it."""
+    """Step 2: for each block's string, whether a document of another block with a smaller id has it."""
 
     def sorted_(table):
-        import pyarrow as pa
-
         lists = [summed(k) for k in table.column("keys").to_pylist()]
-        ids = [unpacked(m[8:]).astype(np.int64) + int.from_bytes(m[:8], "little", signed=True)
-               for m in table.column("more").to_pylist()]
-        every, own = np.concatenate(lists), np.concatenate(ids)
-        distinct, low, _, entry = _entries(every, own)
-        flags = np.split(low[entry] < own, np.cumsum([len(k) for k in lists])[:-1])
-        n = len(flags)
-        return pa.table({"block": table.column("block"), "step": pa.array([2] * n, pa.int32()),
-                         "shard": table.column("shard"),
-                         "bits": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())})
+        return _answer(table, _lower_elsewhere(lists, table), 2)
 
     return sent.groupBy("shard").applyInArrow(sorted_, _ANSWER)
 
@@ -234,12 +275,12 @@ def _removed(blocks: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
         powers, parts = Powers(), []
         for data in left.column("data").to_pylist():
             texts = Texts(data, powers)
-            starts, order, (distinct, low, _, entry) = _block_strings(texts, right, bits)
+            copies, starts, order, (distinct, low, _, entry) = _block_strings(texts, right, bits)
             gone = _answered(right, 2, _shards(distinct, bits))[entry] | (order > low[entry])
             mark = np.zeros(len(texts.bytes) + LENGTH + 1, np.int32)
             mark[starts[gone]] += 1
             mark[starts[gone] + LENGTH] -= 1
-            out = np.cumsum(mark)[:len(texts.bytes)] > 0
+            out = (np.cumsum(mark)[:len(texts.bytes)] > 0) | copies[texts.doc]
             rows = {name.split()[0]: [] for name in _RESULT.split(", ")}
             for i, (a, b) in enumerate(zip(texts.begins[:-1].tolist(), texts.begins[1:].tolist())):
                 here = out[a:b]
@@ -265,6 +306,6 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(1, math.ceil(chars / BLOCK_CHARS))
     blocks = gather(rows, BLOCK_CHARS).repartition(parts, "block")
-    shared = _shared_names(_names(blocks, bits))
-    smaller = _smaller(_strings(blocks, shared, bits))
-    return _removed(blocks, shared.unionByName(smaller), bits)
+    first = _shared_names(_names(blocks, bits), bits)
+    smaller = _smaller(_strings(blocks, first, bits))
+    return _removed(blocks, first.unionByName(smaller), bits)
