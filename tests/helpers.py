@@ -6,7 +6,10 @@ import base64
 import json
 from datetime import datetime, timezone
 
-from tidemark.schemas import KAFKA_RECORD, ORDERS, RAW_LANDING
+from pyspark.sql import functions as F
+
+from tidemark.schemas import KAFKA_RECORD, LANDING_DATE, ORDERS, RAW_LANDING
+from tidemark.streaming.landing import project
 
 
 def encoded(unscaled: int) -> str:
@@ -49,6 +52,13 @@ def kafka_frame(spark, count, partition=0, start=0, topic=ORDERS.topic):
     return spark.createDataFrame(rows, KAFKA_RECORD)
 
 
+def landed_at(records, root, when):
+    """A landing as it was left by a write at ``when``."""
+    stamped = project(records).withColumn("ingested_at_utc", F.lit(when)).withColumn(
+        LANDING_DATE, F.to_date("ingested_at_utc"))
+    stamped.write.mode("append").partitionBy(LANDING_DATE).parquet(root)
+
+
 EVENT_FIELDS = ORDERS.event_columns
 
 

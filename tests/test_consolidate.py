@@ -1,14 +1,12 @@
 from datetime import date
 
 import pytest
-from helpers import at, change, image
-from pyspark.sql import functions as F
+from helpers import at, change, image, landed_at
 
-from tidemark.operators import current as state
+from tidemark.operators import quality
 from tidemark.plans.consolidate import Consolidation
 from tidemark.plans.publish import Publisher
 from tidemark.schemas import KAFKA_RECORD, LANDING_DATE, ORDERS
-from tidemark.streaming.landing import land_batch
 
 D1, D2, D3 = date(2024, 5, 1), date(2024, 5, 2), date(2024, 5, 3)
 
@@ -16,7 +14,7 @@ D1, D2, D3 = date(2024, 5, 1), date(2024, 5, 2), date(2024, 5, 3)
 def send(spark, root, day, changes):
     rows = [(ORDERS.topic, 0, offset, at(day), b"k", value and value.encode())
             for offset, value in changes]
-    land_batch(spark.createDataFrame(rows, KAFKA_RECORD).coalesce(1), root, F.lit(at(day)))
+    landed_at(spark.createDataFrame(rows, KAFKA_RECORD).coalesce(1), root, at(day))
 
 
 @pytest.fixture
@@ -88,25 +86,76 @@ def _write_then_fail(rows, name, path, key, buckets):
 
 
 @pytest.mark.parametrize("shuffle_partitions", ["2", "4", "9"])
-def test_the_stored_state_is_not_shuffled_by_a_fold(spark, job, shuffle_partitions):
+def test_base_and_deltas_meet_where_they_lie(spark, job, shuffle_partitions):
     spark.conf.set("spark.sql.shuffle.partitions", shuffle_partitions)
     try:
         job.apply([D1, D2])
-        folded = state.fold(job.current(), job.batch([D3]), ORDERS, job.buckets)
-        plan = folded._jdf.queryExecution().executedPlan().toString()
-        stored, arriving = plan.split("SortMergeJoin")[1].split("Exchange", 1)
-        assert "Bucketed: true" in stored and "Bucketed: true" not in arriving
-        assert plan.count("from_json") == 1 and "from_json" in arriving
-        assert folded.count() == 3
+        job.compact()
+        job.apply([D3])
+        now = job.current()
+        plan = now._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Bucketed: true") == 2 and "Exchange" not in plan and "from_json" not in plan
+        assert now.count() == 3
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_folding_keeps_one_file_per_bucket(job):
+def test_compaction_keeps_the_state_and_one_file_per_bucket(job):
     for days in ([D1, D2], [D3], [D1]):
         job.apply(days)
-        files = job.current().inputFiles()
-        assert 1 <= len(files) <= job.buckets
+    before = current(job)
+    job.compact()
+    assert current(job) == before == EXPECTED
+    assert 1 <= len(job.current().inputFiles()) <= job.buckets
+    assert job.folded_dates() == [D1, D2, D3]
+
+
+def test_folds_and_compactions_side_by_side_lose_nothing(job):
+    """Each starts from the state the other starts from; both write."""
+    job.apply([D1])
+    base, deltas = job._versions()
+    job.apply([D2])  # while the following compaction of the older state is under way
+    job._write(job._table(deltas[0]), "base", [D1], base, deltas)
+    job.apply([D3])
+    assert current(job) == EXPECTED
+
+
+@pytest.mark.parametrize("order", [[[D2], [D3]], [[D3], [D2]], [[D2, D3]]])
+def test_history_does_not_depend_on_the_order_of_dates(job, order):
+    job.reprocess([D1])
+    for days in order:
+        job.reprocess(days)
+    assert sorted((r.offset, r[LANDING_DATE]) for r in job.history().collect()) == [
+        (0, D1), (1, D1), (2, D1), (3, D2), (4, D2), (6, D3)]
+
+
+def test_a_date_that_lost_its_events_loses_its_history(spark, job, monkeypatch):
+    job.reprocess([D1, D2, D3])
+    real = Publisher.published
+    monkeypatch.setattr(Publisher, "published", lambda self, dates=None: real(self, dates).where("offset > 4"))
+    job.reprocess([D2, D3])
+    assert sorted(r.offset for r in job.history().collect()) == [0, 1, 2, 6]
+
+
+def test_dates_whose_offsets_do_not_meet_are_not_read(spark, job, monkeypatch):
+    job.reprocess([D1])
+    read = []
+    real = Consolidation._rows_of
+    monkeypatch.setattr(Consolidation, "_rows_of", lambda self, runs: read.append(
+        {r[0] for r in runs.collect()}) or real(self, runs))
+    job.reprocess([D2])
+    assert all(D1 not in days for days in read)
+
+
+def test_a_view_and_its_audit(spark, job):
+    job.reprocess([D1, D2, D3])
+    job.apply([D1, D2])
+    assert spark.table(job.view()).count() == 2
+    audit = lambda: {r.id_order: r.verdict for r in quality.current_audit(
+        job.current(), job.history(), ORDERS).collect()}
+    assert audit() == {"3": "missing"}
+    job.apply([D3])
+    assert audit() == {}
 
 
 def test_the_number_of_buckets_can_change(job):

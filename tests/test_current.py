@@ -1,34 +1,37 @@
 import random
+from datetime import date
 
 from helpers import event, event_frame
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import current as state
 from tidemark.operators import history as past
-from tidemark.schemas import ORDERS
+from tidemark.schemas import IDENTITY, ORDERS
 
 
 def statuses(df):
     return {r.id_order: r.status_order for r in df.collect()}
 
 
-CASES = [
-    event("A", 100, 9, "OLD"), event("A", 200, 1, "NEW"),      # log position rules
-    event("B", 300, 5, "FIRST"), event("B", 300, 7, "SECOND"),  # offset breaks the tie
-]
+def newest(rows):
+    """Expectation in plain Python: per key the highest position, then the highest offset."""
+    best = {}
+    for key, lsn, offset, status in rows:
+        if key not in best or (lsn, offset) > best[key][:2]:
+            best[key] = (lsn, offset, status)
+    return {key: status for key, (_, _, status) in best.items()}
 
 
-def test_log_position_beats_offset_and_offset_breaks_ties(spark):
-    assert statuses(state.latest(event_frame(spark, CASES), ORDERS)) == {"A": "NEW", "B": "SECOND"}
-
-
-def test_result_does_not_depend_on_order_or_partitioning(spark):
-    rng = random.Random(42)
-    for run in range(20):
-        shuffled = CASES[:]
-        rng.shuffle(shuffled)
-        df = event_frame(spark, shuffled).repartition(run % 8 + 1)
-        assert statuses(state.latest(df, ORDERS)) == {"A": "NEW", "B": "SECOND"}
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("pqrs"), st.integers(0, 5)), min_size=1, max_size=40),
+       st.integers(1, 6), st.randoms(use_true_random=False))
+def test_the_highest_position_then_offset_wins_in_any_order(spark, drawn, partitions, rng):
+    rows = [(key, lsn, offset, f"s{offset}") for offset, (key, lsn) in enumerate(drawn)]
+    rng.shuffle(rows)
+    frame = event_frame(spark, [event(k, lsn, o, s) for k, lsn, o, s in rows])
+    assert statuses(state.latest(frame.repartition(partitions), ORDERS)) == newest(rows)
 
 
 def test_missing_log_position_loses(spark):
@@ -74,36 +77,38 @@ def test_history_holds_each_identity_once(spark):
     assert past.distinct_events(df).count() == 2
 
 
-def test_new_events_leaves_known_identities_out(spark):
-    known = event_frame(spark, [event("A", n, n) for n in range(10)])
-    batch = event_frame(spark, [event("A", n, n) for n in (8, 9, 10, 11, 11)])
-    assert sorted(r.offset for r in past.new_events(batch, known).collect()) == [10, 11]
+def dated(spark, rows):
+    """Event frame with a landing date: (offset, day)."""
+    frame = event_frame(spark, [event("A", o, o) for o, _ in rows])
+    numbered = [(*tuple(r), rows[i][1]) for i, r in enumerate(frame.collect())]
+    return spark.createDataFrame(numbered, ORDERS.event_schema.add("ingestion_date_utc", "date"))
+
+
+D = [date(2024, 5, d) for d in range(1, 6)]
 
 
-def test_new_events_without_ranges_is_the_same(spark, monkeypatch):
-    monkeypatch.setattr(past, "_MAX_RANGES", 0)
-    known = event_frame(spark, [event("A", n, n) for n in range(10)])
-    batch = event_frame(spark, [event("A", n, n) for n in (8, 9, 10, 11, 11)])
-    assert sorted(r.offset for r in past.new_events(batch, known).collect()) == [10, 11]
+def test_the_earliest_copy_stays_in_any_order(spark):
+    rows = [(1, D[2]), (1, D[0]), (1, D[1]), (2, D[1]), (2, D[1])]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        found = past.distinct_events(dated(spark, order).coalesce(1)).collect()
+        assert {(r.offset, r.ingestion_date_utc) for r in found} == {(1, D[0]), (2, D[1])}
 
 
-def test_new_events_of_an_empty_batch(spark):
-    known = event_frame(spark, [event("A", 1, 1)])
-    assert past.new_events(event_frame(spark, []), known).count() == 0
+def test_each_date_keeps_an_identity_once(spark):
+    rows = dated(spark, [(8, D[0]), (9, D[0]), (9, D[0]), (9, D[1])])
+    out = past.once_per_date(rows, rows.select("ingestion_date_utc", *IDENTITY))
+    assert sorted((r.offset, r.ingestion_date_utc) for r in out.collect()) == [(8, D[0]), (9, D[0]), (9, D[1])]
 
 
 def test_a_batch_without_repeats_is_not_shuffled(spark, tmp_path):
-    event_frame(spark, [event("A", n, n) for n in range(10)]).write.parquet(str(tmp_path / "b"))
+    dated(spark, [(n, D[0]) for n in range(10)]).write.parquet(str(tmp_path / "b"))
     batch = spark.read.parquet(str(tmp_path / "b"))
-    out = past.new_events(batch, event_frame(spark, [event("A", 50, 50)]))
+    out = past.once_per_date(batch, batch.select("ingestion_date_utc", *IDENTITY))
     assert out.count() == 10
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_the_offset_range_reaches_the_history_scan(spark, tmp_path):
-    event_frame(spark, [event("A", n, n) for n in range(10)]).write.parquet(str(tmp_path / "h"))
-    batch = event_frame(spark, [event("A", n, n) for n in (7, 8)])
-    found = past.repeated_identities(batch, spark.read.parquet(str(tmp_path / "h")))
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(offset,7)" in plan and "LessThanOrEqual(offset,8)" in plan
-    assert sorted((r.offset, r.known) for r in found.collect()) == [(7, True), (8, True)]
+def test_only_dates_whose_offsets_meet_can_hold_repeats(spark):
+    known = past.offset_ranges(dated(spark, [(0, D[0]), (9, D[0]), (10, D[1]), (19, D[1]), (30, D[2])]))
+    new = past.offset_ranges(dated(spark, [(15, D[3]), (25, D[3])]))
+    assert [r[0] for r in past.overlapping_dates(new, known.unionByName(new)).collect()] == [D[1]]

@@ -1,18 +1,16 @@
 import pytest
-from helpers import at, change, image
-from pyspark.sql import functions as F
+from helpers import at, change, image, landed_at
 
 from tidemark import jobs
 from tidemark.schemas import KAFKA_RECORD, ORDERS
 from tidemark.session import object_store, rest_catalog
-from tidemark.streaming.landing import land_batch
 
 
 @pytest.fixture
 def options(spark, tmp_path):
     rows = [(ORDERS.topic, 0, 0, at(), b"k", change("c", after=image("1"), lsn=1).encode()),
             (ORDERS.topic, 0, 1, at(), b"k", change("u", after=image("1", "SHIPPED"), lsn=2).encode())]
-    land_batch(spark.createDataFrame(rows, KAFKA_RECORD), str(tmp_path / "landing"), F.lit(at(1)))
+    landed_at(spark.createDataFrame(rows, KAFKA_RECORD), str(tmp_path / "landing"), at(1))
     names = ("landing", "compacted", "ledger")
     return ["--dataset", "orders", *[x for n in names for x in (f"--{n}", str(tmp_path / n))],
             "--date", "2024-05-01"]

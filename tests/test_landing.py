@@ -2,7 +2,7 @@ import shutil
 from datetime import date
 
 import pytest
-from helpers import at, kafka_frame
+from helpers import at, kafka_frame, landed_at
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -11,7 +11,6 @@ from tidemark.sources.layers import file_layout, landing_scan
 from tidemark.sources.streams import file_stream, kafka_options, kafka_stream
 from tidemark.streaming.landing import (
     catch_up,
-    land_batch,
     print_stream,
     project,
     stamp,
@@ -30,10 +29,10 @@ def land(spark, paths, **options):
 
 
 def test_projection_renames_and_keeps_bytes(spark):
-    out = stamp(project(kafka_frame(spark, 1)), F.lit(at(3, 23)))
+    out = stamp(project(kafka_frame(spark, 1)))
     assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in RAW_LANDING]
     row = out.first()
-    assert bytes(row.key_raw) == b"k0" and row.ingestion_date_utc == date(2024, 5, 3)
+    assert bytes(row.key_raw) == b"k0" and row.ingestion_date_utc == row.ingested_at_utc.date()
 
 
 def test_restart_adds_nothing_and_continues(spark, paths):
@@ -80,7 +79,7 @@ def test_files_outside_the_commit_log_do_not_count(spark, paths, tmp_path):
 
 def test_landing_scan_prunes_partitions(spark, paths):
     for day in (1, 2, 3):
-        land_batch(kafka_frame(spark, day, start=day * 10), paths["landing"], F.lit(at(day)))
+        landed_at(kafka_frame(spark, day, start=day * 10), paths["landing"], at(day))
     out = landing_scan(spark, paths["landing"], [date(2024, 5, 2)])
     assert out.count() == 2
     plan = out._jdf.queryExecution().executedPlan().toString()
@@ -89,17 +88,19 @@ def test_landing_scan_prunes_partitions(spark, paths):
 
 
 def test_layout_matches_the_files(spark, paths, tmp_path):
-    land_batch(kafka_frame(spark, 50).repartition(3), paths["landing"], F.lit(at(1)))
-    land_batch(kafka_frame(spark, 5).coalesce(1), paths["landing"], F.lit(at(2)))
+    landed_at(kafka_frame(spark, 50).repartition(3), paths["landing"], at(1))
+    landed_at(kafka_frame(spark, 5).coalesce(1), paths["landing"], at(2))
     rows = file_layout(spark, paths["landing"]).collect()
     on_disk = {p.name: p.stat().st_size for p in (tmp_path / "landing").rglob("part-*.parquet")}
     assert {r.file_path.rsplit("/", 1)[1]: r.file_bytes for r in rows} == on_disk
     assert file_layout(spark, paths["landing"], [date(2024, 5, 2)]).count() == 1
 
 
-def test_nothing_landed_yet(spark, paths):
-    assert landing_scan(spark, paths["landing"]).count() == 0
-    assert file_layout(spark, paths["landing"]).count() == 0
+def test_a_landing_that_does_not_exist_is_an_error(spark, paths):
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        landing_scan(spark, paths["landing"])
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        file_layout(spark, paths["landing"])
 
 
 def test_kafka_options():

@@ -1,14 +1,18 @@
+import shutil
 from datetime import date, datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
-from helpers import at, kafka_frame
+from helpers import at, kafka_frame, landed_at
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger
 from tidemark.plans.publish import PublicationRejected, Publisher
 from tidemark.schemas import LEDGER, RAW_COLUMNS
-from tidemark.sources.layers import file_layout, run_scan
-from tidemark.streaming.landing import land_batch
+from tidemark.sources.layers import PublishedRunLost, file_layout, landings_scan, run_scan
+from tidemark.sources.streams import file_stream
+from tidemark.streaming.landing import catch_up, land_batch
 
 D1, D2, D3 = date(2024, 5, 1), date(2024, 5, 2), date(2024, 5, 3)
 
@@ -34,8 +38,8 @@ class Crashing(Publisher):
 def place(spark, tmp_path):
     """A landing whose first date is fragmented and whose second is not."""
     root = str(tmp_path / "landing")
-    land_batch(kafka_frame(spark, 60).repartition(6), root, F.lit(at(1)))
-    land_batch(kafka_frame(spark, 10, start=60).coalesce(1), root, F.lit(at(2)))
+    landed_at(kafka_frame(spark, 60).repartition(6), root, at(1))
+    landed_at(kafka_frame(spark, 10, start=60).coalesce(1), root, at(2))
 
     def make(kind=Publisher, **options):
         return kind(spark, "orders", root, str(tmp_path / "compacted"), str(tmp_path / "ledger"),
@@ -137,7 +141,7 @@ def test_an_unknown_status_stops_the_job(spark, place):
 def test_records_landed_later_stay_hidden_until_republished(spark, place):
     job = place()
     job.publish([D1, D2])
-    land_batch(kafka_frame(spark, 3, start=70).coalesce(1), place.root, F.lit(at(2, 23)))
+    landed_at(kafka_frame(spark, 3, start=70).coalesce(1), place.root, at(2, 23))
     assert offsets(job.published([D2])) == list(range(60, 70))
     job.publish([D2])
     assert offsets(job.published([D2])) == list(range(60, 70))
@@ -153,13 +157,69 @@ def test_materialized_dates_are_runs(spark, place):
     assert offsets(job.published()) == list(range(60, 70))
 
 
-def test_a_run_that_is_gone_gives_no_rows(spark, place):
+def test_a_run_that_is_gone_is_an_error_that_names_it(spark, place):
     job = place()
     done = states(job.publish([D1]))
     missing = job.compacted + "/ingestion_date_utc=2024-05-09/run_id=none"
-    assert offsets(run_scan(spark, job.compacted, [missing, done[D1].published_path])) \
-        == list(range(60))
-    assert run_scan(spark, job.compacted, [missing]).count() == 0
+    with pytest.raises(PublishedRunLost, match="2024-05-09"):
+        run_scan(spark, job.compacted, [missing, done[D1].published_path])
+    shutil.move(done[D1].published_path.removeprefix("file:"), job.compacted + "-elsewhere")
+    with pytest.raises(PublishedRunLost, match="2024-05-01"):
+        job.published()
+
+
+def test_a_failed_republication_leaves_the_good_run_visible(spark, place):
+    job = place()
+    job.publish([D1, D2])
+    landed_at(kafka_frame(spark, 3, start=70).coalesce(1), place.root, at(1, 23))
+    landed_at(kafka_frame(spark, 3, start=80).coalesce(1), place.root, at(2, 23))
+    with pytest.raises(PublicationRejected):
+        place(Losing, republish_grown=True).publish([D1, D2])
+    assert states(job.in_force())[D1].status == "FAILED"
+    assert offsets(job.published([D1])) == list(range(60))
+    place(republish_grown=True).publish([D1])
+    assert offsets(job.published([D1])) == [*range(60), 70, 71, 72]
+
+
+def test_states_with_one_number_are_ordered_by_their_start(spark, place):
+    row = dict.fromkeys(LEDGER.fieldNames()) | {"dataset": "d", "partition_date": D1, "seq": 3}
+    rows = [row | {"run_id": "a", "started_at": at(1, 2), "status": "COMPLETED"},
+            row | {"run_id": "b", "started_at": at(1, 1), "status": "FAILED"}]
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, LEDGER).coalesce(1)
+        assert ledger.latest(frame).first().run_id == "a"
+
+
+def test_a_missing_landing_is_an_error_not_an_empty_date(spark, tmp_path):
+    job = Publisher(spark, "orders", str(tmp_path / "typo"), str(tmp_path / "c"), str(tmp_path / "l"))
+    with pytest.raises(AnalysisException, match="typo"):
+        job.publish([D1])
+    assert states(job.in_force())[D1].status == "FAILED"
+
+
+def test_a_stream_and_its_backfill_are_published_together(spark, tmp_path):
+    topic, root, more = (str(tmp_path / n) for n in ("topic", "landing", "backfill"))
+    kafka_frame(spark, 20).write.parquet(topic)
+    catch_up(file_stream(spark, topic), root, str(tmp_path / "checkpoint"))
+    with pytest.raises(ValueError, match="stream"):
+        land_batch(kafka_frame(spark, 7, start=20), root)
+    land_batch(kafka_frame(spark, 7, start=20), more)
+    job = Publisher(spark, "orders", root, str(tmp_path / "c"), str(tmp_path / "l"), backfills=(more,))
+    days = {r[0] for r in landings_scan(spark, job.landings).select("ingestion_date_utc").distinct().collect()}
+    job.publish(days)
+    assert offsets(job.published()) == list(range(27))
+
+
+def test_one_bad_date_leaves_the_others_published(spark, place):
+    landed_at(kafka_frame(spark, 5, start=90).repartition(2), place.root, at(3))
+    bad = next(Path(place.root).glob("ingestion_date_utc=2024-05-03/part-*.parquet"))
+    bad.write_bytes(b"not parquet")
+    job = place()
+    with pytest.raises(Exception):
+        job.publish([D1, D2, D3])
+    done = states(job.in_force())
+    assert {d: r.status for d, r in done.items()} == {D1: "COMPLETED", D2: "COMPLETED", D3: "FAILED"}
+    assert offsets(job.published([D1, D2])) == list(range(70))
 
 
 def test_nothing_published_yet(spark, place):

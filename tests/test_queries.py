@@ -4,24 +4,22 @@ import pytest
 from compare import compare, connection
 
 import __spark_entry__ as entry
-
-# Queries about physical files, which SQL over the tables cannot know.
-ROWS_ONLY = {"file_layout", "output_layout"}
-
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 
 @pytest.fixture(scope="module")
 def con(sf):
     return connection(sf)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, sf, name):
     assert compare(spark, con, name, sf) is None
 
 
-def test_every_query_has_sql_unless_it_is_about_files():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
-    assert not set(entry.oracle_sql()) - set(entry.queries())
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and not set(entry.oracle_sql()) - set(entry.queries())
 
 
 def test_entry_has_a_stable_schema(spark):

@@ -23,7 +23,7 @@ from tidemark.operators.events import events
 from tidemark.plans.consolidate import Consolidation
 from tidemark.plans.publish import Publisher
 from tidemark.schemas import ENTITIES
-from tidemark.session import builder
+from tidemark.session import builder, object_store
 from tidemark.sources.streams import kafka_stream
 from tidemark.streaming.landing import start_landing
 
@@ -60,6 +60,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     land.add_argument("--available-now", action="store_true")
     land.add_argument("--interval")
     land.add_argument("--min-partitions", type=int)
+    land.add_argument("--max-offsets-per-trigger", type=int)
+    land.add_argument("--starting-offsets", default="earliest")
 
     for job in ("publish", "consolidate", "preview"):
         sub = jobs.add_parser(job)
@@ -74,11 +76,17 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
         if job == "consolidate":
             sub.add_argument("--root", required=True)
             sub.add_argument("--buckets", type=int, default=200)
+        sub.add_argument("--backfill", nargs="*", default=[])
+    for sub in jobs.choices.values():
+        sub.add_argument("--store", help="endpoint of an S3-compatible store; keys from "
+                         "STORE_ACCESS_KEY and STORE_SECRET_KEY")
     return parser.parse_args(argv)
 
 
 def land(spark: SparkSession, args: argparse.Namespace) -> None:
-    records = kafka_stream(spark, args.servers, args.topic, min_partitions=args.min_partitions)
+    records = kafka_stream(spark, args.servers, args.topic, min_partitions=args.min_partitions,
+                           max_offsets_per_trigger=args.max_offsets_per_trigger,
+                           starting_offsets=args.starting_offsets)
     start_landing(records, args.path, args.checkpoint, available_now=args.available_now,
                   interval=args.interval).awaitTermination()
 
@@ -87,7 +95,8 @@ def _publisher(spark: SparkSession, args: argparse.Namespace) -> Publisher:
     flags = {name: getattr(args, name, False)
              for name in ("materialize", "payload", "republish_grown")}
     return Publisher(spark, args.dataset, args.landing, args.compacted, args.ledger,
-                     stale_after=timedelta(minutes=int(args.stale_minutes)), **flags)
+                     stale_after=timedelta(minutes=int(args.stale_minutes)),
+                     backfills=tuple(args.backfill), **flags)
 
 
 def _dates(args: argparse.Namespace) -> list:
@@ -116,7 +125,9 @@ def preview(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def main(argv: list[str] | None = None) -> None:
     args = arguments(argv)
-    spark = builder(f"tidemark-{args.job}").getOrCreate()
+    store = [object_store(args.store, os.environ["STORE_ACCESS_KEY"], os.environ["STORE_SECRET_KEY"],
+                          tls=args.store.startswith("https"))] if args.store else []
+    spark = builder(f"tidemark-{args.job}", *store).getOrCreate()
     if args.job == "land":
         land(spark, args)
         return

@@ -33,11 +33,17 @@ def fold(current: DataFrame, batch: DataFrame, entity: Entity,
     place: the reduced batch moves to the buckets, the stored rows do not, and every task
     ends up with the rows of exactly one bucket.
     """
-    key = entity.key
-    rest = [c for c in entity.event_columns if c != key]
     reduced = latest(batch, entity)
     if buckets:
-        reduced = reduced.repartition(buckets, key)
+        reduced = reduced.repartition(buckets, entity.key)
+    return merge(current, reduced, entity)
+
+
+def merge(current: DataFrame, reduced: DataFrame, entity: Entity) -> DataFrame:
+    """The newer row per key of two tables that hold each key once. Tables bucketed alike by
+    the key are joined where they lie."""
+    key = entity.key
+    rest = [c for c in entity.event_columns if c != key]
     new = reduced.select(
         F.col(key).alias("new_key"), F.struct(*ORDERING).alias("new_order"),
         F.struct(*rest).alias("new_row"))

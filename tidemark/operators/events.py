@@ -12,6 +12,7 @@ from tidemark.functions.rows import computed_once
 from tidemark.schemas import AMOUNT_PRECISION, AMOUNT_SCALE, DELETE_OP, Entity
 
 _POSITION = ("topic", "kafka_partition", "offset", "kafka_timestamp_utc")
+# --- fixed values: names of the technical columns and their places in the envelope ---
 _METADATA_PATHS = {
     "cdc_operation": "op",
     "source_lsn": "source.lsn",
@@ -22,6 +23,7 @@ _METADATA_PATHS = {
     "before": "before",
     "after": "after",
 }
+# --- end of fixed values ---
 
 
 def decode(raw: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
@@ -70,7 +72,8 @@ def with_image(parsed: DataFrame, entity: Entity) -> DataFrame:
 def typed(parsed: DataFrame, entity: Entity) -> DataFrame:
     """Normalised events plus ``reject_reason``, null where the record is sound.
 
-    Nothing is dropped here: a record is either an event or carries the reason why not.
+    Nothing is dropped here: a record is either an event or carries the reason why not. An
+    operation of an unknown kind is an event; ``domain_audit`` counts those.
     """
     business = entity.fields[:3]
     technical = [c for c in entity.event_columns if c not in entity.fields]
@@ -92,6 +95,7 @@ def typed(parsed: DataFrame, entity: Entity) -> DataFrame:
     reason = (
         F.when(F.col("cdc_operation").isNull(), "unreadable")
         .when(F.col(entity.key).isNull(), "missing_key")
+        .when(F.col("source_lsn").isNull(), "missing_position")
         .when(unread("amount"), "bad_amount")
         .when(unread("created_at") | unread("updated_at"), "bad_timestamp")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,75 +10,58 @@ from pyspark.sql import functions as F
 from tidemark.schemas import IDENTITY, LANDING_DATE
 from tidemark.session import written
 
-_MAX_RANGES = 10_000  # topic partitions; beyond it history is compared without ranges
+RANGE_COLUMNS = ("topic", "kafka_partition", "from_offset", "to_offset")
 
 
-def distinct_events(events: DataFrame) -> DataFrame:
-    """Events deduplicated on their record identity."""
-    return events.dropDuplicates(list(IDENTITY))
+def distinct_events(events: DataFrame, by: Sequence[str] = IDENTITY) -> DataFrame:
+    """Events deduplicated on their record identity. Of several copies the one of the earliest
+    landing date stays, and among those the one that sorts first, whatever order they are
+    read in."""
+    rest = [c for c in events.columns if c not in by]
+    order = sorted(rest, key=lambda c: c != LANDING_DATE)
+    first = F.min(F.struct(*order)).alias("first")
+    return events.groupBy(*by).agg(first).select(*[
+        F.col(c) if c in by else F.col(f"first.{c}") for c in events.columns])
 
 
-def offset_ranges(batch: DataFrame) -> DataFrame:
-    """First and last offset per topic partition."""
-    return batch.groupBy("topic", "kafka_partition").agg(
-        F.min("offset").alias("from_offset"), F.max("offset").alias("to_offset"))
+def offset_ranges(events: DataFrame, by: Sequence[str] = (LANDING_DATE,)) -> DataFrame:
+    """Number of events, first and last offset per ``by`` and topic partition."""
+    return events.groupBy(*by, "topic", "kafka_partition").agg(
+        F.min("offset").alias("from_offset"), F.max("offset").alias("to_offset"),
+        F.count("*").alias("events"))
 
 
-def _within(known: DataFrame, ranges: list) -> DataFrame:
-    """Known identities inside the offset range of their topic partition.
+def overlapping_dates(new: DataFrame, known: DataFrame) -> DataFrame:
+    """Landing dates of the ranges in ``known`` that meet a range in ``new``, other than its own."""
+    a = new.select(*[F.col(c).alias(f"new_{c}") for c in (LANDING_DATE, *RANGE_COLUMNS)])
+    meets = (
+        (F.col("topic") == F.col("new_topic"))
+        & (F.col("kafka_partition") == F.col("new_kafka_partition"))
+        & (F.col("from_offset") <= F.col("new_to_offset"))
+        & (F.col("to_offset") >= F.col("new_from_offset"))
+        & (F.col(LANDING_DATE) != F.col(f"new_{LANDING_DATE}")))
+    return known.join(a, meets, "left_semi").select(LANDING_DATE).distinct()
 
-    The overall range reaches the scan as well, where it skips files and row groups.
-    """
-    limits = known.sparkSession.createDataFrame(
-        ranges, "topic string, kafka_partition int, from_offset bigint, to_offset bigint")
-    overall = F.col("offset").between(min(r.from_offset for r in ranges),
-                                      max(r.to_offset for r in ranges))
-    own = F.col("offset").between(F.col("from_offset"), F.col("to_offset"))
-    bounded = known.where(overall).join(F.broadcast(limits), ["topic", "kafka_partition"])
-    return bounded.where(own).select(*IDENTITY)
-
-
-def repeated_identities(arrived: DataFrame, history: DataFrame) -> DataFrame:
-    """Identities that ``arrived`` holds more than once or that ``history`` holds already
-    (``known``). Both sides are counted in one pass; only identities move."""
-    known = history.select(*IDENTITY)
-    ranges = offset_ranges(arrived).limit(_MAX_RANGES + 1).collect()
-    if ranges and len(ranges) <= _MAX_RANGES:
-        known = _within(known, ranges)
-    one, none = F.lit(1), F.lit(0)
-    seen = arrived.select(*IDENTITY, one.alias("new"), none.alias("old")).unionByName(
-        known.select(*IDENTITY, none.alias("new"), one.alias("old")))
-    counted = seen.groupBy(*IDENTITY).agg(F.sum("new").alias("new"), F.sum("old").alias("old"))
-    repeated = (F.col("new") > 1) | ((F.col("new") > 0) & (F.col("old") > 0))
-    return counted.where(repeated).select(*IDENTITY, (F.col("old") > 0).alias("known"))
-
-
-def new_events(batch: DataFrame, history: DataFrame, arrived: DataFrame | None = None) -> DataFrame:
-    """Events of ``batch`` whose identity ``history`` does not hold yet, each once.
+
+def once_per_date(batch: DataFrame, arrived: DataFrame) -> DataFrame:
+    """``batch`` with each identity once per landing date. ``arrived`` holds the identities and
+    dates of the raw records behind it, which are cheaper to count.
 
     Repeats are the exception, so they are looked for first, by identity alone. Without
-    any, the batch passes untouched and unshuffled. Else the rest of the batch is kept as
-    it is and only the repeated events are deduplicated. ``arrived`` may name a cheaper
-    source of the batch's identities, such as the raw records it was parsed from.
+    any, the batch passes untouched and unshuffled.
     """
-    source = batch if arrived is None else arrived
-    repeated = written(repeated_identities(source, history), "repeated")
+    by = [LANDING_DATE, *IDENTITY]
+    counted = arrived.groupBy(*by).agg(F.count("*").alias("copies"))
+    repeated = written(counted.where(F.col("copies") > 1).select(*by), "repeated")
     if repeated.isEmpty():
         return batch
-    untouched = batch.join(repeated, list(IDENTITY), "left_anti")
-    again = batch.join(repeated.where(~F.col("known")), list(IDENTITY), "left_semi")
-    return untouched.unionByName(distinct_events(again))
-
-
-def write_dates(history: DataFrame, path: str) -> None:
-    """Replace the dates present in ``history``, leave all others; repeating it changes nothing."""
-    (
-        history.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(LANDING_DATE)
-        .parquet(path)
-    )
+    untouched = batch.join(repeated, by, "left_anti")
+    again = batch.join(repeated, by, "left_semi")
+    return untouched.unionByName(distinct_events(again, by))
 
 
-def on_date(history: DataFrame, day: date) -> DataFrame:
-    return history.where(F.col(LANDING_DATE) == F.lit(day))
+def without_repeats(history: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``history`` in which the identities of ``repeated`` keep their earliest copy only."""
+    once = repeated.select(*IDENTITY).distinct()
+    untouched = history.join(once, list(IDENTITY), "left_anti")
+    return untouched.unionByName(distinct_events(history.join(once, list(IDENTITY), "left_semi")))

@@ -26,6 +26,9 @@ STALE_AFTER = timedelta(minutes=30)
 # --- end of fixed value ---
 
 KEYS = ("dataset", "partition_date")
+# A total order of the states of a date: of two runs that reach the same number, the one
+# started later counts.
+_ORDER = ("seq", "started_at", "run_id")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -47,10 +50,20 @@ def append(states: DataFrame, path: str) -> None:
 def latest(states: DataFrame) -> DataFrame:
     """The state in force per dataset and date."""
     rest = [c for c in states.columns if c not in KEYS]
-    newest = F.max_by(F.struct(*rest), F.col("seq")).alias("newest")
+    order = F.struct(*[c for c in _ORDER if c in rest])
+    newest = F.max_by(F.struct(*rest), order).alias("newest")
     return states.groupBy(*KEYS).agg(newest).select(*KEYS, "newest.*")
 
 
+def visible(states: DataFrame) -> DataFrame:
+    """What readers see per dataset and date: the newest completed state that names a path.
+
+    Runs that are under way, failed or found nothing leave the one before them visible.
+    """
+    done = (F.col("status") == COMPLETED) & F.col("published_path").isNotNull()
+    return latest(states.where(done))
+
+
 def admission(wanted: DataFrame, in_force: DataFrame, now: datetime,
               stale_after: timedelta = STALE_AFTER, landed: DataFrame | None = None) -> DataFrame:
     """``wanted`` datasets and dates with a verdict each, for a whole backfill at once.

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.current import ORDERING, latest
 from tidemark.schemas import IDENTITY, OPERATIONS, Entity
 
 
@@ -61,3 +62,20 @@ def reconcile(left: DataFrame, right: DataFrame, identity: Sequence[str] = IDENT
     )
     differing = filled.where(F.col("left_copies") != F.col("right_copies"))
     return differing.withColumn("verdict", verdict)
+
+
+def current_audit(current: DataFrame, history: DataFrame, entity: Entity) -> DataFrame:
+    """Keys whose current state is not the latest event of ``history``, with a verdict:
+    ``repeated`` (more than one row), ``missing``, ``unexpected`` or ``differs``."""
+    key = entity.key
+    held = current.groupBy(key).agg(
+        F.count("*").alias("rows"), F.max(F.struct(*ORDERING)).alias("held"))
+    due = latest(history, entity).select(key, F.struct(*ORDERING).alias("due"))
+    verdict = (
+        F.when(F.col("rows") > 1, "repeated")
+        .when(F.col("held").isNull(), "missing")
+        .when(F.col("due").isNull(), "unexpected")
+        .when(F.col("held") != F.col("due"), "differs")
+    )
+    both = held.join(due, key, "full_outer").select(key, verdict.alias("verdict"))
+    return both.where(F.col("verdict").isNotNull())

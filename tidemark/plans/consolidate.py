@@ -1,8 +1,15 @@
 """Published records to history and current state.
 
-History is replaced one landing date at a time. Current state is written as a new version
-next to the one being read; an append-only list of versions names the one in force, so
-readers and restarted jobs never meet a half-written table.
+Both are written first and named last, by rows of append-only lists, so readers and
+restarted jobs never meet a half-written table, and nothing is overwritten.
+
+History is one run per landing date; the newest named run of a date counts. A run holds
+exactly the date's own events, so it does not depend on what other dates hold. Events that
+landed on several dates are listed apart, and readers keep their earliest copy.
+
+Current state is a base and the deltas written since. A fold writes its reduced batch as
+one more delta; ``compact`` makes a new base. Deltas can be merged in any order and any number of
+times, so folds that run side by side lose nothing.
 """
 
 from __future__ import annotations
@@ -10,22 +17,30 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import utc_now
 from tidemark.functions.calendar import run_id as new_run_id
+from tidemark.functions.calendar import utc_now
 from tidemark.operators import current as state
 from tidemark.operators import history as past
 from tidemark.operators.events import events
 from tidemark.plans.publish import Publisher
 from tidemark.schemas import IDENTITY, LANDING_DATE, Entity
-from tidemark.session import empty
-from tidemark.sources.tables import attach_bucketed, write_bucketed
+from tidemark.session import empty, written
+from tidemark.sources.layers import existing, run_path
+from tidemark.sources.tables import attach_bucketed, drop_table, write_bucketed
 
-_VERSIONS = "seq bigint, version string, path string, buckets int, created_at timestamp"
+_BASE, _DELTA = "base", "delta"
+_VERSIONS = ("version string, kind string, path string, buckets int, includes array<string>, "
+             "dates array<date>, created_at timestamp")
+_RUNS = f"{LANDING_DATE} date, run string, events bigint, created_at timestamp"
+_RANGES = (f"{LANDING_DATE} date, run string, topic string, kafka_partition int, "
+           "from_offset bigint, to_offset bigint, events bigint")
+_REPEATED = "topic string, kafka_partition int, offset bigint"
 
 
 @dataclass(frozen=True)
@@ -49,73 +64,161 @@ class Consolidation:
         """Normalised events of the published dates, with their landing date."""
         return events(self.publisher.published(dates), self.entity, carry=(LANDING_DATE,))
 
-    # -- history ------------------------------------------------------------------------
-
-    def history(self) -> DataFrame:
-        schema = self.entity.event_schema.add(LANDING_DATE, "date")
+    def _list(self, name: str, schema: str) -> DataFrame | None:
+        """All rows ever added to a list; none before the first."""
         try:
-            return self.spark.read.schema(schema).parquet(self.history_path)
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
+            return None
+
+    def _add(self, rows: DataFrame, name: str) -> None:
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+
+    # -- history ------------------------------------------------------------------------
+
+    def _runs(self) -> DataFrame | None:
+        """The run in force of every date."""
+        runs = self._list("history-runs", _RUNS)
+        if runs is None:
+            return None
+        newest = F.max_by(F.struct("run", "events"), F.struct("created_at", "run"))
+        return runs.groupBy(LANDING_DATE).agg(newest.alias("r")).select(LANDING_DATE, "r.*")
+
+    def _rows_of(self, runs: DataFrame | None) -> DataFrame:
+        """Events of the named runs, one row per date in ``runs``."""
+        schema = self.entity.event_schema.add(LANDING_DATE, "date")
+        paths = [] if runs is None else [
+            run_path(self.history_path, r[LANDING_DATE], r.run)
+            for r in runs.where("events > 0").orderBy(LANDING_DATE).collect()]
+        if not paths:
             return empty(self.spark, schema)
+        rows = self.spark.read.schema(schema).option("basePath", self.history_path).parquet(*paths)
+        return rows.select(*schema.fieldNames())
 
-    def reprocess(self, dates: Iterable[date]) -> None:
-        """Rebuild the history of ``dates`` from what is published for them.
+    def history(self) -> DataFrame:
+        """Every event once."""
+        rows, repeated = self._rows_of(self._runs()), self._list("history-repeated", _REPEATED)
+        return rows if repeated is None else past.without_repeats(rows, repeated)
 
-        An event that another date already holds stays there and is not added again.
-        """
-        days = list(dates)
-        others = self.history().where(~F.col(LANDING_DATE).isin(days))
-        arrived = self.publisher.published(days).select(*IDENTITY)
-        past.write_dates(past.new_events(self.batch(days), others, arrived), self.history_path)
+    def reprocess(self, dates: Iterable[date]) -> None:
+        """Rebuild the history of ``dates`` from what is published for them. A date without
+        events any more loses those it had."""
+        days = sorted(set(dates))
+        run, now = new_run_id(), utc_now()
+        arrived = self.publisher.published(days).where(F.col("value_raw").isNotNull())
+        rows = past.once_per_date(self.batch(days), arrived.select(LANDING_DATE, *IDENTITY))
+        (
+            rows.withColumn("run_id", F.lit(run)).sortWithinPartitions("topic", "kafka_partition", "offset")
+            .write.mode("append").partitionBy(LANDING_DATE, "run_id").parquet(self.history_path)
+        )
+        asked = self.spark.createDataFrame([(d, run) for d in days], f"{LANDING_DATE} date, run string")
+        filled = asked.withColumn("events", F.lit(1))
+        ranges = written(past.offset_ranges(self._existing_rows(filled)).withColumn("run", F.lit(run)).select(
+            LANDING_DATE, "run", "topic", "kafka_partition", "from_offset", "to_offset", "events"), "ranges")
+        self._list_repeated(days, filled, ranges)
+        self._add(ranges, "history-ranges")
+        counted = ranges.groupBy(LANDING_DATE).agg(F.sum("events").alias("events"))
+        named = asked.join(counted, LANDING_DATE, "left").select(
+            LANDING_DATE, "run", F.coalesce("events", F.lit(0)).cast("long").alias("events"),
+            F.lit(now).alias("created_at"))
+        self._add(named, "history-runs")
+
+    def _existing_rows(self, runs: DataFrame) -> DataFrame:
+        paths = {run_path(self.history_path, r[LANDING_DATE], r.run): r[LANDING_DATE] for r in runs.collect()}
+        present = [paths[p] for p in existing(self.spark, list(paths))]
+        return self._rows_of(runs.where(F.col(LANDING_DATE).isin(present)))
+
+    def _list_repeated(self, days: list[date], filled: DataFrame, ranges: DataFrame) -> None:
+        """Note identities of the new runs that other dates, or several of the new ones, hold.
+        Offset ranges tell which dates can; normally none, and no history is read."""
+        runs, known = self._runs(), self._list("history-ranges", _RANGES)
+        new = ranges.select(LANDING_DATE, *past.RANGE_COLUMNS)
+        every = new
+        if runs is not None and known is not None:
+            others = runs.where(~F.col(LANDING_DATE).isin(days)).select(LANDING_DATE, "run")
+            every = new.unionByName(
+                known.join(others, [LANDING_DATE, "run"]).select(LANDING_DATE, *past.RANGE_COLUMNS))
+        meeting = [r[0] for r in past.overlapping_dates(new, every).collect()]  # dates
+        if not meeting:
+            return
+        rows = self._existing_rows(filled)
+        if runs is not None:
+            old = runs.where(~F.col(LANDING_DATE).isin(days) & F.col(LANDING_DATE).isin(meeting))
+            rows = rows.unionByName(self._rows_of(old))
+        held = rows.groupBy(*IDENTITY).agg(F.count("*").alias("copies")).where("copies > 1")
+        repeated = written(held.select(*IDENTITY), "repeated")
+        if not repeated.isEmpty():
+            self._add(repeated, "history-repeated")
 
     # -- current state --------------------------------------------------------------------
 
+    def _versions(self) -> tuple[Row | None, list[Row]]:
+        """The base in force and the deltas it does not include."""
+        listed = self._list("current-versions", _VERSIONS)
+        rows = [] if listed is None else listed.orderBy("created_at", "version").collect()
+        base = max((r for r in rows if r.kind == _BASE), default=None, key=lambda r: (r.created_at, r.version))
+        seen = set(base.includes) if base else set()
+        return base, [r for r in rows if r.kind == _DELTA and r.version not in seen]
+
+    def _table(self, version: Row) -> DataFrame:
+        return attach_bucketed(self.spark, self._name(version.version), version.path,
+                               self.entity.event_schema, self.entity.key, version.buckets)
+
+    def _name(self, version: str) -> str:
+        return f"{self.entity.name}_current_{version}"
+
     def current(self) -> DataFrame:
-        """The current state in force; empty before the first version."""
-        version = self._version()
-        if version is None:
+        """The current state: the base and its deltas, bucket by bucket; empty before the first fold."""
+        base, deltas = self._versions()
+        parts = [self._table(v) for v in ([base] if base else []) + deltas]
+        if not parts:
             return empty(self.spark, self.entity.event_schema)
-        return attach_bucketed(self.spark, f"{self.entity.name}_current_{version.version}",
-                               version.path, self.entity.event_schema, self.entity.key,
-                               version.buckets)
+        return reduce(lambda a, b: state.merge(a, b, self.entity), parts)
+
+    def view(self) -> str:
+        """Name of a view over the state in force, for SQL; call again after a fold."""
+        name = f"{self.entity.name}_current"
+        self.current().createOrReplaceTempView(name)
+        return name
+
+    def folded_dates(self) -> list[date]:
+        """Landing dates that the state holds."""
+        base, deltas = self._versions()
+        return sorted({d for v in ([base] if base else []) + deltas for d in v.dates})
 
     def rebuild(self) -> None:
-        """Write current state anew from the whole history."""
-        self._write(state.latest(self.history(), self.entity), bucketed=False)
+        """Write a new base from the whole history."""
+        base, deltas = self._versions()
+        runs = self._runs()
+        dates = [] if runs is None else [r[0] for r in runs.select(LANDING_DATE).collect()]
+        self._write(state.latest(self.history(), self.entity), _BASE, dates, base, deltas)
+
+    def compact(self) -> None:
+        """Write a new base from the base in force and its deltas."""
+        base, deltas = self._versions()
+        if deltas:
+            self._write(self.current(), _BASE, self.folded_dates(), base, deltas)
+            for old in [base, *deltas] if base else deltas:
+                drop_table(self.spark, self._name(old.version))
 
     def apply(self, dates: Iterable[date]) -> None:
-        """Fold the published events of ``dates`` into the state in force."""
-        batch = self.batch(dates)
-        version = self._version()
-        if version is None:
-            self._write(state.latest(batch, self.entity), bucketed=False)
-        else:
-            folded = state.fold(self.current(), batch, self.entity, version.buckets)
-            self._write(folded, bucketed=version.buckets == self.buckets)
-
-    def _versions(self) -> str:
-        return f"{self.root}/current-versions"
-
-    def _version(self) -> Row | None:
-        try:
-            versions = self.spark.read.schema(_VERSIONS).parquet(self._versions())
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        return versions.orderBy(F.desc("seq")).first()
-
-    def _write(self, rows: DataFrame, bucketed: bool) -> None:
-        previous = self._version()
+        """Fold the events of ``dates`` into the state, as a delta: from their history where
+        that is built, else from what is published."""
+        days = sorted(set(dates))
+        runs = self._runs()
+        built = None if runs is None else runs.where(F.col(LANDING_DATE).isin(days))
+        source = self._rows_of(built) if built is not None and built.count() == len(days) else self.batch(days)
+        self._write(state.latest(source, self.entity), _DELTA, days)
+
+    def _write(self, rows: DataFrame, kind: str, dates: list[date], base: Row | None = None,
+               deltas: Iterable[Row] = ()) -> None:
         now = utc_now()
         version = new_run_id(now).lower()
         path = f"{self.root}/current/{version}"
-        placed = rows if bucketed else rows.repartition(self.buckets, self.entity.key)
-        write_bucketed(placed, f"{self.entity.name}_current_{version}", path,
+        write_bucketed(rows.repartition(self.buckets, self.entity.key), self._name(version), path,
                        self.entity.key, self.buckets)
-        seq = previous.seq + 1 if previous else 1
-        pointer = self.spark.createDataFrame(
-            [(seq, version, path, self.buckets, now)], _VERSIONS)
-        pointer.coalesce(1).write.mode("append").parquet(self._versions())
+        includes = [*(base.includes if base else []), *(d.version for d in deltas)]
+        row = (version, kind, path, self.buckets, includes, sorted(dates), now)
+        self._add(self.spark.createDataFrame([row], _VERSIONS), "current-versions")

@@ -36,15 +36,15 @@ from tidemark.schemas import (
 )
 from tidemark.session import empty, written
 from tidemark.sources.layers import (
+    existing,
     file_layout,
     landing_scan,
+    landings_scan,
     raw_columns,
     run_path,
     run_scan,
 )
 
-_PARTS_PER_WRITE = 100  # bounds the size of one plan
-
 
 class PublicationRejected(RuntimeError):
     """A run does not hold exactly the records of its landing date."""
@@ -86,7 +86,9 @@ class Publisher:
     A date that needs no rewrite is published in place: the ledger names the landing and
     the newest ingestion time validated, and readers take the date's records up to it.
     ``materialize`` writes such dates as runs of their own instead. ``payload`` extends
-    the proof from identities to key and value bytes.
+    the proof from identities to key and value bytes. ``backfills`` names further landings of
+    the dataset, filled outside the stream; with them every date is written as a run, as
+    ingestion times of two writers bound nothing.
     """
 
     spark: SparkSession
@@ -99,6 +101,11 @@ class Publisher:
     payload: bool = False
     materialize: bool = False
     republish_grown: bool = False
+    backfills: tuple[str, ...] = ()
+
+    @property
+    def landings(self) -> tuple[str, ...]:
+        return (self.landing, *self.backfills)
 
     # -- reading ------------------------------------------------------------------------
 
@@ -117,15 +124,8 @@ class Publisher:
         """Publish ``dates``, by default the day before today; return the states in force."""
         started = now or utc_now()
         attempts = self._admit(sorted(set(dates or [business_date(now=started)])), started)
-        try:
-            self._record(attempts)
-            self._run(attempts)
-        except Exception as error:
-            open_ones = [a for a in attempts if a.status == RUNNING]
-            for attempt in open_ones:
-                attempt.finish(FAILED, str(error))
-            self._record(open_ones)
-            raise
+        self._record(attempts)
+        self._isolated(attempts)
         rejected = [str(a.partition_date) for a in attempts if a.status == FAILED]
         if rejected:
             raise PublicationRejected("fingerprint mismatch on " + ", ".join(rejected))
@@ -137,7 +137,7 @@ class Publisher:
         )
         landed = None
         if self.republish_grown:
-            counts = landing_scan(self.spark, self.landing, dates).groupBy(LANDING_DATE)
+            counts = landings_scan(self.spark, self.landings, dates).groupBy(LANDING_DATE)
             landed = counts.agg(F.count("*").alias("landed_rows")).select(
                 F.lit(self.dataset).alias("dataset"),
                 F.col(LANDING_DATE).alias("partition_date"), "landed_rows")
@@ -157,7 +157,8 @@ class Publisher:
 
     def _run(self, attempts: list[Attempt]) -> None:
         by_date = {a.partition_date: a for a in attempts}
-        layout = file_layout(self.spark, self.landing, list(by_date))
+        layout = reduce(DataFrame.unionByName, [
+            file_layout(self.spark, root, list(by_date)) for root in self.landings])
         decisions = {r[LANDING_DATE]: r for r in policy(layout, limits=self.limits).collect()}
 
         no_data = [a for d, a in by_date.items() if d not in decisions]
@@ -180,14 +181,39 @@ class Publisher:
         if not filled:
             return
 
-        records = landing_scan(self.spark, self.landing, [a.partition_date for a in filled])
-        rewritten = [a for a in filled
-                     if self.materialize or a.facts["operation"] == DO_COMPACTION]
+        records = landings_scan(self.spark, self.landings, [a.partition_date for a in filled])
+        rewritten = [a for a in filled if self.materialize or self.backfills
+                     or a.facts["operation"] == DO_COMPACTION]
         self.write_runs(records, {a.partition_date: self._file_count(decisions, a)
                                   for a in rewritten}, run=filled[0].run_id)
         self._validate(records, filled, rewritten)
         self._record(filled)
 
+    def _isolated(self, attempts: list[Attempt]) -> None:
+        """Run all dates together; after a failure, those still open by halves, so that only
+        the dates at fault fail. The error of the first of them is raised in the end."""
+        try:
+            self._run(attempts)
+        except Exception as error:
+            open_ones = [a for a in attempts if a.status == RUNNING]
+            if len(open_ones) < 2:
+                for attempt in open_ones:
+                    attempt.finish(FAILED, str(error))
+                self._record(open_ones)
+                raise
+            failed = None
+            half = len(open_ones) // 2
+            for part in (open_ones[:half], open_ones[half:]):
+                again = run_id()  # what the failed write left behind belongs to no run
+                for attempt in part:
+                    attempt.run_id = again
+                try:
+                    self._isolated(part)
+                except Exception as inner:
+                    failed = failed or inner
+            if failed:
+                raise failed from error
+
     def _file_count(self, decisions: dict, attempt: Attempt) -> int | None:
         if attempt.facts["operation"] == NO_NEED:
             return None
@@ -211,9 +237,9 @@ class Publisher:
             parts.append(records.where(date_column.isin(kept)))
         parts += [records.where(date_column == F.lit(d)).coalesce(n)
                   for d, n in sorted(files.items()) if n is not None and n > 1]
-        for start in range(0, len(parts), _PARTS_PER_WRITE):
+        if parts:
             (
-                reduce(DataFrame.unionByName, parts[start:start + _PARTS_PER_WRITE])
+                reduce(DataFrame.unionByName, parts)
                 .withColumn("run_id", F.lit(run))
                 .write.mode("append")
                 .partitionBy(LANDING_DATE, "run_id")
@@ -229,7 +255,9 @@ class Publisher:
         paths = {a.partition_date: run_path(self.compacted, a.partition_date, a.run_id)
                  for a in rewritten}
         in_place = {d: at for d, at in through.items() if d not in paths}
-        output = raw_columns(run_scan(self.spark, self.compacted, list(paths.values())))
+        # A run that lost all its rows has no directory; its comparison then fails.
+        written_paths = existing(self.spark, list(paths.values()))
+        output = raw_columns(run_scan(self.spark, self.compacted, written_paths))
         if in_place:
             output = output.unionByName(_landing_through(self.spark, self.landing, in_place))
         after = prints.fingerprint(output, by, self.payload)
@@ -239,8 +267,8 @@ class Publisher:
             F.every("equal").alias("equal"))
         results = {r[LANDING_DATE]: r for r in found.collect()}
         out_files = {}
-        if paths:
-            layout = file_layout(self.spark, self.compacted, paths=list(paths.values()))
+        if written_paths:
+            layout = file_layout(self.spark, self.compacted, paths=written_paths)
             out_files = {r[LANDING_DATE]: r for r in policy(layout).collect()}
 
         for attempt in filled:
@@ -280,15 +308,13 @@ def published_read(spark: SparkSession, ledger_path: str, dataset: str, landing:
                    compacted: str, dates: Iterable[date] | None = None) -> DataFrame:
     """Records of what is published, of all dates or of some.
 
-    A date without a completed state, without a published path or without files gives no
-    rows; the result always has the landing columns.
+    A date without a completed state or without a published path gives no rows; a published
+    run whose files are gone is an error. The result always has the landing columns.
     """
     states = ledger.read(spark, ledger_path).where(F.col("dataset") == dataset)
     if dates is not None:
         states = states.where(F.col("partition_date").isin(list(dates)))
-    visible = ledger.latest(states).where(
-        (F.col("status") == COMPLETED) & F.col("published_path").isNotNull())
-    pointers = visible.select("partition_date", "published_path", "published_through").collect()
+    pointers = ledger.visible(states).select("partition_date", "published_path", "published_through").collect()
     runs = [p.published_path for p in pointers if p.published_through is None]
     in_place = {p.partition_date: p.published_through
                 for p in pointers if p.published_through is not None}

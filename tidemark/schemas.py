@@ -74,6 +74,7 @@ EVENT_METADATA = {
     "kafka_timestamp_utc": TIMESTAMP,
 }
 
+# --- fixed values: the facts a publication records ---
 LEDGER = _struct({
     "dataset": STRING,
     "partition_date": DATE,
@@ -98,6 +99,7 @@ LEDGER = _struct({
     }),
     "error": STRING,
 })
+# --- end of fixed values ---
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import date
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,10 @@ from tidemark.session import empty
 _MISSING = "PATH_NOT_FOUND"
 
 
+class PublishedRunLost(RuntimeError):
+    """The files of a published run are gone."""
+
+
 def _read(spark: SparkSession, schema: T.StructType, *paths: str,
           base: str | None = None) -> DataFrame:
     """Parquet with a stated schema: no footer is opened to infer one."""
@@ -30,18 +35,20 @@ def _on_dates(df: DataFrame, dates: Iterable[date] | None) -> DataFrame:
 
 
 def landing_scan(spark: SparkSession, root: str, dates: Iterable[date] | None = None) -> DataFrame:
-    """Landing records, of all dates or of some; empty where nothing has landed yet.
+    """Landing records, of all dates or of some.
 
     The read starts at the root, so the streaming sink's commit log decides which files
-    count, and leftovers of a failed micro-batch do not. The dates prune partitions.
+    count, and leftovers of a failed micro-batch do not. The dates prune partitions. A root
+    that does not exist is an error: a date may be without data, a landing may not.
     """
-    try:
-        landed = _read(spark, RAW_LANDING, root)
-    except AnalysisException as error:
-        if error.getCondition() != _MISSING:
-            raise
-        landed = empty(spark, RAW_LANDING)
-    return _on_dates(landed, dates)
+    return _on_dates(_read(spark, RAW_LANDING, root), dates)
+
+
+def landings_scan(spark: SparkSession, roots: Iterable[str],
+                  dates: Iterable[date] | None = None) -> DataFrame:
+    """Records of several landings of one dataset, each read from its own root."""
+    parts = [landing_scan(spark, root, dates) for root in roots]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def run_path(compacted: str, day: date, run: str) -> str:
@@ -52,24 +59,27 @@ def run_path(compacted: str, day: date, run: str) -> str:
 def run_scan(spark: SparkSession, compacted: str, paths: list[str]) -> DataFrame:
     """Records of the named run directories only; other runs are not even listed.
 
-    A directory that is gone contributes nothing.
+    A directory that is gone is an error that names it: what is left would look complete.
     """
-    present = []
+    if not paths:
+        return empty(spark, RAW_RUN)
     try:
-        present = [_read(spark, RAW_RUN, *paths, base=compacted)] if paths else []
+        return _read(spark, RAW_RUN, *paths, base=compacted)
     except AnalysisException as error:
         if error.getCondition() != _MISSING:
             raise
-        if len(paths) > 1:
-            half = len(paths) // 2
-            present = [run_scan(spark, compacted, paths[:half]),
-                       run_scan(spark, compacted, paths[half:])]
-    if not present:
-        return empty(spark, RAW_RUN)
-    first, *rest = present
-    for other in rest:
-        first = first.unionByName(other)
-    return first
+        raise PublishedRunLost(str(error)) from error
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of ``paths`` that exist: one status call each, for as many as there are dates."""
+    out, hadoop = [], spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = hadoop(path)
+        if place.getFileSystem(conf).exists(place):
+            out.append(path)
+    return out
 
 
 _LAYOUT = T.StructType([
@@ -86,12 +96,7 @@ def file_layout(spark: SparkSession, root: str, dates: Iterable[date] | None = N
     ``paths`` narrows the listing to some directories below ``root``.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
-    try:
-        files = reader.option("basePath", root).load(paths) if paths else reader.load(root)
-    except AnalysisException as error:
-        if error.getCondition() != _MISSING:
-            raise
-        return empty(spark, _LAYOUT)
+    files = reader.option("basePath", root).load(paths) if paths else reader.load(root)
     if LANDING_DATE not in files.columns:  # nothing but an empty directory
         return empty(spark, _LAYOUT)
     return _on_dates(files, dates).select(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.schemas import LANDING_DATE
+from tidemark.sources.layers import existing
 
 
 def project(records: DataFrame) -> DataFrame:
@@ -21,10 +22,13 @@ def project(records: DataFrame) -> DataFrame:
     )
 
 
-def stamp(projected: DataFrame, ingested_at: Column | None = None) -> DataFrame:
-    """Add the ingestion time, one value per micro-batch, and its UTC date."""
-    at = F.current_timestamp() if ingested_at is None else ingested_at
-    return projected.withColumn("ingested_at_utc", at).withColumn(
+def stamp(projected: DataFrame) -> DataFrame:
+    """Add the ingestion time, one value per write, and its UTC date.
+
+    The time is that of the write and nobody else's: what is published in place is bounded
+    by it, so a record that arrives later must never carry an earlier one.
+    """
+    return projected.withColumn("ingested_at_utc", F.current_timestamp()).withColumn(
         LANDING_DATE, F.to_date("ingested_at_utc")
     )
 
@@ -57,10 +61,15 @@ def catch_up(records: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def land_batch(records: DataFrame, path: str, ingested_at: Column) -> None:
-    """Append records with a known ingestion time, for backfills outside the stream."""
-    stamped = stamp(project(records), ingested_at)
-    stamped.write.mode("append").partitionBy(LANDING_DATE).parquet(path)
+def land_batch(records: DataFrame, path: str) -> None:
+    """Append records outside the stream, to a landing of their own, for backfills.
+
+    Readers of a landing that a stream writes see only what the stream's commit log lists,
+    so such a root is refused. ``Publisher(backfills=...)`` reads both.
+    """
+    if existing(records.sparkSession, [f"{path}/_spark_metadata"]):
+        raise ValueError(f"{path} belongs to a stream; land backfills below a root of their own")
+    stamp(project(records)).write.mode("append").partitionBy(LANDING_DATE).parquet(path)
 
 
 def print_stream(records: DataFrame) -> StreamingQuery:

@@ -217,7 +217,11 @@ FROM {records(ORDERS)} WHERE NOT tombstone""",
     "cdc_normalize": _events_sql(ORDERS),
     "cdc_quarantine": """SELECT 'documents' AS topic, 'unreadable' AS reject_reason,
   count(*) AS records FROM documents WHERE text IS NOT NULL
-UNION ALL SELECT 'events', 'unreadable', count(*) FROM events WHERE props IS NOT NULL""",
+UNION ALL SELECT 'events', 'unreadable', count(*) FROM events WHERE props IS NOT NULL
+""" + " ".join(
+        f"UNION ALL SELECT '{topic}', '{reason}', count(*) FROM {records(ORDERS)} WHERE NOT tombstone"
+        for topic, reason in (("no_position", "missing_position"), ("no_key", "missing_key"),
+                              ("no_time", "bad_timestamp"), ("no_amount", "bad_amount"))),
     "connect_decimal_decode": _amounts(),
     "op_profile": _all("SELECT topic, cdc_operation, count(*) AS events FROM {events} GROUP BY 1, 2"),
     "orders_current": f"SELECT * FROM {current(ORDERS)}",
@@ -229,7 +233,36 @@ UNION ALL SELECT 'events', 'unreadable', count(*) FROM events WHERE props IS NOT
     "refunds_current": f"SELECT * FROM {current(REFUNDS)}",
     "orders_history": _events_sql(ORDERS),
     "history_reprocess_date": _events_sql(ORDERS, ", ingestion_date_utc"),
-    "fingerprint": _all(_FINGERPRINT.replace("{source}", "{records}")),
+    "fingerprint": _all(_FINGERPRINT.replace("{source}", "{records}").replace(
+        "AS max_offset", "AS max_offset, true AS hash_agrees")),
+    "file_layout": f"""SELECT ingestion_date_utc, CAST(6 AS BIGINT) AS files, true AS sized,
+  count(*) AS file_rows FROM {records(ORDERS)} GROUP BY 1""",
+    "output_layout": f"""SELECT ingestion_date_utc, CAST(1 AS BIGINT) AS files, true AS sized,
+  count(*) AS file_rows FROM {records(ORDERS)} GROUP BY 1""",
+    "orders_current_table": f"SELECT * FROM {current(ORDERS)}",
+    "history_unique": _events_sql(ORDERS, ", ingestion_date_utc"),
+    "current_audit": f"""SELECT 'differs' AS verdict, count(*) AS keys
+FROM {current(ORDERS)} WHERE cdc_operation = 'd' HAVING count(*) > 0""",
+    "publish_doubled": f"""SELECT 'payments' AS dataset, partition_date,
+  CASE WHEN doubled > 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status, 'DO_COMPACTION' AS operation,
+  input_rows, input_rows + doubled AS output_rows,
+  CASE WHEN doubled > 0 THEN 'FAILED' ELSE 'PASSED' END AS validation, doubled = 0 AS published
+FROM (SELECT ingestion_date_utc AS partition_date, count(*) AS input_rows,
+  count(*) FILTER ("offset" % 8 = 0) AS doubled FROM {records(PAYMENTS)} GROUP BY 1)""",
+    "publish_no_data": f"""SELECT DISTINCT 'payments' AS dataset,
+  CAST(ingestion_date_utc + INTERVAL 1 DAY AS DATE) AS partition_date, 'COMPLETED' AS status,
+  CAST(NULL AS VARCHAR) AS operation, CAST(0 AS BIGINT) AS input_rows, CAST(0 AS BIGINT) AS output_rows,
+  false AS published FROM {records(PAYMENTS)}""",
+    "publish_error_captured": f"""SELECT 'refunds' AS dataset, partition_date, 'FAILED' AS status,
+  'storage went away' AS error, false AS published
+FROM (SELECT DISTINCT ingestion_date_utc AS partition_date FROM {records(REFUNDS)} ORDER BY 1 LIMIT 2)""",
+    "published_after_failed_republish": _identity(PAYMENTS),
+    "published_after_late_files": _identity(PAYMENTS),
+    "ledger_tie_break": """SELECT 'user' || CAST(user_id AS VARCHAR) AS dataset, CAST(ts AS DATE) AS partition_date,
+  CAST(1 AS BIGINT) AS seq, ts AS started_at, CAST(event_id AS VARCHAR) AS run_id, event_type AS status
+FROM events QUALIFY row_number() OVER (
+  PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) = 1""",
+    "landing_backfill": _identity(PAYMENTS),
     "fingerprint_diff": _fingerprint_diff(),
     "raw_uniqueness": """SELECT l_returnflag AS topic, l_linenumber AS kafka_partition,
   l_orderkey AS "offset", count(*) AS copies FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) > 1""",

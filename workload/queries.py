@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +14,16 @@ from tidemark.operators import events as ev
 from tidemark.operators import fingerprint as prints
 from tidemark.operators import history as past
 from tidemark.operators import ledger, quality
-from tidemark.operators.compaction import policy
+from tidemark.operators.compaction import Thresholds, policy
 from tidemark.plans.consolidate import Consolidation
 from tidemark.plans.publish import PublicationRejected, Publisher
-from tidemark.schemas import LANDING_DATE, ORDERS, PAYMENTS, REFUNDS, Entity
+from tidemark.schemas import IDENTITY, LANDING_DATE, LEDGER, ORDERS, PAYMENTS, REFUNDS, Entity
 from tidemark.session import configure, scratch, written
 from tidemark.sources import tables
 from tidemark.sources import layers
 from tidemark.sources.layers import files_of, landing_scan, run_scan
 from tidemark.sources.streams import file_stream
-from tidemark.streaming.landing import catch_up, project
+from tidemark.streaming.landing import catch_up, land_batch, project
 from workload import stages
 from workload.changes import ALL, encoded, kafka_records, raw_records, table
 
@@ -112,15 +112,11 @@ def landing_root_scan(spark, sf_dir):
 
 @query
 def landing_partition_scan(spark, sf_dir):
-    """Each date read on its own through partition pruning; together all records."""
+    """Records of the dates asked for, by one pruned scan."""
     root = stages.landing(spark, sf_dir, PAYMENTS, scattered=False)
     days = stages.landing_dates(spark, root)
-    parts = [landing_scan(spark, root, [d]).groupBy(LANDING_DATE).agg(
-        F.count("*").alias("records"), F.count("value_raw").alias("changes")) for d in days]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return landing_scan(spark, root, days).groupBy(LANDING_DATE).agg(
+        F.count("*").alias("records"), F.count("value_raw").alias("changes"))
 
 
 # --- records to events ----------------------------------------------------------------------
@@ -173,10 +169,20 @@ def cdc_quarantine(spark, sf_dir):
             F.col(key).cast("string").cast("binary").alias("key_raw"),
             F.col(value).cast("binary").alias("value_raw"))
 
+    def spoilt(name: str, field: str, value: str) -> DataFrame:
+        """Order changes in which every value of one field is replaced."""
+        rows = raw_records(spark, sf_dir, ORDERS)
+        body = F.regexp_replace(F.col("value_raw").cast("string"), rf'"{field}":("[^"]*"|[0-9]+)', f'"{field}":{value}')
+        return rows.withColumn("topic", F.lit(name)).withColumn("value_raw", body.cast("binary"))
+
     mixed = (
-        raw_records(spark, sf_dir, ORDERS)
+        raw_records(spark, sf_dir, ORDERS).select(*stray("events", "event_id", "props").columns)
         .unionByName(stray("documents", "doc_id", "text"))
         .unionByName(stray("events", "event_id", "props"))
+        .unionByName(spoilt("no_position", "lsn", "null").select(*stray("events", "event_id", "props").columns))
+        .unionByName(spoilt("no_key", "id_order", "null").select(*stray("events", "event_id", "props").columns))
+        .unionByName(spoilt("no_time", "created_at", '"never"').select(*stray("events", "event_id", "props").columns))
+        .unionByName(spoilt("no_amount", "amount", '"!"').select(*stray("events", "event_id", "props").columns))
     )
     rejected = ev.quarantine(ev.parse(ev.decode(mixed), ORDERS), ORDERS)
     return rejected.groupBy("topic", "reject_reason").agg(F.count("*").alias("records"))
@@ -285,14 +291,56 @@ def consolidated_current(spark, sf_dir):
     return shown(job.current())
 
 
+@query
+def orders_current_table(spark, sf_dir):
+    """The same through SQL, over a base, a repeated delta and a later one."""
+    job, days = _consolidation(spark, sf_dir)
+    half = len(days) // 2
+    job.apply(days[half:])
+    job.compact()
+    job.apply(days[half:])
+    job.apply(days[:half])
+    return shown(spark.sql(f"SELECT * FROM {job.view()}"))
+
+
+@query
+def history_unique(spark, sf_dir):
+    """Two partitions are landed again a quarter later; history is built newest dates first."""
+    root = stages.landing(spark, sf_dir, ORDERS, scattered=True)
+    later = landing_scan(spark, root).where("kafka_partition < 2").withColumn(
+        LANDING_DATE, F.add_months(LANDING_DATE, 3))
+    later.repartition(LANDING_DATE).write.mode("append").partitionBy(LANDING_DATE).parquet(root)
+    source = stages.publisher(spark, ORDERS, root)
+    days = stages.landing_dates(spark, root)
+    source.publish(days)
+    job = Consolidation(spark, ORDERS, source, scratch(spark, "consolidated"))
+    half = len(days) // 2
+    job.reprocess(days[half:])
+    job.reprocess(days[:half])
+    return shown(job.history())
+
+
+@query
+def current_audit(spark, sf_dir):
+    """A state that ignored deletes, held against history."""
+    happened = _events(spark, sf_dir)
+    stale = state.latest(happened.where(F.col("cdc_operation") != "d"), ORDERS)
+    found = quality.current_audit(stale, happened, ORDERS)
+    return found.groupBy("verdict").agg(F.count("*").alias("keys"))
+
+
 # --- fingerprints and layers ----------------------------------------------------------------
 
 @query
 def fingerprint(spark, sf_dir):
-    out = prints.fingerprint(raw_records(spark, sf_dir, ORDERS))
+    """The hash sum is held against a sum of decimals, row by row."""
+    raw = raw_records(spark, sf_dir, ORDERS)
     for entity in (PAYMENTS, REFUNDS):
-        out = out.unionByName(prints.fingerprint(raw_records(spark, sf_dir, entity)))
-    return out.drop("hash_sum")
+        raw = raw.unionByName(raw_records(spark, sf_dir, entity))
+    plain = raw.groupBy(*prints.GROUP).agg(F.sum(F.xxhash64(*IDENTITY).cast("decimal(38,0)")).alias("plain_sum"))
+    return prints.fingerprint(raw).join(plain, list(prints.GROUP)).select(
+        *prints.GROUP, "row_count", "min_offset", "max_offset",
+        (F.col("hash_sum") == F.col("plain_sum")).alias("hash_agrees"))
 
 
 @query
@@ -326,8 +374,13 @@ def layer_reconcile(spark, sf_dir):
 
 @query
 def file_layout(spark, sf_dir):
+    """Files per date from the listing, next to their rows from the read."""
     root = stages.landing(spark, sf_dir, ORDERS, scattered=True)
-    return layers.file_layout(spark, root)
+    listed = layers.file_layout(spark, root).groupBy(LANDING_DATE).agg(
+        F.count("*").alias("files"), F.every(F.col("file_bytes") > 0).alias("sized"))
+    day = F.to_date(F.regexp_extract("file_path", LANDING_DATE + "=([0-9-]+)", 1)).alias(LANDING_DATE)
+    read = files_of(landing_scan(spark, root)).groupBy(day).agg(F.sum("file_rows").alias("file_rows"))
+    return listed.join(read, LANDING_DATE)
 
 
 @query
@@ -337,7 +390,10 @@ def output_layout(spark, sf_dir):
     job = stages.publisher(spark, ORDERS, root)
     done = job.publish(stages.landing_dates(spark, root))
     paths = [r[0] for r in done.select("published_path").collect()]
-    return files_of(run_scan(spark, job.compacted, paths))
+    day = F.to_date(F.regexp_extract("file_path", LANDING_DATE + "=([0-9-]+)", 1)).alias(LANDING_DATE)
+    return files_of(run_scan(spark, job.compacted, paths)).groupBy(day).agg(
+        F.count("*").alias("files"), F.every(F.col("file_bytes") > 0).alias("sized"),
+        F.sum("file_rows").alias("file_rows"))
 
 
 @query
@@ -378,9 +434,92 @@ def publish_rejected(spark, sf_dir):
     return _verdicts(job).drop("input_files", "output_files")
 
 
+@query
+def publish_doubled(spark, sf_dir):
+    job = _publish(spark, sf_dir, PAYMENTS, scattered=True, kind=stages.DoublingPublisher)
+    return _verdicts(job).drop("input_files", "output_files")
+
+
+@query
+def publish_no_data(spark, sf_dir):
+    """The day after each landing date, on which nothing has landed."""
+    root = stages.landing(spark, sf_dir, PAYMENTS, scattered=False)
+    job = stages.publisher(spark, PAYMENTS, root)
+    job.publish([d + timedelta(days=1) for d in stages.landing_dates(spark, root)])
+    return job.in_force().select("dataset", "partition_date", "status", "operation", "input_rows", "output_rows",
+                                 F.col("published_path").isNotNull().alias("published"))
+
+
+@query
+def publish_error_captured(spark, sf_dir):
+    """A publication that crashes after its runs are written."""
+    root = stages.landing(spark, sf_dir, REFUNDS, scattered=False)
+    job = stages.publisher(spark, REFUNDS, root, stages.CrashingPublisher)
+    try:
+        job.publish(stages.landing_dates(spark, root)[:2])
+    except OSError:
+        pass
+    return job.in_force().select("dataset", "partition_date", "status", "error",
+                                 F.col("published_path").isNotNull().alias("published"))
+
+
+@query
+def published_after_failed_republish(spark, sf_dir):
+    """Late records, and a republication of all dates that fails: the first one stays visible."""
+    root = stages.landing(spark, sf_dir, PAYMENTS, scattered=False)
+    job = stages.publisher(spark, PAYMENTS, root)
+    days = stages.landing_dates(spark, root)
+    job.publish(days)
+    stages.land_late(spark, sf_dir, PAYMENTS, root)
+    rows = job.in_force().select("seq", "run_id", "started_at", "partition_date").collect()
+    failed = [dict.fromkeys(LEDGER.fieldNames()) | r.asDict() | {
+        "dataset": job.dataset, "seq": r.seq + 1, "status": "FAILED"} for r in rows]
+    ledger.append(spark.createDataFrame(failed, LEDGER), job.ledger_path)
+    return _identity(job.published())
+
+
+@query
+def published_after_late_files(spark, sf_dir):
+    """Records that land after a publication in place stay hidden until republished."""
+    root = stages.landing(spark, sf_dir, PAYMENTS, scattered=False)
+    job = stages.publisher(spark, PAYMENTS, root)
+    job.publish(stages.landing_dates(spark, root))
+    stages.land_late(spark, sf_dir, PAYMENTS, root)
+    return _identity(job.published())
+
+
+@query
+def ledger_tie_break(spark, sf_dir):
+    """Events as ledger states that share their number: the one started last counts."""
+    happened = table(spark, sf_dir, "events")
+    at = F.col("ts").cast("timestamp")
+    states = happened.select(
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("dataset"),
+        F.to_date(at).alias("partition_date"), F.lit(1).cast("long").alias("seq"), at.alias("started_at"),
+        F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("status"))
+    return shown(ledger.latest(states.repartition(9)))
+
+
+@query
+def landing_backfill(spark, sf_dir):
+    """Half of the partitions come by the stream, the others by a backfill beside it."""
+    records, out = kafka_records(spark, sf_dir, PAYMENTS), scratch(spark, "landing")
+    streamed = F.col("partition") < 3
+    records.where(streamed).write.parquet(f"{out}/topic")
+    catch_up(file_stream(spark, f"{out}/topic"), f"{out}/stream", f"{out}/checkpoint")
+    land_batch(records.where(~streamed), f"{out}/backfill")
+    job = stages.publisher(spark, PAYMENTS, f"{out}/stream", backfills=(f"{out}/backfill",))
+    days = layers.landings_scan(spark, job.landings).select(LANDING_DATE).distinct().collect()
+    job.publish([r[0] for r in days])
+    return _identity(job.published())
+
+
 @query
 def publish_compacted(spark, sf_dir):
-    return _identity(_publish(spark, sf_dir, ORDERS, scattered=True).published())
+    """Limits so small that every date takes several files."""
+    limits = Thresholds(target_bytes=20_000, small_bytes=15_000, min_small_files=0, fragmentation=0)
+    job = _publish(spark, sf_dir, ORDERS, scattered=True, limits=limits)
+    return _identity(job.published())
 
 
 @query
@@ -521,5 +660,9 @@ def catalog_describe(spark, sf_dir):
         one = spark.table(f"{space}.{name}").agg(F.count("*").alias("table_rows")).select(
             F.lit(name).alias("tableName"), "table_rows")
         counted = one if counted is None else counted.unionByName(one)
-    return listed.join(counted, "tableName").select(
-        F.col("tableName").alias("table_name"), "table_rows")
+    described = tables.describe_namespace(spark, space).where(F.col("info_name").isin("Namespace Name"))
+    out = written(
+        listed.join(counted, "tableName").join(described, F.col("info_value") == F.col("namespace"))
+        .select(F.col("tableName").alias("table_name"), "table_rows"), "catalog")
+    spark.sql(f"DROP NAMESPACE {space} CASCADE")  # the tables are external: their files stay
+    return out

@@ -9,7 +9,7 @@ from tidemark.plans.publish import Publisher
 from tidemark.schemas import LANDING_DATE, Entity
 from tidemark.session import scratch
 from tidemark.sources.layers import file_layout
-from tidemark.streaming.landing import project, stamp
+from tidemark.streaming.landing import project
 from workload.changes import kafka_records
 
 FILES = 6  # files per date of a scattered landing
@@ -33,7 +33,8 @@ def landing(spark: SparkSession, sf_dir: str, entity: Entity, scattered: bool) -
     ``scattered`` spreads each date over ``FILES`` files, as micro-batches would, which
     calls for compaction; else each date is one file.
     """
-    records = stamp(project(kafka_records(spark, sf_dir, entity)), ingested_at())
+    records = project(kafka_records(spark, sf_dir, entity)).withColumn(
+        "ingested_at_utc", ingested_at()).withColumn(LANDING_DATE, F.to_date("ingested_at_utc"))
     spread = records.repartition(FILES) if scattered else records.repartition(LANDING_DATE)
     path = scratch(spark, f"landing-{entity.name}")
     spread.write.partitionBy(LANDING_DATE).parquet(path)
@@ -53,6 +54,29 @@ def publisher(spark: SparkSession, entity: Entity, root: str, kind: type[Publish
     return kind(spark, entity.name, root, f"{out}/compacted", f"{out}/ledger", **choices)
 
 
+def land_late(spark: SparkSession, sf_dir: str, entity: Entity, root: str) -> None:
+    """Land the topic's records once more, an hour after those already there."""
+    records = project(kafka_records(spark, sf_dir, entity)).withColumn("offset", F.col("offset") + 10**9)
+    late = records.withColumn("ingested_at_utc", ingested_at() + F.expr("INTERVAL 1 HOUR"))
+    late = late.withColumn(LANDING_DATE, F.to_date("ingested_at_utc"))
+    late.repartition(LANDING_DATE).write.mode("append").partitionBy(LANDING_DATE).parquet(root)
+
+
+class CrashingPublisher(Publisher):
+    """Fails after writing its runs."""
+
+    def _validate(self, *args) -> None:
+        raise OSError("storage went away")
+
+
+class DoublingPublisher(Publisher):
+    """Writes inserts and snapshots twice."""
+
+    def write_runs(self, records: DataFrame, files: dict, run: str) -> None:
+        first = F.col("offset") % 8 == 0
+        super().write_runs(records.unionByName(records.where(first)), files, run)
+
+
 class LossyPublisher(Publisher):
     """Loses tombstones while rewriting, to show that validation keeps such runs hidden."""
 
