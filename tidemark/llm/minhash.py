@@ -13,7 +13,7 @@ a pair shares a list.
 
 A list is not expanded into its pairs. (1) Documents with equal sets are one class from the
 start. (2) In ``ROUNDS`` rounds, each list has a leader, drawn anew, and every class is compared
-with the leader of another component that it shares most lists with; components grow. (3) Lists
+with the ``LEADERS`` leaders of other components that it shares most lists with; components grow. (3) Lists
 that still hold several components are gone through pair by pair, across components, by
 signatures inside tasks; long ones are cut into blocks, and a pair counts in the first list it
 shares. What passes the distance has a second, wider signature compared, and then the full
@@ -31,7 +31,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
@@ -42,7 +42,7 @@ from tidemark.session import written
 CHUNKS, WIDTH, ERRORS = 15, 5, 1
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = (ERRORS + 1) * CHUNKS - 1
-ROUNDS = 3
+ROUNDS, LEADERS = 2, 8
 WIDE, WIDE_DISTANCE = 256, 77  # symbols of 8 bits; exceeded at similarity 0.8 with a chance of 4 in 100,000
 BLOCK = 1500  # classes of a list compared with each other in one group
 
@@ -190,14 +190,15 @@ def _shared(lists: DataFrame) -> DataFrame:
 
 
 def _led(shared: DataFrame, places: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each class and the leader, of another component, that it shares most lists with."""
+    """(a, b): each class and the ``LEADERS`` leaders, of other components, that it shares most lists with."""
     held = _placed(shared, places)
     draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "root")
     leads = held.groupBy("list").agg(
         F.min(draw).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     met = held.join(leads.select("list", "lead"), "list").where("root <> lead.root")
     often = met.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("n"))
-    best = often.groupBy("node").agg(F.max(F.struct("n", "lead"))["lead"].alias("lead"))
+    by = Window.partitionBy("node").orderBy(F.desc("n"), "lead")
+    best = often.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= LEADERS)
     return best.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
