@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bins, kneser, language, minhash, mixing, packing, rules, secrets, suffixes, vectors
+from tidemark.llm.oracle import ORACLE
 from tidemark.llm.tables import table
 from tidemark.session import written
 
+__all__ = ["ORACLE", "QUERIES"]
+
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -52,7 +55,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeated_strings(table(spark, sf_dir, "documents"))
+    found = suffixes.repeated_strings(table(spark, sf_dir, "documents"))
+    return found.drop("span_starts", "span_ends")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -67,4 +71,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_suffixes": op10_suffixes,
 }
-ORACLE: dict[str, str] = {}
