@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 SHORTEST = 16
 SAMPLE_ROWS = 3000  # of each kind of example, the documents whose id hashes lowest
 SAMPLE_CHARS = 2000
+SEARCHED_ROWS = 60_000
 BESIDE = 40  # characters of context on either side
 TREES, DEPTH = 25, 7
 MASK = "[SECRET]"
@@ -150,11 +151,14 @@ class Detector:
 
 
 def labelled_findings(docs: DataFrame) -> list[tuple[str, str, str, bool]]:
-    """(before, candidate, after, label) from at most 2 * SAMPLE_ROWS pieces of SAMPLE_CHARS characters."""
+    """(before, candidate, after, label) from at most 2 * SAMPLE_ROWS pieces of SAMPLE_CHARS
+    characters, out of about SEARCHED_ROWS documents drawn by a hash."""
     draw = F.xxhash64("doc_id", "text")
-    named = "|".join(NAMES)
-    spot = rf"(?s).{{0,{BESIDE}}}(?:{KEY_FORMAT}|(?i:{named})\W{{1,6}}{_RUN}{{{SHORTEST},200}}).{{0,{BESIDE}}}"
-    around = F.regexp_extract("text", spot, 0)
+    rows = docs.count()
+    if rows > SEARCHED_ROWS:
+        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rows)) < SEARCHED_ROWS)
+    spot = F.regexp_instr("text", F.lit(rf"{KEY_FORMAT}|(?i:{'|'.join(NAMES)})\W{{1,6}}{_RUN}{{{SHORTEST}}}"))
+    around = F.when(spot > 0, F.substring(F.col("text"), F.greatest(spot - BESIDE, F.lit(1)), F.lit(8 * BESIDE)))
     place = F.pmod(draw, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)).cast("long")).cast("int") + 1
     anywhere = F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS))
     found = []
