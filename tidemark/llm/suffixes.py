@@ -15,8 +15,9 @@ difference cover needs one level of names and no recursion below it:
    smaller one has are found beforehand in the same way; they lose everything and take no part.
 
 Texts move once, in compressed blocks. Blocks send each shard their distinct names (then
-strings) as sorted lists, and get a bit per entry back. A string that a third of all documents
-hold is one entry per block. Fingerprints of names may collide (harmless: step 2 decides);
+strings) as sorted lists, and get a bit per entry back. Strings travel with the smallest id that
+has them, unless the ids of a block lie apart from those of all others, where one id serves for
+all. A string that a third of all documents hold is one entry per block. Fingerprints of names may collide (harmless: step 2 decides);
 those of strings have 64 bits.
 
 Null text is empty. Rows without an id neither lose bytes nor cause a loss. Rows of the same id
@@ -144,6 +145,12 @@ def _names(blocks: DataFrame, bits: int) -> DataFrame:
                 rows = _with_ids(block, distinct, low, bits)
                 shard = pyarrow.compute.add(rows.column("shard"), pa.scalar(1 << bits, pa.int32()))
                 yield rows.set_column(1, "shard", shard)
+                ids = [i for i in texts.ids if i is not None]
+                if ids:
+                    span = np.array([min(ids), max(ids)], "<i8").tobytes()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([span], pa.binary()),
+                         pa.array([b""], pa.binary())], names=["block", "shard", "keys", "more"])
 
     return blocks.mapInArrow(listed, _SENT)
 
@@ -164,9 +171,19 @@ def _block_names(texts: Texts):
 
 
 def _shared_names(sent: DataFrame, bits: int) -> DataFrame:
-    """For each name, whether several documents have it; for each whole text, whether a smaller one has it."""
+    """For each name, whether several documents have it; for each whole text, whether a smaller
+    one has it; for each block, whether its ids lie apart from all others' (shard -1: a span of
+    ids per block)."""
 
     def sorted_(table):
+        if table.column("shard")[0].as_py() == -1:
+            spans = np.stack([np.frombuffer(k, "<i8") for k in table.column("keys").to_pylist()])
+            order = np.lexsort((spans[:, 1], spans[:, 0]))
+            low, high = spans[order].T
+            after = np.concatenate([low[1:] > np.maximum.accumulate(high)[:-1], [True]])
+            apart = np.empty(len(order), bool)
+            apart[order] = after & np.concatenate([[True], after[:-1]])
+            return _answer(table, list(apart[:, None]), 4, -1)
         lists = [summed(k) for k in table.column("keys").to_pylist()]
         if table.column("shard")[0].as_py() >= 1 << bits:
             return _answer(table, _lower_elsewhere(lists, table), 3, 1 << bits)
@@ -235,7 +252,11 @@ def _strings(blocks: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
 
         powers, parts = Powers(), []
         for block, data in zip(left.column("block").to_pylist(), left.column("data").to_pylist()):
-            *_, (distinct, low, _, _) = _block_strings(Texts(data, powers), right, bits)
+            texts = Texts(data, powers)
+            *_, (distinct, low, _, _) = _block_strings(texts, right, bits)
+            if _answered(right, 4, np.array([0, 1]))[0]:
+                # Any id of a block that lies apart compares with other blocks' as all do.
+                low = np.full(len(low), texts.order[[i is not None for i in texts.ids]].min())
             parts.append(_with_ids(block, distinct, low, bits))
         return pa.Table.from_batches(parts)
 
