@@ -307,8 +307,8 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     texts = written(
         docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
         .transform(lambda d: _of_class(d, words)), "texts")
-    places = links = tried = shared.select("node", F.col("node").alias("root")).limit(0)
-    links = tried = links.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    nothing = shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    places, links, tried = nothing.toDF("node", "root"), nothing, nothing
     for turn in range(ROUNDS + 1):
         pairs = _led(shared, places, turn) if turn < ROUNDS else _across(shared, places, classes)
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
