@@ -63,6 +63,7 @@ def test_odd_rows(odd):
 
 def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "SHELF", 7)
     draw = random.Random(3)
     base = [f"w{draw.randrange(10**5)}" for _ in range(100)]
     # Texts that share most words with all others, and are above the threshold with few of them.

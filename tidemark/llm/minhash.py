@@ -44,6 +44,7 @@ SYMBOLS = CHUNKS * WIDTH
 DISTANCE = (ERRORS + 1) * CHUNKS - 1
 ROUNDS, LEADERS = 2, 8
 WIDE, WIDE_DISTANCE = 256, 77  # symbols of 8 bits; exceeded at similarity 0.8 with a chance of 4 in 100,000
+SHELF = 1000  # texts against which askers are confirmed in one group
 BLOCK = 1500  # classes of a list compared with each other in one group
 
 _SLOTS = 7  # low bits of a list's number: its chunk and choice
@@ -252,8 +253,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return both.mapInArrow(checked, "a bigint, b bigint")
 
 
-def _across(shared: DataFrame, places: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes in a common list but in different components, within the distance."""
+def _across(shared: DataFrame, places: DataFrame, classes: DataFrame, shelves: int) -> DataFrame:
+    """Pairs of classes in a common list but in different components, within the distance, as
+    (shelf, a, partners): of a pair, the class of the component that is smaller in the list
+    asks for the other one, which stands on a shelf by its number."""
     held = _placed(shared, places)
     several = held.groupBy("list").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high")
@@ -276,6 +279,8 @@ def _across(shared: DataFrame, places: DataFrame, classes: DataFrame) -> DataFra
             upto = np.searchsorted(size, size * 100 // 80, "right").tolist()
             inside = bool((own[0] == own).all())
             slot = group.column("list")[0].as_py() & ((1 << _SLOTS) - 1)
+            _, component, times = np.unique(root, return_inverse=True, return_counts=True)
+            weight = times[component]
             a, b = [], []
             for i in range(len(node) - 1):
                 j = np.flatnonzero(root[i + 1:upto[i]] != root[i]) + i + 1
@@ -286,14 +291,75 @@ def _across(shared: DataFrame, places: DataFrame, classes: DataFrame) -> DataFra
                     near = same.sum(axis=1) >= SYMBOLS - DISTANCE
                     near[near] = _first_slot(same[near]) == slot
                     j = j[near]
-                    a.append(np.minimum(node[i], node[j]))
-                    b.append(np.maximum(node[i], node[j]))
-            if a:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    asks = weight[i] <= weight[j]
+                    a.append(np.where(asks, node[i], node[j]))
+                    b.append(np.where(asks, node[j], node[i]))
+            if not sum(map(len, a)):
+                continue
+            a, b = np.concatenate(a), np.concatenate(b)
+            shelf = b % shelves
+            order = np.lexsort((a, shelf))
+            a, b, shelf = a[order], b[order], shelf[order]
+            fresh = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (shelf[1:] != shelf[:-1])]))
+            partners = [x.astype("<i8").tobytes() for x in np.split(b, fresh[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shelf[fresh]), pa.array(a[fresh]), pa.array(partners, pa.binary())],
+                names=["shelf", "a", "partners"])
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(compared, "a bigint, b bigint")
+    return dealt.mapInArrow(compared, "shelf bigint, a bigint, partners binary")
+
+
+def _confirmed_on_shelves(asked: DataFrame, texts: DataFrame, places: DataFrame, shelves: int,
+                          words: int) -> DataFrame:
+    """(a, b): for each asking class a link to each component in which it has one, a shelf at a
+    time. Partners are tried by their wide signatures, nearest first, until one is confirmed on
+    the full sets; pairs that fail leave no row."""
+    gathered = asked.groupBy("shelf", "a").agg(F.collect_list("partners").alias("partners"))
+    asking = gathered.join(texts.select(
+        F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("wide").alias("wide_a")), "a")
+    held = texts.join(places, "node", "left").select(
+        F.pmod("node", F.lit(shelves)).alias("shelf"), "node", "text", "wide",
+        F.coalesce("root", "node").alias("root"))
+
+    def linked(left, right):
+        import pyarrow as pa
+
+        powers, sets = Powers(), {}
+        node, root = right.column("node").to_numpy(), right.column("root").to_numpy()
+        order = np.argsort(node)
+        texts_of, a, b = right.column("text"), [], []
+        wide = matrix(right.column("wide"), np.uint8, WIDE) if len(node) else np.zeros((0, WIDE), np.uint8)
+
+        def values(text):
+            return shingles([text.encode("utf-8", "replace")], words, powers)[0]
+
+        for asker, parts, text, mark in zip(*(left.column(c) for c in ("a", "partners", "text_a", "wide_a"))):
+            partners = np.unique(np.frombuffer(b"".join(parts.as_py()), "<i8"))
+            at = order[np.searchsorted(node, partners, sorter=order)]
+            far = (wide[at] != np.frombuffer(mark.as_py(), np.uint8)).sum(axis=1)
+            at = at[np.argsort(far, kind="stable")][:int((far <= WIDE_DISTANCE).sum())]
+            mine, found = None, set()
+            for k in at.tolist():
+                if root[k] in found:
+                    continue
+                mine = values(text.as_py()) if mine is None else mine
+                if k not in sets:
+                    if len(sets) >= BLOCK:
+                        sets.clear()
+                    sets[k] = values(texts_of[k].as_py())
+                other = sets[k]
+                total = len(mine) + len(other)
+                if 100 * min(len(mine), len(other)) < 80 * max(len(mine), len(other)):
+                    continue
+                common = total - len(np.union1d(mine, other))
+                if 100 * common >= 80 * (total - common):
+                    found.add(root[k])
+                    a.append(asker.as_py())
+                    b.append(int(node[k]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return asking.groupBy("shelf").cogroup(held.groupBy("shelf")).applyInArrow(linked, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -309,12 +375,16 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
         .transform(lambda d: _of_class(d, words)), "texts")
     nothing = shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     places, links, tried = nothing.toDF("node", "root"), nothing, nothing
-    for turn in range(ROUNDS + 1):
-        pairs = _led(shared, places, turn) if turn < ROUNDS else _across(shared, places, classes)
+    for turn in range(ROUNDS):
+        pairs = _led(shared, places, turn)
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
         links = links.unionByName(written(_confirmed(_near(pairs, classes, texts), texts, words), "links"))
         places = components(links)
+    shelves = 1 + texts.count() // SHELF
+    asked = _across(shared, places, classes, shelves)
+    links = links.unionByName(written(_confirmed_on_shelves(asked, texts, places, shelves, words), "links"))
+    places = components(links)
     found = written(classes.join(places, "node", "left").select(
         "node", "rep", F.coalesce("root", "node").alias("root")), "found")
     smallest = found.groupBy("root").agg(F.min("rep").alias("component_id"))
