@@ -27,7 +27,9 @@ def drop_table(spark: SparkSession, name: str) -> None:
 
 
 def tables_in(spark: SparkSession, namespace: str) -> DataFrame:
-    return spark.sql(f"SHOW TABLES IN {namespace}").select("namespace", "tableName")
+    """Tables of the namespace; the session's own temporary views are left out."""
+    listed = spark.sql(f"SHOW TABLES IN {namespace}").where("NOT isTemporary")
+    return listed.select("namespace", "tableName")
 
 
 def describe_namespace(spark: SparkSession, namespace: str) -> DataFrame:
