@@ -34,7 +34,7 @@ QUANTILE = 0.995
 MARGIN = 0.05  # nats a character
 SLACK = 3.0
 BLOCK_CHARS = 1 << 23  # of text in a block
-CHUNK_CHARS = 1 << 20  # looked at together
+CHUNK_CHARS = 1 << 19  # looked at together
 BROADCAST_IDS = 2_000_000  # trusted ids of eight bytes; beyond it the planner joins by shuffle
 START, END = "\u0002", "\u0003"
 

@@ -11,7 +11,7 @@ import numpy as np
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-CHUNK_BYTES = 1 << 21  # texts hashed at once; a longer text is a chunk of its own
+CHUNK_BYTES = 1 << 20  # texts hashed at once; a longer text is a chunk of its own
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
