@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter, defaultdict
 
 import pytest
@@ -73,6 +74,22 @@ def test_junk_goes_and_clean_text_stays(spark, sf, docs):
     assert sum(good) >= 0.97 * len(good) and sum(bad) < 0.5 * len(bad)
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_every_kind_of_junk_goes_at_every_size(spark, sf, size):
+    folder = f"{os.path.dirname(sf)}/{size}"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    judged = kneser.classify(docs, labels).select("doc_id", "kept")
+    gone = defaultdict(list)
+    for r in docs.select("doc_id", "text").join(judged, "doc_id").join(labels, "doc_id").collect():
+        words = r.text.split()
+        repeated = len(words) >= 10 and len(set(words)) < 0.3 * len(words)
+        kind = ("toxic" if r.toxic else "clean") if r.quality else ("repeated" if repeated else "other")
+        gone[kind].append(not r.kept)
+    share = {kind: sum(rows) / len(rows) for kind, rows in gone.items()}
+    assert share["repeated"] > 0.8 and share["other"] > 0.9, share
+    assert share["clean"] < 0.002 and share["toxic"] < 0.03, share
+
+
 def test_odd_rows_and_empty_tables(spark, odd):
     labels = spark.createDataFrame(
         [(5, 1, 0), (4, 1, None), (7, 1, 0), (7, 0, 0), (8, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")

@@ -8,10 +8,12 @@ block lists its distinct n-grams; the distinct ones of all blocks meet the count
 every order in joins on the n-gram, its suffixes and its contexts; log probabilities go back
 to the blocks that asked. So only distinct n-grams per block travel, not every position.
 
-A document's perplexity is that of its characters and an end mark. Per language, the limit is
-the ``QUANTILE`` of the mean log loss among trusted documents; a document is rejected if
-its own is above the limit by more than ``MARGIN`` and ``SLACK`` standard errors of its mean, so that short texts are
-not judged by chance. Where a language has no trusted documents, the highest limit counts.
+A document's perplexity is that of its characters and an end mark. What counts is its mean log loss
+less ``SLACK`` standard errors of that mean, so that short texts are neither judged by chance nor
+set the limit. Per language, the limit is the ``QUANTILE`` of that among documents labelled good,
+toxic ones included: the model does not learn their words, but they are no junk. A document is
+rejected if it is above the limit by more than ``MARGIN``. Where a language has no good documents,
+the highest limit counts.
 
 Null or empty text has only the end mark and is kept. Rows are judged one by one; repeated rows
 and null ids give a row each. Labels that contradict each other count for nothing. Without
@@ -35,7 +37,7 @@ MARGIN = 0.05  # nats a character
 SLACK = 3.0
 BLOCK_CHARS = 1 << 23  # of text in a block
 CHUNK_CHARS = 1 << 19  # looked at together
-BROADCAST_IDS = 2_000_000  # trusted ids of eight bytes; beyond it the planner joins by shuffle
+BROADCAST_IDS = 2_000_000  # good ids of eight bytes; beyond it the planner joins by shuffle
 START, END = "\u0002", "\u0003"
 
 
@@ -220,26 +222,27 @@ def score(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         scored, "doc_id bigint, lang string, tie bigint, n bigint, loss double, deviation double")
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    """(doc_id) of documents that every label calls good and none calls toxic."""
+def good_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, trusted) of documents that every label calls good; trusted if none calls them toxic."""
     return labels.groupBy("doc_id").agg(
         F.min("quality").alias("good"), F.max("quality").alias("high"), F.max("toxic").alias("toxic")).where(
-        "doc_id is not null and good = 1 and high = 1 and coalesce(toxic, 0) = 0").select("doc_id")
+        "doc_id is not null and good = 1 and high = 1").selectExpr("doc_id", "coalesce(toxic, 0) = 0 as trusted")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, tie, n, perplexity, limit (as a perplexity) and kept of every row of ``docs``
+    """doc_id, lang, tie, n, perplexity, limit (of the loss less its slack, as a perplexity) and kept of every row of ``docs``
     (doc_id, text, lang), with ``labels`` (doc_id, quality, toxic)."""
-    ids = written(trusted_ids(labels), "trusted")
+    ids = written(good_ids(labels), "good")
     narrow = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.where("text is not null").select("doc_id", "text").join(narrow, "doc_id")
-    rows = written(score(docs, texts), "scores")
-    limits = rows.join(narrow, "doc_id").groupBy(F.col("lang").alias("of")).agg(
-        F.percentile_approx("loss", QUANTILE, 100_000).alias("limit"))
+    texts = docs.where("text is not null").select("doc_id", "text").join(narrow, "doc_id").where("trusted")
+    rows = written(score(docs, texts.select("doc_id", "text")), "scores")
+    sure = F.col("loss") - SLACK * F.col("deviation") / F.sqrt(F.col("n"))
+    limits = rows.where("n > 1").join(narrow, "doc_id").groupBy(F.col("lang").alias("of")).agg(
+        F.percentile_approx(sure, QUANTILE, 100_000).alias("limit"))
     limits = written(limits, "limits")
     highest = limits.agg(F.max("limit")).first()[0]
     out = rows.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left")
     limit = F.coalesce("limit", F.lit(highest))
-    over = F.col("loss") > limit + MARGIN + SLACK * F.col("deviation") / F.sqrt(F.col("n"))
+    over = sure > limit + MARGIN
     return out.select("doc_id", "lang", "tie", "n", F.exp("loss").alias("perplexity"), F.exp(limit).alias("limit"),
                       (~F.coalesce(over, F.lit(False)) | (F.col("n") <= 1)).alias("kept"))
