@@ -22,9 +22,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (runs of five words, similarity 0.8): the smallest id."""
-    found = minhash.near_duplicates(docs, words=5)
-    return without(docs, found.where(~F.col("kept")).select("doc_id").distinct(), {})
+    """One row of each group of near copies (runs of five words, similarity 0.8): the smallest id,
+    an id before none. Of repeated rows that are left, the first by its other columns stays."""
+    found = written(minhash.survivors(docs, words=5), "survivors")
+    key = {"row": minhash.row_key()}
+    left = without(docs, found.where("not kept").select("row"), key)
+    repeated = found.where("kept and n > 1").select("row")
+    if repeated.isEmpty():
+        return left
+    again = left.join(repeated, minhash.row_key() == F.col("row"), "left_semi")
+    first = again.groupBy(minhash.row_key()).agg(F.min(F.struct(*docs.columns)).alias("first")).select("first.*")
+    return without(left, repeated, key).unionByName(first)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

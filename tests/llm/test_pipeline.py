@@ -46,6 +46,35 @@ def test_each_stage_works_on_what_the_one_before_kept(spark, sf, docs):
     assert total == Counter({i: tokens[i] * n for i, n in copies.items()})
 
 
+def test_one_row_of_each_group_of_near_copies_stays(spark, sf, odd):
+    long = [" ".join(f"{letter}{i}" for i in range(60)) for letter in "pqrstu"]
+    near = [t + " end" for t in long]
+    more = [
+        (None, long[0]), (None, long[1]), (None, near[1]), (None, long[2]), (None, long[2]),  # no ids
+        (900, long[3]), (901, near[3]), (901, "an own text under a shared id"),
+        (902, long[4]), (902, near[4]), (910, near[4]),
+        (903, long[5]), (903, long[5]), (None, near[5])]
+    docs = odd.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    found = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert found.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in found.collect())
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    wordless = Counter(r for r in rows if not (r[1] or "").split())
+    sets = {r: {tuple(w[i:i + 5]) for w in [r[1].lower().split()] for i in range(max(1, len(w) - 4))}
+            for r in rows if r not in wordless}
+    groups = []
+    for r in sets:
+        near_r = [g for g in groups if any(len(sets[r] & sets[x]) >= 0.8 * len(sets[r] | sets[x]) for x in g)]
+        groups = [g for g in groups if g not in near_r] + [[r, *sum(near_r, [])]]
+    assert sum(kept.values()) == len(groups) + sum(wordless.values())
+    for group in groups:
+        low = min((i is None, i or 0) for i, _ in group)
+        left = [r for r in group if kept[r]]
+        assert len(left) == 1 and kept[left[0]] == 1 and (left[0][0] is None, left[0][0] or 0) == low
+    assert all(kept[r] == n for r, n in wordless.items())
+
+
 def test_empty_documents(spark, sf, docs):
     before = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:

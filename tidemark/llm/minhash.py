@@ -31,7 +31,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
@@ -394,6 +394,28 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def row_key() -> Column:
+    """A number of a row's id and text; only repeated rows share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def survivors(docs: DataFrame, words: int = 5) -> DataFrame:
+    """row (by ``row_key``), n (rows of ``docs`` that share it) and kept of every text with a word.
+
+    Rows without an id, and rows of different texts under one id, are compared like all others.
+    One key of each component is kept: that of the smallest id, nulls last, then the smallest key.
+    """
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    found = near_duplicates(keyed, words).where("n_shingles > 0").select(
+        F.col("doc_id").alias("row"), "component_id").distinct()
+    counted = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row")).agg(
+        F.count("*").alias("n"))
+    rows = written(counted.join(found, "row"), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
+    first = rows.groupBy("component_id").agg(F.min(order)["row"].alias("first"))
+    return rows.join(first, "component_id").select("row", "n", (F.col("row") == F.col("first")).alias("kept"))
+
+
 def _of_class(rows: DataFrame, words: int) -> DataFrame:
     """(node, text, wide), one a class: of rows that share an id, only one whose set is the class's."""
 
