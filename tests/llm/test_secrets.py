@@ -38,6 +38,25 @@ def test_redaction_leaves_the_rest(made):
         assert r.text == (before.text.replace(before.value, secrets.MASK) if before.value else before.text)
 
 
+def test_short_and_punctuated_values_of_a_name_are_found(made):
+    values = {"password=Abc12345": "Abc12345", 'pwd: "Tr0ub4dor&3"': "Tr0ub4dor&3", "'token': 'a1.b2~c3:d4!e5'": "a1.b2~c3:d4!e5",
+              "passwd = x7Kp9q, then": "x7Kp9q", "api_key=9f8.3e21d-77b0": "9f8.3e21d-77b0", "secret:=qW3$rT6^": "qW3$rT6^",
+              "token=ab1.0123456789abcdef0123": "ab1.0123456789abcdef0123"}
+    spark = made.sparkSession
+    rows = [(1000 + i, f"ordinary prose {t} about prose", v) for i, (t, v) in enumerate(values.items())]
+    plain = ["password: required", "the token = response", "Secret: Nothing", "password is 12345678", "about: Abc12345"]
+    rows += [(2000 + i, f"ordinary prose {t} about prose", None) for i, t in enumerate(plain)]
+    docs = spark.createDataFrame(rows, made.schema)
+    more = [(3000 + i, f"ordinary prose {plain[i % 3]} about prose", None) for i in range(90)]
+    detector = secrets.train(made.unionByName(docs).unionByName(spark.createDataFrame(more, made.schema)))
+    text = {i: t for i, t, _ in rows}
+    wanted = {(i, v) for i, _, v in rows if v}
+    found = lambda judge: {(r.doc_id, text[r.doc_id][r.start:r.start + r.length])
+                           for r in secrets.scan(docs, judge).collect()}
+    assert found(detector) == found(secrets.Detector(detector.habits, None)) == wanted
+    assert wanted <= found(secrets.train(made))  # no short value among its examples
+
+
 def test_forest_scores_as_spark_does(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.linalg import Vectors

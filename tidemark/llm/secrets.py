@@ -1,6 +1,8 @@
 """Secret scanning: a wide search for candidates, and a random forest that removes false ones.
 
-A candidate is a run of at least ``SHORTEST`` characters of the alphabet of keys and encoded bytes.
+A candidate is a run of at least ``SHORTEST`` characters of the alphabet of keys and encoded bytes,
+or any value of at least ``SHORTEST_NAMED`` characters assigned to a name that speaks of
+credentials, up to white space or the closing quote. Findings that overlap are joined to one.
 The forest (trained by Spark's own learner) judges its length, the changes of character class, how usual its
 letter pairs are, how much of it a dictionary covers, its digits, capitals and variety,
 whether it belongs to a path, and the words and signs beside it.
@@ -8,8 +10,9 @@ whether it belongs to a path, and the words and signs beside it.
 Training takes labelled findings: (before, candidate, after, label). ``labelled_findings``
 makes some where nobody has labelled any, from a bounded sample: values of a public key format, and
 values with digits assigned to a name that speaks of credentials, are true; runs without a digit
-and without such a name are false; the rest is left out. Dictionary and letter pairs come from
-the false ones. Everything else covers all rows and whole texts.
+and without such a name, and short plain words assigned to one, are false; the rest is left out.
+Each long example counts a second time cut short, so that length alone tells nothing.
+Dictionary and letter pairs come from the false ones. Everything else covers all rows and whole texts.
 
 ``scan`` returns a row per finding, ``redact`` the documents with their findings replaced.
 Null and empty text has no findings. Rows are judged one by one, so repeated rows and null ids
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHORTEST = 16
+SHORTEST_NAMED = 6
 SAMPLE_ROWS = 3000  # of each kind of example, the documents whose id hashes lowest
 SAMPLE_CHARS = 2000
 SEARCHED_ROWS = 60_000
@@ -43,6 +47,9 @@ KEY_FORMAT = r"(?:AKIA|ASIA)[0-9A-Z]{16}"
 
 _RUN = r"[A-Za-z0-9+/_\-]"
 _CANDIDATE = re.compile(rf"(?<!{_RUN}){_RUN}{{{SHORTEST},}}={{0,2}}")
+_ASSIGNED = rf"(?:{'|'.join(NAMES)})[\"']?\s{{0,2}}(?:=>|:=|[=:])\s{{0,2}}"
+_VALUE = re.compile(
+    rf"{_ASSIGNED}(?:\"([^\s\"]{{{SHORTEST_NAMED},}})|'([^\s']{{{SHORTEST_NAMED},}})|([^\s\"']\S{{{SHORTEST_NAMED - 1},}}))", re.I)
 _FORMAT = re.compile(rf"{KEY_FORMAT}\Z")
 _NAMED = re.compile(rf"(?:{'|'.join(NAMES)})\W{{0,6}}\Z", re.I)
 FEATURES = ("length", "changes", "pairs", "dictionary", "digits", "capitals", "variety", "separators",
@@ -50,7 +57,14 @@ FEATURES = ("length", "changes", "pairs", "dictionary", "digits", "capitals", "v
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _CANDIDATE.finditer(text)]
+    spans = {m.span() for m in _CANDIDATE.finditer(text)}
+    for m in _VALUE.finditer(text):
+        a, b = m.span(m.lastindex)
+        if m.lastindex == 3:  # without quotes, so signs of the sentence may follow
+            b = a + len(text[a:b].rstrip(".,;)]}\"'"))
+        if b - a >= SHORTEST_NAMED:
+            spans.add((a, b))
+    return sorted(spans)
 
 
 def _beside(text: str, a: int, b: int) -> tuple[str, str, str]:
@@ -63,6 +77,8 @@ def format_label(before: str, candidate: str) -> bool | None:
     named = bool(_NAMED.search(before))
     if _FORMAT.match(candidate) or named and digits:
         return True
+    if named and len(candidate) < SHORTEST and candidate.isalpha() and candidate[1:].islower():
+        return False
     return None if digits or named else False
 
 
@@ -146,6 +162,9 @@ class Detector:
         out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
         for (k, a, b), s in zip(place, scores):
             if s >= 0.5:
+                if out[k] and a < out[k][-1][1]:
+                    start, end, high = out[k].pop()
+                    a, b, s = start, max(b, end), max(s, high)
                 out[k].append((a, b, float(s)))
         return out
 
@@ -157,7 +176,8 @@ def labelled_findings(docs: DataFrame) -> list[tuple[str, str, str, bool]]:
     rows = docs.count()
     if rows > SEARCHED_ROWS:
         docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rows)) < SEARCHED_ROWS)
-    spot = F.regexp_instr("text", F.lit(rf"{KEY_FORMAT}|(?i:{'|'.join(NAMES)})\W{{1,6}}{_RUN}{{{SHORTEST}}}"))
+    spot = F.regexp_instr("text", F.lit(rf"{KEY_FORMAT}|(?i:{'|'.join(NAMES)})\W{{1,6}}{_RUN}{{{SHORTEST}}}|"
+                                           rf"(?i:{_ASSIGNED}[\"']?[^\s\"']{{{SHORTEST_NAMED}}})"))
     around = F.when(spot > 0, F.substring(F.col("text"), F.greatest(spot - BESIDE, F.lit(1)), F.lit(8 * BESIDE)))
     place = F.pmod(draw, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)).cast("long")).cast("int") + 1
     anywhere = F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS))
@@ -172,6 +192,10 @@ def labelled_findings(docs: DataFrame) -> list[tuple[str, str, str, bool]]:
                 label = format_label(*beside[:2])
                 if label is not None:
                     found.append((*beside, label))
+                    before, value, after = beside
+                    cut = value[:SHORTEST_NAMED + sum(map(ord, value)) % (SHORTEST - SHORTEST_NAMED)]
+                    if len(value) >= SHORTEST and format_label(before, cut) is label:
+                        found.append((before, cut, after, label))
     return found
 
 
