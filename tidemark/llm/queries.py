@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bins, kneser, language, minhash, mixing, packing, rules, secrets, suffixes, vectors
+from tidemark.llm import (
+    bins,
+    fim,
+    kneser,
+    language,
+    minhash,
+    mixing,
+    packing,
+    repair,
+    rules,
+    secrets,
+    suffixes,
+    vectors,
+)
 from tidemark.llm.oracle import ORACLE
 from tidemark.llm.tables import table
 from tidemark.session import written
@@ -59,6 +72,14 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("span_starts", "span_ends")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.with_digests(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"), digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vectors": op1_vectors,
     "op2_kneser_ney": op2_kneser_ney,
@@ -70,4 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_suffixes": op10_suffixes,
+    "op12_repair": op12_repair,
+    "op13_fim": op13_fim,
 }
