@@ -13,7 +13,7 @@ def test_query_matches_sql(spark, sf, name):
 
 
 def test_all_are_registered():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
@@ -23,6 +23,7 @@ CONTRACT = {
                           "base_failed", "kept"],
     "op8_language": ["doc_id", "held_out", "lang_pred", "score"],
     "op9_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op11_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
 }
 
 

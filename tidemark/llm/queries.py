@@ -14,6 +14,7 @@ from tidemark.llm import (
     minhash,
     mixing,
     packing,
+    private,
     repair,
     rules,
     secrets,
@@ -72,6 +73,10 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("span_starts", "span_ends")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.digests(private.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.with_digests(repair.damaged(table(spark, sf_dir, "conversations")))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_suffixes": op10_suffixes,
+    "op11_pii": op11_pii,
     "op12_repair": op12_repair,
     "op13_fim": op13_fim,
 }
