@@ -15,7 +15,7 @@ METRICS = ("row_count", "min_offset", "max_offset", "hash_sum", "payload_hash_su
 _LOW_BITS = 22
 
 
-def _exact_sum(value: Column) -> Column:
+def exact_sum(value: Column) -> Column:
     """Sum of 64-bit values as decimal(38,0).
 
     The value is summed in three bit ranges, each a plain bigint sum that stays in range
@@ -46,12 +46,12 @@ def fingerprint(raw: DataFrame, by: Sequence[str] = (), payload: bool = False,
         F.count("*").alias("row_count"),
         F.min("offset").alias("min_offset"),
         F.max("offset").alias("max_offset"),
-        _exact_sum(F.col("identity_hash")).alias("hash_sum"),
+        exact_sum(F.col("identity_hash")).alias("hash_sum"),
     ]
     columns = [*by, *IDENTITY, F.xxhash64(*IDENTITY).alias("identity_hash")]
     if payload:
         columns.append(F.xxhash64("key_raw", "value_raw").alias("payload_hash"))
-        metrics.append(_exact_sum(F.col("payload_hash")).alias("payload_hash_sum"))
+        metrics.append(exact_sum(F.col("payload_hash")).alias("payload_hash_sum"))
     if ingested:
         columns.append("ingested_at_utc")
         metrics.append(F.max("ingested_at_utc").alias("last_ingested_at"))

@@ -194,6 +194,81 @@ def _events_sql(entity: Entity, extra: str = "") -> str:
     return f"SELECT {columns}{extra} FROM {records(entity)} WHERE NOT tombstone"
 
 
+# Blocks of 256 offsets, some of which lose records or hold them twice.
+_BLOCK = '("offset" // 256)'
+
+
+def _damaged(source: str) -> str:
+    kept = f"""(SELECT * FROM {source} WHERE NOT ({_BLOCK} % 5 = 2 AND "offset" % 3 = 0))"""
+    return f"""(SELECT * FROM {kept} UNION ALL
+  SELECT * FROM {kept} WHERE {_BLOCK} % 7 = 3 AND "offset" % 8 = 0)"""
+
+
+def _copies(source: str, name: str) -> str:
+    return f"""(SELECT topic, kafka_partition, "offset", count(*) AS {name} FROM {source} GROUP BY ALL)"""
+
+
+def _fingerprint_blocks() -> str:
+    columns = 'topic, kafka_partition, "offset"'
+    sent = f"(SELECT {columns} FROM {records(ORDERS)} UNION ALL SELECT {columns} FROM {records(PAYMENTS)})"
+    return f"""SELECT topic, kafka_partition, block * 256 AS from_offset, block * 256 + 255 AS to_offset,
+  input_rows, output_rows
+FROM (SELECT topic, kafka_partition, {_BLOCK} AS block, CAST(sum(coalesce(a, 0)) AS BIGINT) AS input_rows,
+    CAST(sum(coalesce(b, 0)) AS BIGINT) AS output_rows, bool_or(a IS DISTINCT FROM b) AS unlike
+  FROM {_copies(sent, 'a')} FULL JOIN {_copies(_damaged(sent), 'b')} USING ({columns}) GROUP BY ALL) WHERE unlike"""
+
+
+def _layer_reconcile_blocks() -> str:
+    sent = f"(SELECT * FROM {records(ORDERS)} WHERE NOT tombstone)"
+    return f"""SELECT topic, kafka_partition, "offset", coalesce(a, 0) AS left_copies, coalesce(b, 0) AS right_copies,
+  CASE WHEN b IS NULL THEN 'lost' WHEN a IS NULL THEN 'unexpected' WHEN b > a THEN 'doubled' ELSE 'fewer' END AS verdict
+FROM {_copies(sent, 'a')} FULL JOIN {_copies(_damaged(sent), 'b')} USING (topic, kafka_partition, "offset")
+WHERE a IS DISTINCT FROM b"""
+
+
+_EVERY_OFFSET = " UNION ALL ".join(
+    f'SELECT topic, kafka_partition, "offset" FROM {records(e)}' for e in (ORDERS, PAYMENTS, REFUNDS, REFUNDS))
+
+_OFFSET_GAPS = f"""SELECT topic, kafka_partition, "offset" + 1 AS from_offset, following - 1 AS to_offset,
+  following - "offset" - 1 AS missing
+FROM (SELECT *, lead("offset") OVER (PARTITION BY topic, kafka_partition ORDER BY "offset") AS following
+  FROM (SELECT DISTINCT * FROM ({_EVERY_OFFSET}))) WHERE following - "offset" > 1"""
+
+# Of copies of one change the one of the latest offset stays.
+_CHANGES = f"""(SELECT * FROM {events(ORDERS)}
+  QUALIFY row_number() OVER (PARTITION BY id_order, source_lsn ORDER BY "offset" DESC) = 1)"""
+
+_VERSIONS = f"""SELECT id_order, status_order, cdc_operation, source_lsn, "offset",
+  lead(source_lsn) OVER (PARTITION BY id_order ORDER BY source_lsn) AS valid_to_lsn FROM {_CHANGES}"""
+
+_AT_POSITION = f"""SELECT id_order, status_order, cdc_operation, source_lsn FROM (
+  SELECT * FROM {_CHANGES} WHERE source_lsn <= (SELECT max(o_orderkey) * 500 + 2 FROM orders)
+  QUALIFY row_number() OVER (PARTITION BY id_order ORDER BY source_lsn DESC) = 1) WHERE cdc_operation <> 'd'"""
+
+_AS_OF = f"""SELECT p.id_payment, p.id_order, p.status_payment, p.source_lsn, p."offset", o.status_order,
+  o.source_lsn AS order_lsn, o."offset" AS order_offset
+FROM {events(PAYMENTS)} p ASOF LEFT JOIN (SELECT * FROM {_CHANGES} WHERE source_lsn % 1000 <> 0) o
+  ON p.id_order = o.id_order AND p.source_lsn >= o.source_lsn"""
+
+
+def _envelope_drift() -> str:
+    found = [  # partition, path, found, expected, condition
+        *[(1, f"$.{side}.state_order", "STRING", None, given) for side, given in (
+            ("before", "before_status IS NOT NULL"), ("after", "after_id IS NOT NULL"))],
+        *[(2, f"$.{side}.amount", "DECIMAL", "STRING", given) for side, given in (
+            ("before", "before_status IS NOT NULL"), ("after", "after_id IS NOT NULL"))],
+        (3, "$.source.lsn", "STRING", "BIGINT", "true"),
+        *[(4, "$.extra.a[]", kind, None, "true") for kind in ("BIGINT", "STRING", "OBJECT")]]
+    parts = [f"""SELECT topic, '{path}' AS path, '{kind}' AS found,
+  {f"'{expected}'" if expected else 'CAST(NULL AS VARCHAR)'} AS expected,
+  '{'retyped' if expected else 'unknown'}' AS verdict, count(*) AS occurrences, min(kafka_timestamp_utc) AS first_seen
+FROM {records(ORDERS)} WHERE NOT tombstone AND kafka_partition = {partition} AND {given} GROUP BY topic"""
+             for partition, path, kind, expected, given in found]
+    parts.append("""SELECT 'documents', '$', NULL, 'OBJECT', 'unreadable', count(*), CAST(NULL AS TIMESTAMP)
+FROM documents WHERE text IS NOT NULL""")
+    return " UNION ALL ".join(parts)
+
+
 ORACLE = {
     "raw_landing_projection": f"""SELECT topic, kafka_partition, "offset", kafka_timestamp_utc,
   key_raw, NOT tombstone AS has_value FROM {records(ORDERS)}""",
@@ -222,6 +297,7 @@ UNION ALL SELECT 'events', 'unreadable', count(*) FROM events WHERE props IS NOT
         f"UNION ALL SELECT '{topic}', '{reason}', count(*) FROM {records(ORDERS)} WHERE NOT tombstone"
         for topic, reason in (("no_position", "missing_position"), ("no_key", "missing_key"),
                               ("no_time", "bad_timestamp"), ("no_amount", "bad_amount"))),
+    "envelope_drift": _envelope_drift(),
     "connect_decimal_decode": _amounts(),
     "op_profile": _all("SELECT topic, cdc_operation, count(*) AS events FROM {events} GROUP BY 1, 2"),
     "orders_current": f"SELECT * FROM {current(ORDERS)}",
@@ -240,6 +316,9 @@ UNION ALL SELECT 'events', 'unreadable', count(*) FROM events WHERE props IS NOT
     "output_layout": f"""SELECT ingestion_date_utc, CAST(1 AS BIGINT) AS files, true AS sized,
   count(*) AS file_rows FROM {records(ORDERS)} GROUP BY 1""",
     "orders_current_table": f"SELECT * FROM {current(ORDERS)}",
+    "orders_versions": _VERSIONS,
+    "orders_at_position": _AT_POSITION,
+    "orders_as_of": _AS_OF,
     "history_unique": _events_sql(ORDERS, ", ingestion_date_utc"),
     "current_audit": f"""SELECT 'differs' AS verdict, count(*) AS keys
 FROM {current(ORDERS)} WHERE cdc_operation = 'd' HAVING count(*) > 0""",
@@ -264,6 +343,11 @@ FROM events QUALIFY row_number() OVER (
   PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) = 1""",
     "landing_backfill": _identity(PAYMENTS),
     "fingerprint_diff": _fingerprint_diff(),
+    "fingerprint_blocks": _fingerprint_blocks(),
+    "layer_reconcile_blocks": _layer_reconcile_blocks(),
+    "offset_gaps": _OFFSET_GAPS,
+    "offset_coverage": f"""SELECT topic, kafka_partition, count(*) AS rows, count(DISTINCT "offset") AS offsets,
+  min("offset") AS from_offset, max("offset") AS to_offset FROM ({_EVERY_OFFSET}) GROUP BY ALL""",
     "raw_uniqueness": """SELECT l_returnflag AS topic, l_linenumber AS kafka_partition,
   l_orderkey AS "offset", count(*) AS copies FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) > 1""",
     "layer_reconcile": f"""SELECT topic, kafka_partition, "offset", CAST(1 AS BIGINT) AS left_copies,

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import run_id_column
 from tidemark.functions.decimals import connect_decimal
+from tidemark.operators import blocks
 from tidemark.operators import current as state
+from tidemark.operators import drift
 from tidemark.operators import events as ev
 from tidemark.operators import fingerprint as prints
 from tidemark.operators import history as past
-from tidemark.operators import ledger, quality
+from tidemark.operators import ledger, offsets, quality, versions
 from tidemark.operators.compaction import Thresholds, policy
 from tidemark.plans.consolidate import Consolidation
 from tidemark.plans.publish import PublicationRejected, Publisher
@@ -188,6 +190,25 @@ def cdc_quarantine(spark, sf_dir):
     return rejected.groupBy("topic", "reject_reason").agg(F.count("*").alias("records"))
 
 
+@query
+def envelope_drift(spark, sf_dir):
+    """Order changes in which a field is renamed, an amount is a number, a position is text or a field is
+    added, a partition each, and documents sent to a topic of changes."""
+    def changed(partition: int, pattern: str, to: str) -> Column:
+        return F.when(F.col("kafka_partition") == partition, F.regexp_replace("value_json", pattern, to))
+
+    decoded = ev.decode(raw_records(spark, sf_dir, ORDERS))
+    value = F.coalesce(
+        changed(1, '"status_order":', '"state_order":'), changed(2, '"amount":"[^"]*"', '"amount":1.5'),
+        changed(3, '"lsn":([0-9]+)', '"lsn":"$1"'), changed(4, '"op":', '"extra":{"a":[1,"x",{}]},"op":'),
+        F.col("value_json"))
+    texts = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(
+        F.lit("documents").alias("topic"), F.lit(None).cast("timestamp").alias("kafka_timestamp_utc"),
+        F.concat(F.lit("text: "), "text").alias("value_json"))
+    sent = decoded.select("topic", "kafka_timestamp_utc", value.alias("value_json")).unionByName(texts)
+    return shown(drift.drift(sent, ORDERS))
+
+
 @query
 def connect_decimal_decode(spark, sf_dir):
     """Amounts of three tables through their encoded form, by both widths."""
@@ -329,6 +350,32 @@ def current_audit(spark, sf_dir):
     return found.groupBy("verdict").agg(F.count("*").alias("keys"))
 
 
+@query
+def orders_versions(spark, sf_dir):
+    """Every version of every order, with the position at which the next one replaced it."""
+    return versions.versions(_events(spark, sf_dir), ORDERS).select(
+        "id_order", "status_order", "cdc_operation", "source_lsn", "offset", "valid_to_lsn")
+
+
+@query
+def orders_at_position(spark, sf_dir):
+    """The table of orders as it stood when the log had reached the middle of its orders."""
+    valid = versions.versions(_events(spark, sf_dir), ORDERS)
+    middle = table(spark, sf_dir, "orders").agg((F.max("o_orderkey") * 500).alias("lsn")).first().lsn
+    return versions.at_position(valid, middle + 2).select("id_order", "status_order", "cdc_operation", "source_lsn")
+
+
+@query
+def orders_as_of(spark, sf_dir):
+    """Payment events with the order's state at their position. Orders count as divided keys from four rows on."""
+    payments = _events(spark, sf_dir, PAYMENTS).select("id_payment", "id_order", "status_payment", "source_lsn", "offset")
+    orders = _events(spark, sf_dir).where("source_lsn % 1000 <> 0")  # inserts are not known
+    seen = orders.select("id_order", "source_lsn", "offset", "status_order",
+                         F.col("source_lsn").alias("order_lsn"), F.col("offset").alias("order_offset"))
+    return versions.as_of(payments, seen, "id_order", "source_lsn", "offset",
+                          ("status_order", "order_lsn", "order_offset"), hot=4)
+
+
 # --- fingerprints and layers ----------------------------------------------------------------
 
 @query
@@ -354,6 +401,57 @@ def fingerprint_diff(spark, sf_dir):
     return found.drop("input_hash_sum", "output_hash_sum")
 
 
+BLOCK_BITS = 8  # small blocks, as the derived topics are short
+
+
+def _damaged(records: DataFrame) -> DataFrame:
+    """Records of some blocks lost, of others doubled."""
+    block = F.shiftright("offset", BLOCK_BITS)
+    kept = records.where(~((block % 5 == 2) & (F.col("offset") % 3 == 0)))
+    return kept.unionByName(kept.where((block % 7 == 3) & (F.col("offset") % 8 == 0)))
+
+
+@query
+def fingerprint_blocks(spark, sf_dir):
+    """Blocks of offsets in which orders and payments arrived unlike they were sent, by stored trees."""
+    sent = raw_records(spark, sf_dir, ORDERS).unionByName(raw_records(spark, sf_dir, PAYMENTS))
+    places = []
+    for records in (sent, _damaged(sent)):
+        places.append(scratch(spark, "tree"))
+        blocks.keep(blocks.tree(blocks.leaves(records, BLOCK_BITS)), places[-1])
+    found = blocks.differing(*[blocks.kept(spark, p) for p in places])
+    return blocks.bounds(found, BLOCK_BITS).drop("block")
+
+
+@query
+def layer_reconcile_blocks(spark, sf_dir):
+    """Changes against an event layer that lost and doubled some; only differing blocks are opened."""
+    raw = raw_records(spark, sf_dir, ORDERS)
+    layers_ = []
+    for name, records in (("changes", raw.where(F.col("value_raw").isNotNull())),
+                          ("events", _damaged(ev.events(raw, ORDERS)))):
+        path = scratch(spark, name)
+        records.select(*IDENTITY).sortWithinPartitions(*IDENTITY).write.parquet(path)
+        layers_.append(spark.read.parquet(path))
+    trees = [blocks.tree(blocks.leaves(layer, BLOCK_BITS)) for layer in layers_]
+    return blocks.reconcile_blocks(*layers_, blocks.differing(*trees), BLOCK_BITS)
+
+
+@query
+def offset_gaps(spark, sf_dir):
+    """Stretches of offsets that none of three topics holds; refunds were landed twice."""
+    orders, payments, refunds = (raw_records(spark, sf_dir, e) for e in ALL)
+    return offsets.gaps(orders.unionByName(payments).unionByName(refunds).unionByName(refunds))
+
+
+@query
+def offset_coverage(spark, sf_dir):
+    """Rows and different offsets per topic partition; refunds were landed twice."""
+    orders, payments, refunds = (raw_records(spark, sf_dir, e) for e in ALL)
+    landed = orders.unionByName(payments).unionByName(refunds).unionByName(refunds)
+    return offsets.coverage(offsets.presence(landed))
+
+
 @query
 def raw_uniqueness(spark, sf_dir):
     """Line items taken as records: order, line number and flag do not identify them."""
