@@ -1,12 +1,16 @@
+import os
 from datetime import date
+from pathlib import Path
 
 import pytest
 from helpers import at, change, image, landed_at
 
-from tidemark.operators import quality
+from tidemark.operators import events, quality
 from tidemark.plans.consolidate import Consolidation
 from tidemark.plans.publish import Publisher
 from tidemark.schemas import KAFKA_RECORD, LANDING_DATE, ORDERS
+from tidemark.session import append
+from tidemark.sources.layers import PublishedRunLost
 
 D1, D2, D3 = date(2024, 5, 1), date(2024, 5, 2), date(2024, 5, 3)
 
@@ -133,6 +137,7 @@ def test_a_date_that_lost_its_events_loses_its_history(spark, job, monkeypatch):
     job.reprocess([D1, D2, D3])
     real = Publisher.published
     monkeypatch.setattr(Publisher, "published", lambda self, dates=None: real(self, dates).where("offset > 4"))
+    monkeypatch.setattr(Publisher, "confirm", lambda *_: None)  # as after a republication of less
     job.reprocess([D2, D3])
     assert sorted(r.offset for r in job.history().collect()) == [0, 1, 2, 6]
 
@@ -140,11 +145,12 @@ def test_a_date_that_lost_its_events_loses_its_history(spark, job, monkeypatch):
 def test_dates_whose_offsets_do_not_meet_are_not_read(spark, job, monkeypatch):
     job.reprocess([D1])
     read = []
-    real = Consolidation._rows_of
-    monkeypatch.setattr(Consolidation, "_rows_of", lambda self, runs: read.append(
-        {r[0] for r in runs.collect()}) or real(self, runs))
+    for name in ("_rows_of", "_existing_rows"):
+        real = getattr(Consolidation, name)
+        monkeypatch.setattr(Consolidation, name, lambda self, runs, real=real: read.append(
+            {r[0] for r in runs.collect()}) or real(self, runs))
     job.reprocess([D2])
-    assert all(D1 not in days for days in read)
+    assert read == [{D2}]
 
 
 def test_a_view_and_its_audit(spark, job):
@@ -163,3 +169,72 @@ def test_the_number_of_buckets_can_change(job):
     wider = Consolidation(job.spark, ORDERS, job.publisher, job.root, buckets=7)
     wider.apply([D3])
     assert current(wider) == EXPECTED == current(job)
+
+
+def test_rebuilding_over_part_of_the_history_keeps_what_was_folded(job):
+    for days in ([D1], [D2], [D3]):
+        job.apply(days)
+    job.reprocess([D1])
+    job.rebuild()
+    assert current(job) == EXPECTED and job.folded_dates() == [D1, D2, D3]
+    job.compact()
+    assert current(job) == EXPECTED
+    job.reprocess([D2])
+    job.rebuild()  # the base holds the third date, which has no history
+    assert current(job) == EXPECTED and job.folded_dates() == [D1, D2, D3]
+    job.reprocess([D3])
+    job.rebuild()
+    assert current(job) == EXPECTED and len(job._versions()[1]) == 0
+
+
+@pytest.mark.parametrize("at_list", ["history-presence", "history-runs"])
+def test_two_jobs_side_by_side_find_what_they_share(job, monkeypatch, at_list):
+    """The second rebuilds the third date while the first, with the second date, is about to list or to name its run."""
+    other = Consolidation(job.spark, ORDERS, job.publisher, job.root, buckets=4)
+    real, met = Consolidation._add, []
+
+    def add(self, rows, name, schema):
+        if self is job and name == at_list and not met:
+            met.append(name)
+            other.reprocess([D3])
+        real(self, rows, name, schema)
+
+    monkeypatch.setattr(Consolidation, "_add", add)
+    job.reprocess([D1, D2])
+    assert met and sorted((r.offset, r[LANDING_DATE]) for r in job.history().collect()) == [
+        (0, D1), (1, D1), (2, D1), (3, D2), (4, D2), (6, D3)]
+
+
+def test_history_of_a_thinned_date_is_refused(job):
+    job.reprocess([D1, D2, D3])
+    lost = next(Path(job.publisher.landing).glob("ingestion_date_utc=2024-05-03/part-*.parquet"))
+    os.replace(lost, lost.parent.parent / "elsewhere")
+    for again in (lambda: job.reprocess([D2, D3]), lambda: job.publisher.published([D3], verify=True)):
+        with pytest.raises(PublishedRunLost, match="2024-05-03: 2 records published, 0 found"):
+            again()
+    assert job.history().count() == 6
+
+
+def test_profile_and_audit_read_no_event(job):
+    assert job.operation_profile().count() == 0
+    job.reprocess([D1])
+    job.reprocess([D2, D3])
+    job.reprocess([D1])
+    for stored, plain in ((job.operation_profile(), events.operation_profile(job.history())),
+                          (job.domain_audit(), quality.domain_audit(job.history(), ORDERS))):
+        assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, plain.collect()))
+    held = job.measures().where("events > 0")._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in held
+    (r,) = job.estimates().collect()
+    assert (r.topic, r.distinct_keys) == (ORDERS.topic, 3)
+
+
+def test_an_append_leaves_the_staging_of_others_alone(spark, tmp_path):
+    path, rows = str(tmp_path / "list"), spark.range(5)
+    append(rows.write, path)
+    theirs = tmp_path / "list" / "_temporary" / "0" / "task_1" / "part-0.parquet"
+    theirs.parent.mkdir(parents=True)
+    theirs.write_bytes(b"half written")
+    append(rows.write, path)
+    assert theirs.read_bytes() == b"half written" and spark.read.parquet(path).count() == 10
+    assert [p.name for p in (tmp_path / "list" / "_temporary").iterdir()] == ["0"]

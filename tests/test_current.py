@@ -106,9 +106,3 @@ def test_a_batch_without_repeats_is_not_shuffled(spark, tmp_path):
     out = past.once_per_date(batch, batch.select("ingestion_date_utc", *IDENTITY))
     assert out.count() == 10
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
-
-
-def test_only_dates_whose_offsets_meet_can_hold_repeats(spark):
-    known = past.offset_ranges(dated(spark, [(0, D[0]), (9, D[0]), (10, D[1]), (19, D[1]), (30, D[2])]))
-    new = past.offset_ranges(dated(spark, [(15, D[3]), (25, D[3])]))
-    assert [r[0] for r in past.overlapping_dates(new, known.unionByName(new)).collect()] == [D[1]]

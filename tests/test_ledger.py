@@ -56,7 +56,7 @@ def test_append_and_latest(spark, tmp_path):
     path = str(tmp_path / "ledger")
     assert ledger.read(spark, path).count() == 0
     for seq, status in ((1, "RUNNING"), (2, "COMPLETED")):
-        ledger.append(spark.createDataFrame([state(seq, status)], LEDGER), path)
+        ledger.record(spark.createDataFrame([state(seq, status)], LEDGER), path)
     assert ledger.read(spark, path).count() == 2
     assert ledger.latest(ledger.read(spark, path)).first().status == "COMPLETED"
 

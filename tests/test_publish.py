@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger
+from tidemark.operators.compaction import Thresholds
 from tidemark.plans.publish import PublicationRejected, Publisher
 from tidemark.schemas import LEDGER, RAW_COLUMNS
 from tidemark.sources.layers import PublishedRunLost, file_layout, landings_scan, run_scan
@@ -124,7 +125,7 @@ def test_running_blocks_until_stale(spark, place):
     row = dict.fromkeys(LEDGER.fieldNames()) | {
         "dataset": "orders", "partition_date": D1, "seq": 1, "run_id": "r", "status": "RUNNING",
         "started_at": now - timedelta(minutes=10)}
-    ledger.append(spark.createDataFrame([row], LEDGER), job.ledger_path)
+    ledger.record(spark.createDataFrame([row], LEDGER), job.ledger_path)
     assert states(job.publish([D1], now))[D1].status == "RUNNING"
     assert states(job.publish([D1], now + timedelta(minutes=21)))[D1].status == "COMPLETED"
 
@@ -133,7 +134,7 @@ def test_an_unknown_status_stops_the_job(spark, place):
     job = place()
     row = dict.fromkeys(LEDGER.fieldNames()) | {
         "dataset": "orders", "partition_date": D1, "seq": 1, "status": "ODD"}
-    ledger.append(spark.createDataFrame([row], LEDGER), job.ledger_path)
+    ledger.record(spark.createDataFrame([row], LEDGER), job.ledger_path)
     with pytest.raises(ValueError, match="ODD"):
         job.publish([D1])
 
@@ -168,6 +169,30 @@ def test_a_run_that_is_gone_is_an_error_that_names_it(spark, place):
         job.published()
 
 
+def test_a_date_published_in_place_that_is_gone_is_an_error_that_names_it(spark, place):
+    job = place()
+    job.publish([D1, D2])
+    shutil.move(f"{place.root}/ingestion_date_utc=2024-05-02", job.compacted + "-elsewhere")
+    with pytest.raises(PublishedRunLost, match="2024-05-02"):
+        job.published()
+    assert offsets(job.published([D1])) == list(range(60))
+
+
+@pytest.mark.parametrize("day, lost", [(D1, "compacted/ingestion_date_utc=2024-05-01/run_id=*"),
+                                       (D2, "landing/ingestion_date_utc=2024-05-02")])
+def test_lost_files_are_found_by_counting(spark, place, tmp_path, day, lost):
+    landed_at(kafka_frame(spark, 9, start=70).coalesce(1), place.root, at(2))
+    job = place(materialize=False, limits=Thresholds(target_bytes=4000, small_bytes=10**6, min_small_files=3,
+                                                fragmentation=0))
+    job.publish([D1, D2])
+    assert offsets(job.published(verify=True)) == list(range(79))
+    files = sorted(tmp_path.glob(f"{lost}/part-*.parquet"))
+    assert len(files) > 1
+    files[0].rename(tmp_path / "elsewhere")
+    with pytest.raises(PublishedRunLost, match=f"^{day}: [0-9]+ records published, [0-9]+ found$"):
+        job.published(verify=True)
+
+
 def test_a_failed_republication_leaves_the_good_run_visible(spark, place):
     job = place()
     job.publish([D1, D2])

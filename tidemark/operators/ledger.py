@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schemas import COMPLETED, FAILED, LEDGER, RUNNING
-from tidemark.session import empty
+from tidemark.session import append, empty
 
 # Admission verdicts.
 RUN = "RUN"
@@ -41,10 +41,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         return empty(spark, LEDGER)
 
 
-def append(states: DataFrame, path: str) -> None:
+def record(states: DataFrame, path: str) -> None:
     """Record states. One file per call appears whole or not at all."""
     ordered = states.select(*LEDGER.fieldNames())
-    ordered.coalesce(1).write.mode("append").parquet(path)
+    append(ordered.coalesce(1).write, path)
 
 
 def latest(states: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ restarted jobs never meet a half-written table, and nothing is overwritten.
 
 History is one run per landing date; the newest named run of a date counts. A run holds
 exactly the date's own events, so it does not depend on what other dates hold. Events that
-landed on several dates are listed apart, and readers keep their earliest copy.
+landed on several dates are listed apart, and readers keep their earliest copy. Measures of each run are
+stored beside it: profile, audit and estimates of the whole history read those alone.
 
 Current state is a base and the deltas written since. A fold writes its reduced batch as
 one more delta; ``compact`` makes a new base. Deltas can be merged in any order and any number of
@@ -22,15 +23,17 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.calendar import run_id as new_run_id
 from tidemark.functions.calendar import utc_now
 from tidemark.operators import current as state
 from tidemark.operators import history as past
+from tidemark.operators import offsets
 from tidemark.operators.events import events
 from tidemark.plans.publish import Publisher
 from tidemark.schemas import IDENTITY, LANDING_DATE, Entity
-from tidemark.session import empty, written
+from tidemark.session import append, empty, written
 from tidemark.sources.layers import existing, run_path
 from tidemark.sources.tables import attach_bucketed, drop_table, write_bucketed
 
@@ -38,8 +41,9 @@ _BASE, _DELTA = "base", "delta"
 _VERSIONS = ("version string, kind string, path string, buckets int, includes array<string>, "
              "dates array<date>, created_at timestamp")
 _RUNS = f"{LANDING_DATE} date, run string, events bigint, created_at timestamp"
-_RANGES = (f"{LANDING_DATE} date, run string, topic string, kafka_partition int, "
-           "from_offset bigint, to_offset bigint, events bigint")
+_PRESENCE = (f"{LANDING_DATE} date, run string, topic string, kafka_partition int, bucket bigint, rows bigint, "
+             "from_offset bigint, to_offset bigint, bits binary")
+_MEASURES = f"{LANDING_DATE} date, run string, {past.MEASURES}"
 _REPEATED = "topic string, kafka_partition int, offset bigint"
 
 
@@ -73,8 +77,10 @@ class Consolidation:
                 raise
             return None
 
-    def _add(self, rows: DataFrame, name: str) -> None:
-        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+    def _add(self, rows: DataFrame, name: str, schema: str) -> None:
+        """Rows appear in a list whole or not at all."""
+        names = T.StructType.fromDDL(schema).fieldNames()
+        append(rows.select(*names).coalesce(1).write, f"{self.root}/{name}")
 
     # -- history ------------------------------------------------------------------------
 
@@ -104,53 +110,106 @@ class Consolidation:
 
     def reprocess(self, dates: Iterable[date]) -> None:
         """Rebuild the history of ``dates`` from what is published for them. A date without
-        events any more loses those it had."""
+        events any more loses those it had.
+
+        The published records are first read by identity alone: the bitmaps of their offsets tell
+        whether any record is there twice, and their number whether any is lost. The run is written, then its
+        bitmaps are listed, then repeats are looked for among all listed runs, then it is named. Of two jobs
+        side by side the one that lists later sees the other's bitmaps, whichever is named first.
+        """
         days = sorted(set(dates))
         run, now = new_run_id(), utc_now()
-        arrived = self.publisher.published(days).where(F.col("value_raw").isNotNull())
-        rows = past.once_per_date(self.batch(days), arrived.select(LANDING_DATE, *IDENTITY))
-        (
-            rows.withColumn("run_id", F.lit(run)).sortWithinPartitions("topic", "kafka_partition", "offset")
-            .write.mode("append").partitionBy(LANDING_DATE, "run_id").parquet(self.history_path)
-        )
+        published = self.publisher.published(days)
+        held = written(offsets.presence(published, (LANDING_DATE,)), "presence")
+        self.publisher.confirm(held.groupBy(LANDING_DATE).agg(F.sum("rows").alias("rows")), days)
+        twice = held.where(F.col("rows") > F.bitmap_count("bits"))
+        batch = self.batch(days)
+        rows = batch if twice.isEmpty() else past.once_per_date(batch, published.select(LANDING_DATE, *IDENTITY))
+        sorted_rows = rows.withColumn("run_id", F.lit(run)).sortWithinPartitions("topic", "kafka_partition", "offset")
+        append(sorted_rows.write.partitionBy(LANDING_DATE, "run_id"), self.history_path)
         asked = self.spark.createDataFrame([(d, run) for d in days], f"{LANDING_DATE} date, run string")
-        filled = asked.withColumn("events", F.lit(1))
-        ranges = written(past.offset_ranges(self._existing_rows(filled)).withColumn("run", F.lit(run)).select(
-            LANDING_DATE, "run", "topic", "kafka_partition", "from_offset", "to_offset", "events"), "ranges")
-        self._list_repeated(days, filled, ranges)
-        self._add(ranges, "history-ranges")
-        counted = ranges.groupBy(LANDING_DATE).agg(F.sum("events").alias("events"))
+        found = self._existing_rows(asked.withColumn("events", F.lit(1)))
+        measured = written(past.measures(found, self.entity).withColumn("run", F.lit(run)), "measures")
+        self._add(measured, "history-measures", _MEASURES)
+        self._add(held.withColumn("run", F.lit(run)), "history-presence", _PRESENCE)
+        self._list_repeated(days, run)
+        counted = measured.groupBy(LANDING_DATE).agg(F.sum("events").alias("events"))
         named = asked.join(counted, LANDING_DATE, "left").select(
             LANDING_DATE, "run", F.coalesce("events", F.lit(0)).cast("long").alias("events"),
             F.lit(now).alias("created_at"))
-        self._add(named, "history-runs")
+        self._add(named, "history-runs", _RUNS)
 
     def _existing_rows(self, runs: DataFrame) -> DataFrame:
         paths = {run_path(self.history_path, r[LANDING_DATE], r.run): r[LANDING_DATE] for r in runs.collect()}
-        present = [paths[p] for p in existing(self.spark, list(paths))]
-        return self._rows_of(runs.where(F.col(LANDING_DATE).isin(present)))
-
-    def _list_repeated(self, days: list[date], filled: DataFrame, ranges: DataFrame) -> None:
-        """Note identities of the new runs that other dates, or several of the new ones, hold.
-        Offset ranges tell which dates can; normally none, and no history is read."""
-        runs, known = self._runs(), self._list("history-ranges", _RANGES)
-        new = ranges.select(LANDING_DATE, *past.RANGE_COLUMNS)
-        every = new
-        if runs is not None and known is not None:
-            others = runs.where(~F.col(LANDING_DATE).isin(days)).select(LANDING_DATE, "run")
-            every = new.unionByName(
-                known.join(others, [LANDING_DATE, "run"]).select(LANDING_DATE, *past.RANGE_COLUMNS))
-        meeting = [r[0] for r in past.overlapping_dates(new, every).collect()]  # dates
-        if not meeting:
+        there = existing(self.spark, list(paths))
+        schema = self.entity.event_schema.add(LANDING_DATE, "date")
+        if not there:
+            return empty(self.spark, schema)
+        rows = self.spark.read.schema(schema).option("basePath", self.history_path).parquet(*there)
+        return rows.select(*schema.fieldNames())
+
+    def _list_repeated(self, days: list[date], run: str) -> None:
+        """Note identities that the new run and runs of other dates hold, or several dates of the new one.
+
+        Runs in force count, and those listed but not named yet. Bitmaps of the same offsets tell whether any is set
+        twice; normally none is, and no history is read.
+        """
+        presence = self._list("history-presence", _PRESENCE)
+        named = self._list("history-runs", _RUNS)
+        own = presence.where(F.col("run") == run)
+        span = own.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
+        if span.low is None:
+            return
+        near = presence.where(F.col("bucket").between(span.low, span.high))
+        if named is not None:
+            past_runs = named.select(F.col("run").alias("old"), F.col(LANDING_DATE).alias("day")).join(
+                self._runs().select(F.col("run").alias("old"), F.col(LANDING_DATE).alias("day")),
+                ["old", "day"], "left_anti")
+            near = near.join(past_runs, (F.col("run") == F.col("old")) & (F.col(LANDING_DATE) == F.col("day")), "left_anti")
+        others = near.where((F.col("run") == run) | ~F.col(LANDING_DATE).isin(days))
+        place = ["topic", "kafka_partition", "bucket"]
+        met = others.groupBy(*place).agg(
+            F.sum(F.bitmap_count("bits")).alias("single"), F.bitmap_count(F.bitmap_or_agg("bits")).alias("together"))
+        shared = written(met.where("single > together").select(*place), "shared")
+        if shared.isEmpty():
             return
-        rows = self._existing_rows(filled)
-        if runs is not None:
-            old = runs.where(~F.col(LANDING_DATE).isin(days) & F.col(LANDING_DATE).isin(meeting))
-            rows = rows.unionByName(self._rows_of(old))
-        held = rows.groupBy(*IDENTITY).agg(F.count("*").alias("copies")).where("copies > 1")
-        repeated = written(held.select(*IDENTITY), "repeated")
+        holders = others.join(shared, place, "left_semi").select(LANDING_DATE, "run").distinct()
+        rows = self._existing_rows(holders).withColumn("bucket", F.shiftright("offset", offsets.BITS))
+        counted = rows.join(shared, place, "left_semi").groupBy(*IDENTITY).agg(F.count("*").alias("copies"))
+        repeated = written(counted.where("copies > 1").select(*IDENTITY), "repeated")
         if not repeated.isEmpty():
-            self._add(repeated, "history-repeated")
+            self._add(repeated, "history-repeated", _REPEATED)
+
+    # -- what history holds, without reading it -----------------------------------------------
+
+    def measures(self) -> DataFrame:
+        """Measures of the runs in force (``history.measures``). Where events are listed as repeated, measures of
+        the copies that readers leave out are taken off, by negative numbers."""
+        listed, runs = self._list("history-measures", _MEASURES), self._runs()
+        if listed is None or runs is None:
+            return empty(self.spark, T.StructType.fromDDL(_MEASURES)).drop("run")
+        held = listed.join(runs.select(LANDING_DATE, "run"), [LANDING_DATE, "run"], "left_semi").drop("run")
+        repeated = self._list("history-repeated", _REPEATED)
+        if repeated is None:
+            return held
+        copies = self._rows_of(runs).join(repeated.select(*IDENTITY).distinct(), list(IDENTITY), "left_semi")
+        kept = past.distinct_events(copies)
+        columns = held.columns
+        return held.unionByName(past.negative(past.measures(copies, self.entity)).select(*columns)).unionByName(
+            past.measures(kept, self.entity).select(*columns))
+
+    def operation_profile(self) -> DataFrame:
+        """``events.operation_profile`` of the history."""
+        return past.profile(self.measures())
+
+    def domain_audit(self) -> DataFrame:
+        """``quality.domain_audit`` of the history."""
+        return past.violations(self.measures(), self.entity)
+
+    def estimates(self) -> DataFrame:
+        """Estimates per topic, over all dates, from stored sketches: different keys and quantiles of the
+        milliseconds from the source's change to the log. Copies of an event change neither much."""
+        return past.estimates(self.measures())
 
     # -- current state --------------------------------------------------------------------
 
@@ -189,11 +248,19 @@ class Consolidation:
         return sorted({d for v in ([base] if base else []) + deltas for d in v.dates})
 
     def rebuild(self) -> None:
-        """Write a new base from the whole history."""
+        """Write a new base from the whole history.
+
+        Deltas all of whose dates have a history are in it. The others stay in force beside it, and a base
+        that holds dates without a history is merged into it, so nothing that was folded is lost.
+        """
         base, deltas = self._versions()
         runs = self._runs()
-        dates = [] if runs is None else [r[0] for r in runs.select(LANDING_DATE).collect()]
-        self._write(state.latest(self.history(), self.entity), _BASE, dates, base, deltas)
+        dates = set() if runs is None else {r[0] for r in runs.select(LANDING_DATE).collect()}
+        rows = state.latest(self.history(), self.entity)
+        if base and not dates.issuperset(base.dates):
+            rows = state.merge(rows, self._table(base), self.entity)
+            dates |= set(base.dates)
+        self._write(rows, _BASE, sorted(dates), base, [d for d in deltas if dates.issuperset(d.dates)])
 
     def compact(self) -> None:
         """Write a new base from the base in force and its deltas."""
@@ -221,4 +288,4 @@ class Consolidation:
                        self.entity.key, self.buckets)
         includes = [*(base.includes if base else []), *(d.version for d in deltas)]
         row = (version, kind, path, self.buckets, includes, sorted(dates), now)
-        self._add(self.spark.createDataFrame([row], _VERSIONS), "current-versions")
+        self._add(self.spark.createDataFrame([row], _VERSIONS), "current-versions", _VERSIONS)

@@ -34,8 +34,9 @@ from tidemark.schemas import (
     RUNNING,
     VALIDATION_METHOD,
 )
-from tidemark.session import empty, written
+from tidemark.session import append, empty, written
 from tidemark.sources.layers import (
+    PublishedRunLost,
     existing,
     file_layout,
     landing_scan,
@@ -113,10 +114,27 @@ class Publisher:
         states = ledger.read(self.spark, self.ledger_path)
         return ledger.latest(states.where(F.col("dataset") == self.dataset))
 
-    def published(self, dates: Iterable[date] | None = None) -> DataFrame:
-        """Records of the published runs; empty where nothing is published."""
-        return published_read(self.spark, self.ledger_path, self.dataset, self.landing,
-                              self.compacted, dates)
+    def published(self, dates: Iterable[date] | None = None, verify: bool = False) -> DataFrame:
+        """Records of the published runs; empty where nothing is published. ``verify`` counts them first."""
+        records = published_read(self.spark, self.ledger_path, self.dataset, self.landing,
+                                 self.compacted, dates)
+        if verify:
+            self.confirm(records.groupBy(LANDING_DATE).agg(F.count("*").alias("rows")), dates)
+        return records
+
+    def confirm(self, counted: DataFrame, dates: Iterable[date] | None = None) -> None:
+        """Hold the ``rows`` read per date against those published. A date that lost some, or all, is an
+        error that names it: what is left would look complete."""
+        states = ledger.visible(ledger.read(self.spark, self.ledger_path).where(F.col("dataset") == self.dataset))
+        if dates is not None:
+            states = states.where(F.col("partition_date").isin(list(dates)))
+        due = states.select("partition_date", "output_rows")
+        found = counted.select(F.col(LANDING_DATE).alias("partition_date"), "rows")
+        held = due.join(found, "partition_date", "left").na.fill(0, ["rows"])
+        lost = held.where(F.col("rows") != F.col("output_rows")).orderBy("partition_date").collect()
+        if lost:
+            raise PublishedRunLost("; ".join(
+                f"{r.partition_date}: {r.output_rows} records published, {r.rows} found" for r in lost))
 
     # -- publishing ---------------------------------------------------------------------
 
@@ -153,7 +171,7 @@ class Publisher:
     def _record(self, attempts: list[Attempt]) -> None:
         if attempts:
             rows = self.spark.createDataFrame([a.row() for a in attempts], LEDGER)
-            ledger.append(rows, self.ledger_path)
+            ledger.record(rows, self.ledger_path)
 
     def _run(self, attempts: list[Attempt]) -> None:
         by_date = {a.partition_date: a for a in attempts}
@@ -238,13 +256,8 @@ class Publisher:
         parts += [records.where(date_column == F.lit(d)).coalesce(n)
                   for d, n in sorted(files.items()) if n is not None and n > 1]
         if parts:
-            (
-                reduce(DataFrame.unionByName, parts)
-                .withColumn("run_id", F.lit(run))
-                .write.mode("append")
-                .partitionBy(LANDING_DATE, "run_id")
-                .parquet(self.compacted)
-            )
+            rows = reduce(DataFrame.unionByName, parts).withColumn("run_id", F.lit(run))
+            append(rows.write.partitionBy(LANDING_DATE, "run_id"), self.compacted)
 
     def _validate(self, records: DataFrame, filled: list[Attempt], rewritten: list[Attempt]) -> None:
         by = (LANDING_DATE,)
@@ -309,7 +322,8 @@ def published_read(spark: SparkSession, ledger_path: str, dataset: str, landing:
     """Records of what is published, of all dates or of some.
 
     A date without a completed state or without a published path gives no rows; a published
-    run whose files are gone is an error. The result always has the landing columns.
+    run, or a date published in place, whose folder is gone is an error that names it. ``Publisher.confirm``
+    finds lost files too. The result always has the landing columns.
     """
     states = ledger.read(spark, ledger_path).where(F.col("dataset") == dataset)
     if dates is not None:
@@ -322,6 +336,11 @@ def published_read(spark: SparkSession, ledger_path: str, dataset: str, landing:
     if runs:
         parts.append(raw_columns(run_scan(spark, compacted, runs)))
     if in_place:
+        folders = {f"{landing}/{LANDING_DATE}={d}": d for d in in_place}
+        there = existing(spark, list(folders))
+        gone = [str(d) for path, d in folders.items() if path not in there]
+        if gone:
+            raise PublishedRunLost("published in place, and gone: " + ", ".join(sorted(gone)))
         parts.append(_landing_through(spark, landing, in_place))
     if not parts:
         return empty(spark, RAW_LANDING)

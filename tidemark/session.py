@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql.types import StructType
 
 # Settings that change results or plans. All are runtime settings, so they can
@@ -83,6 +83,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def append(writer: DataFrameWriter, path: str) -> None:
+    """Append Parquet below ``path``, safe beside other appends to the same path.
+
+    Hadoop's committer stages all jobs of one attempt number in one folder, and the first to end moves and
+    removes what it finds there. A number of its own keeps each append apart; only that folder is removed.
+    """
+    attempt = uuid.uuid4().int & 0x7FFFFFFF
+    staged = f"{path}/_temporary/{attempt}"
+    (
+        writer.mode("append").option("mapreduce.job.application.attempt.id", attempt)
+        .option("mapreduce.fileoutputcommitter.cleanup.skipped", "true").parquet(path)
+    )
+    spark = SparkSession.active()
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def empty(spark: SparkSession, schema: StructType) -> DataFrame:
     """No rows, known as such when planning, so joins and unions with it vanish."""
     return spark.createDataFrame([], schema).limit(0)

@@ -161,12 +161,12 @@ SELECT w.dataset, w.partition_date, s.status, coalesce(s.seq, 0) AS seq,
 FROM wanted w LEFT JOIN in_force s USING (dataset, partition_date)"""
 
 
-def _domain_audit() -> str:
+def _domain_audit(with_customers: bool) -> str:
     states = ", ".join(f"'{s}'" for s in ORDERS.states)
+    others = """ UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, c_mktsegment, c_acctbal, NULL, NULL, 'x',
+    'customer', c_nationkey, c_custkey FROM customer""" if with_customers else ""
     mixed = f"""(SELECT id_order, id_client, status_order, amount, created_at, updated_at,
-    cdc_operation, topic, kafka_partition, "offset" FROM {events(ORDERS)}
-  UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, c_mktsegment, c_acctbal, NULL, NULL, 'x',
-    'customer', c_nationkey, c_custkey FROM customer)"""
+    cdc_operation, topic, kafka_partition, "offset" FROM {events(ORDERS)}{others})"""
     rules = {
         "status_domain": f"status_order NOT IN ({states})",
         "amount_bound": "amount < 0",
@@ -280,7 +280,8 @@ ORACLE = {
   date_trunc('quarter', kafka_timestamp_utc) AS ingested_at_utc, ingestion_date_utc
 FROM {records(ORDERS)}""",
     "landing_partition_scan": f"""SELECT ingestion_date_utc, count(*) AS records,
-  count(*) FILTER (NOT tombstone) AS changes FROM {records(PAYMENTS)} GROUP BY 1""",
+  count(*) FILTER (NOT tombstone) AS changes FROM {records(PAYMENTS)} GROUP BY 1
+QUALIFY row_number() OVER (ORDER BY ingestion_date_utc) % 3 = 1""",
     "cdc_decode": f"""SELECT topic, kafka_partition, "offset", kafka_timestamp_utc,
   key_raw AS key_json, wrapped, cdc_operation AS op, CAST(source_lsn AS VARCHAR) AS lsn
 FROM {records(ORDERS)} WHERE NOT tombstone""",
@@ -319,6 +320,8 @@ UNION ALL SELECT 'events', 'unreadable', count(*) FROM events WHERE props IS NOT
     "orders_versions": _VERSIONS,
     "orders_at_position": _AT_POSITION,
     "orders_as_of": _AS_OF,
+    "history_side_by_side": _events_sql(ORDERS, ", ingestion_date_utc"),
+    "current_rebuilt_partial_history": f"SELECT * FROM {current(ORDERS)}",
     "history_unique": _events_sql(ORDERS, ", ingestion_date_utc"),
     "current_audit": f"""SELECT 'differs' AS verdict, count(*) AS keys
 FROM {current(ORDERS)} WHERE cdc_operation = 'd' HAVING count(*) > 0""",
@@ -387,7 +390,11 @@ FROM (SELECT ingestion_date_utc, count(*) AS input_rows FROM {records(PAYMENTS)}
 FROM {records(PAYMENTS)} GROUP BY 2""",
     "publication_admission": _admission(),
     "run_identifiers": """SELECT event_id, strftime(ts, '%Y%m%dT%H%M%S%fZ') AS run_id FROM events""",
-    "domain_audit": _domain_audit(),
+    "domain_audit": _domain_audit(with_customers=True),
+    "history_audit": _domain_audit(with_customers=False),
+    "history_profile": f"SELECT topic, cdc_operation, count(*) AS events FROM {events(ORDERS)} GROUP BY 1, 2",
+    "history_estimates": f"""SELECT DISTINCT topic, true AS keys_near, true AS median_near, true AS p99_near
+FROM {events(ORDERS)}""",
     "referential_audit": _referential_audit(),
     "table_roundtrip": "SELECT c_custkey AS id, c_name AS description FROM customer",
     "catalog_describe": " UNION ALL ".join(

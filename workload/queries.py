@@ -114,9 +114,9 @@ def landing_root_scan(spark, sf_dir):
 
 @query
 def landing_partition_scan(spark, sf_dir):
-    """Records of the dates asked for, by one pruned scan."""
+    """Records of every third landing date, by one pruned scan."""
     root = stages.landing(spark, sf_dir, PAYMENTS, scattered=False)
-    days = stages.landing_dates(spark, root)
+    days = stages.landing_dates(spark, root)[::3]
     return landing_scan(spark, root, days).groupBy(LANDING_DATE).agg(
         F.count("*").alias("records"), F.count("value_raw").alias("changes"))
 
@@ -292,6 +292,19 @@ def _consolidation(spark, sf_dir) -> tuple[Consolidation, list]:
     return Consolidation(spark, ORDERS, source, scratch(spark, "consolidated")), days
 
 
+def _measured(spark, sf_dir) -> Consolidation:
+    """A history whose dates were built in two steps, some of its records landed on two dates."""
+    root = stages.landing(spark, sf_dir, ORDERS, scattered=True)
+    stages.land_again(spark, root)
+    source = stages.publisher(spark, ORDERS, root)
+    days = stages.landing_dates(spark, root)
+    source.publish(days)
+    job = Consolidation(spark, ORDERS, source, scratch(spark, "consolidated"))
+    job.reprocess(days[2:])
+    job.reprocess(days[:2])
+    return job
+
+
 @query
 def history_reprocess_date(spark, sf_dir):
     """Dates built, then each built again: the history stays the same."""
@@ -328,9 +341,7 @@ def orders_current_table(spark, sf_dir):
 def history_unique(spark, sf_dir):
     """Two partitions are landed again a quarter later; history is built newest dates first."""
     root = stages.landing(spark, sf_dir, ORDERS, scattered=True)
-    later = landing_scan(spark, root).where("kafka_partition < 2").withColumn(
-        LANDING_DATE, F.add_months(LANDING_DATE, 3))
-    later.repartition(LANDING_DATE).write.mode("append").partitionBy(LANDING_DATE).parquet(root)
+    stages.land_again(spark, root)
     source = stages.publisher(spark, ORDERS, root)
     days = stages.landing_dates(spark, root)
     source.publish(days)
@@ -341,6 +352,65 @@ def history_unique(spark, sf_dir):
     return shown(job.history())
 
 
+@query
+def history_side_by_side(spark, sf_dir):
+    """Records landed again a quarter later, their dates rebuilt by two jobs: the second runs
+    while the first is about to name its runs."""
+    root = stages.landing(spark, sf_dir, ORDERS, scattered=True)
+    stages.land_again(spark, root)
+    source = stages.publisher(spark, ORDERS, root)
+    days = stages.landing_dates(spark, root)
+    source.publish(days)
+    half, place = len(days) // 2, scratch(spark, "consolidated")
+    other = Consolidation(spark, ORDERS, source, place)
+    first = stages.InterruptedConsolidation(spark, ORDERS, source, place, meanwhile=lambda: other.reprocess(days[half:]))
+    first.reprocess(days[:half])
+    return shown(first.history())
+
+
+@query
+def current_rebuilt_partial_history(spark, sf_dir):
+    """All dates folded, one of them in the history, and the state rebuilt from it: nothing is lost."""
+    job, days = _consolidation(spark, sf_dir)
+    half = len(days) // 2
+    job.apply(days[half:])
+    job.apply(days[:half])
+    job.reprocess(days[:1])
+    job.rebuild()
+    return shown(job.current())
+
+
+@query
+def history_profile(spark, sf_dir):
+    """Profile of a history from the measures stored beside it. Its dates hold some events twice."""
+    return _measured(spark, sf_dir).operation_profile()
+
+
+@query
+def history_audit(spark, sf_dir):
+    """Domain rules broken in a history, from the measures stored beside it."""
+    return _measured(spark, sf_dir).domain_audit()
+
+
+@query
+def history_estimates(spark, sf_dir):
+    """Sketches stored per date and merged: whether keys and quantiles are as close as they should be."""
+    job = _measured(spark, sf_dir)
+    late = F.unix_millis("kafka_timestamp_utc") - F.col("source_ts_ms")
+    exact = job.history().groupBy("topic").agg(
+        F.count_distinct("id_order").alias("keys"), F.sort_array(F.collect_list(late)).alias("all"))
+    both = job.estimates().join(exact, "topic")
+
+    def near(estimate: str, rank: float) -> Column:
+        """Whether the estimated quantile lies within a fiftieth of its rank."""
+        below = F.size(F.filter("all", lambda x: x < F.col(estimate))) / F.size("all")
+        upto = F.size(F.filter("all", lambda x: x <= F.col(estimate))) / F.size("all")
+        return (below <= rank + 0.02) & (upto >= rank - 0.02)
+
+    return both.select("topic", (F.abs(F.col("distinct_keys") / F.col("keys") - 1) < 0.05).alias("keys_near"),
+                       near("median_ms", 0.5).alias("median_near"), near("p99_ms", 0.99).alias("p99_near"))
+
+
 @query
 def current_audit(spark, sf_dir):
     """A state that ignored deletes, held against history."""
@@ -572,7 +642,7 @@ def published_after_failed_republish(spark, sf_dir):
     rows = job.in_force().select("seq", "run_id", "started_at", "partition_date").collect()
     failed = [dict.fromkeys(LEDGER.fieldNames()) | r.asDict() | {
         "dataset": job.dataset, "seq": r.seq + 1, "status": "FAILED"} for r in rows]
-    ledger.append(spark.createDataFrame(failed, LEDGER), job.ledger_path)
+    ledger.record(spark.createDataFrame(failed, LEDGER), job.ledger_path)
     return _identity(job.published())
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.consolidate import Consolidation
 from tidemark.plans.publish import Publisher
 from tidemark.schemas import LANDING_DATE, Entity
 from tidemark.session import scratch
-from tidemark.sources.layers import file_layout
+from tidemark.sources.layers import file_layout, landing_scan
 from tidemark.streaming.landing import project
 from workload.changes import kafka_records
 
@@ -62,6 +66,25 @@ def land_late(spark: SparkSession, sf_dir: str, entity: Entity, root: str) -> No
     late.repartition(LANDING_DATE).write.mode("append").partitionBy(LANDING_DATE).parquet(root)
 
 
+def land_again(spark: SparkSession, root: str) -> None:
+    """Land the records of two partitions once more, a quarter after the first time."""
+    later = landing_scan(spark, root).where("kafka_partition < 2").withColumn(
+        LANDING_DATE, F.add_months(LANDING_DATE, 3))
+    later.repartition(LANDING_DATE).write.mode("append").partitionBy(LANDING_DATE).parquet(root)
+
+
+@dataclass(frozen=True)
+class InterruptedConsolidation(Consolidation):
+    """Lets something else happen between writing its runs and naming them."""
+
+    meanwhile: Callable[[], None] = lambda: None
+
+    def _add(self, rows: DataFrame, name: str, schema: str) -> None:
+        if name == "history-runs":
+            self.meanwhile()
+        super()._add(rows, name, schema)
+
+
 class CrashingPublisher(Publisher):
     """Fails after writing its runs."""
 
