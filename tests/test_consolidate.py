@@ -135,9 +135,9 @@ def test_history_does_not_depend_on_the_order_of_dates(job, order):
 
 def test_a_date_that_lost_its_events_loses_its_history(spark, job, monkeypatch):
     job.reprocess([D1, D2, D3])
-    real = Publisher.published
-    monkeypatch.setattr(Publisher, "published", lambda self, dates=None: real(self, dates).where("offset > 4"))
-    monkeypatch.setattr(Publisher, "confirm", lambda *_: None)  # as after a republication of less
+    real = Publisher.records_of
+    monkeypatch.setattr(Publisher, "records_of", lambda self, named: real(self, named).where("offset > 4"))
+    monkeypatch.setattr("tidemark.plans.consolidate.confirm", lambda *_: None)  # as after a republication of less
     job.reprocess([D2, D3])
     assert sorted(r.offset for r in job.history().collect()) == [0, 1, 2, 6]
 
@@ -145,10 +145,10 @@ def test_a_date_that_lost_its_events_loses_its_history(spark, job, monkeypatch):
 def test_dates_whose_offsets_do_not_meet_are_not_read(spark, job, monkeypatch):
     job.reprocess([D1])
     read = []
-    for name in ("_rows_of", "_existing_rows"):
-        real = getattr(Consolidation, name)
-        monkeypatch.setattr(Consolidation, name, lambda self, runs, real=real: read.append(
-            {r[0] for r in runs.collect()}) or real(self, runs))
+    real = Consolidation._existing_rows
+    monkeypatch.setattr(Consolidation, "_rows_of", None)
+    monkeypatch.setattr(Consolidation, "_existing_rows", lambda self, runs: read.append(
+        {d for d, _ in runs}) or real(self, runs))
     job.reprocess([D2])
     assert read == [{D2}]
 

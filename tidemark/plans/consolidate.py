@@ -31,7 +31,7 @@ from tidemark.operators import current as state
 from tidemark.operators import history as past
 from tidemark.operators import offsets
 from tidemark.operators.events import events
-from tidemark.plans.publish import Publisher
+from tidemark.plans.publish import Publisher, confirm
 from tidemark.schemas import IDENTITY, LANDING_DATE, Entity
 from tidemark.session import append, empty, written
 from tidemark.sources.layers import existing, run_path
@@ -119,35 +119,41 @@ class Consolidation:
         """
         days = sorted(set(dates))
         run, now = new_run_id(), utc_now()
-        published = self.publisher.published(days)
+        pointers = self.publisher.pointers(days)
+        published = self.publisher.records_of(pointers)
         held = written(offsets.presence(published, (LANDING_DATE,)), "presence")
-        self.publisher.confirm(held.groupBy(LANDING_DATE).agg(F.sum("rows").alias("rows")), days)
-        twice = held.where(F.col("rows") > F.bitmap_count("bits"))
-        batch = self.batch(days)
-        rows = batch if twice.isEmpty() else past.once_per_date(batch, published.select(LANDING_DATE, *IDENTITY))
-        sorted_rows = rows.withColumn("run_id", F.lit(run)).sortWithinPartitions("topic", "kafka_partition", "offset")
-        append(sorted_rows.write.partitionBy(LANDING_DATE, "run_id"), self.history_path)
-        asked = self.spark.createDataFrame([(d, run) for d in days], f"{LANDING_DATE} date, run string")
-        found = self._existing_rows(asked.withColumn("events", F.lit(1)))
-        measured = written(past.measures(found, self.entity).withColumn("run", F.lit(run)), "measures")
-        self._add(measured, "history-measures", _MEASURES)
+        confirm(held.groupBy(LANDING_DATE).agg(F.sum("rows").alias("rows")), pointers)
+        batch = events(published, self.entity, carry=(LANDING_DATE,))
+        if not held.where(F.col("rows") > F.bitmap_count("bits")).isEmpty():
+            batch = past.once_per_date(batch, published.select(LANDING_DATE, *IDENTITY))
+        rows = batch.withColumn("run_id", F.lit(run)).sortWithinPartitions("topic", "kafka_partition", "offset")
+        append(rows.write.partitionBy(LANDING_DATE, "run_id"), self.history_path)
+        found = self._existing_rows([(d, run) for d in days])
+        self._add(past.measures(found, self.entity).withColumn("run", F.lit(run)), "history-measures", _MEASURES)
         self._add(held.withColumn("run", F.lit(run)), "history-presence", _PRESENCE)
         self._list_repeated(days, run)
-        counted = measured.groupBy(LANDING_DATE).agg(F.sum("events").alias("events"))
-        named = asked.join(counted, LANDING_DATE, "left").select(
-            LANDING_DATE, "run", F.coalesce("events", F.lit(0)).cast("long").alias("events"),
-            F.lit(now).alias("created_at"))
-        self._add(named, "history-runs", _RUNS)
-
-    def _existing_rows(self, runs: DataFrame) -> DataFrame:
-        paths = {run_path(self.history_path, r[LANDING_DATE], r.run): r[LANDING_DATE] for r in runs.collect()}
-        there = existing(self.spark, list(paths))
+        own = self._list("history-measures", _MEASURES).where(F.col("run") == run)
+        counted = {r[0]: r[1] for r in own.groupBy(LANDING_DATE).agg(F.sum("events")).collect()}
+        named = [(d, run, counted.get(d, 0), now) for d in days]
+        self._add(self.spark.createDataFrame(named, _RUNS), "history-runs", _RUNS)
+
+    def _existing_rows(self, runs: Iterable[tuple[date, str]]) -> DataFrame:
+        """Events of the runs (date, run) that have any."""
+        there = existing(self.spark, [run_path(self.history_path, d, run) for d, run in runs])
         schema = self.entity.event_schema.add(LANDING_DATE, "date")
         if not there:
             return empty(self.spark, schema)
         rows = self.spark.read.schema(schema).option("basePath", self.history_path).parquet(*there)
         return rows.select(*schema.fieldNames())
 
+    def _replaced(self) -> set[tuple[date, str]]:
+        """Named runs (date, run) that another one has replaced."""
+        runs = self._list("history-runs", _RUNS)
+        if runs is None:
+            return set()
+        named = {(r[LANDING_DATE], r.run) for r in runs.select(LANDING_DATE, "run").collect()}
+        return named - {(r[LANDING_DATE], r.run) for r in self._runs().select(LANDING_DATE, "run").collect()}
+
     def _list_repeated(self, days: list[date], run: str) -> None:
         """Note identities that the new run and runs of other dates hold, or several dates of the new one.
 
@@ -155,26 +161,24 @@ class Consolidation:
         twice; normally none is, and no history is read.
         """
         presence = self._list("history-presence", _PRESENCE)
-        named = self._list("history-runs", _RUNS)
-        own = presence.where(F.col("run") == run)
-        span = own.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
+        span = presence.where(F.col("run") == run).agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
         if span.low is None:
             return
-        near = presence.where(F.col("bucket").between(span.low, span.high))
-        if named is not None:
-            past_runs = named.select(F.col("run").alias("old"), F.col(LANDING_DATE).alias("day")).join(
-                self._runs().select(F.col("run").alias("old"), F.col(LANDING_DATE).alias("day")),
-                ["old", "day"], "left_anti")
-            near = near.join(past_runs, (F.col("run") == F.col("old")) & (F.col(LANDING_DATE) == F.col("day")), "left_anti")
-        others = near.where((F.col("run") == run) | ~F.col(LANDING_DATE).isin(days))
+        near = presence.where(F.col("bucket").between(span.low, span.high)
+                              & ((F.col("run") == run) | ~F.col(LANDING_DATE).isin(days)))
+        replaced = self._replaced()
+        if replaced:
+            gone = self.spark.createDataFrame(list(replaced), f"{LANDING_DATE} date, run string")
+            near = near.join(F.broadcast(gone), [LANDING_DATE, "run"], "left_anti")  # a row per date and rebuild
         place = ["topic", "kafka_partition", "bucket"]
-        met = others.groupBy(*place).agg(
+        met = near.groupBy(*place).agg(
             F.sum(F.bitmap_count("bits")).alias("single"), F.bitmap_count(F.bitmap_or_agg("bits")).alias("together"))
         shared = written(met.where("single > together").select(*place), "shared")
         if shared.isEmpty():
             return
-        holders = others.join(shared, place, "left_semi").select(LANDING_DATE, "run").distinct()
-        rows = self._existing_rows(holders).withColumn("bucket", F.shiftright("offset", offsets.BITS))
+        holders = near.join(shared, place, "left_semi").select(LANDING_DATE, "run").distinct().collect()
+        rows = self._existing_rows([tuple(r) for r in holders]).withColumn(
+            "bucket", F.shiftright("offset", offsets.BITS))
         counted = rows.join(shared, place, "left_semi").groupBy(*IDENTITY).agg(F.count("*").alias("copies"))
         repeated = written(counted.where("copies > 1").select(*IDENTITY), "repeated")
         if not repeated.isEmpty():

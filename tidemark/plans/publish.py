@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import business_date, run_id, utc_now
@@ -114,27 +114,20 @@ class Publisher:
         states = ledger.read(self.spark, self.ledger_path)
         return ledger.latest(states.where(F.col("dataset") == self.dataset))
 
+    def pointers(self, dates: Iterable[date] | None = None) -> list[Row]:
+        """What is published, a row per date: partition_date, published_path, published_through, output_rows."""
+        return pointers(self.spark, self.ledger_path, self.dataset, dates)
+
     def published(self, dates: Iterable[date] | None = None, verify: bool = False) -> DataFrame:
         """Records of the published runs; empty where nothing is published. ``verify`` counts them first."""
-        records = published_read(self.spark, self.ledger_path, self.dataset, self.landing,
-                                 self.compacted, dates)
+        named = self.pointers(dates)
+        records = self.records_of(named)
         if verify:
-            self.confirm(records.groupBy(LANDING_DATE).agg(F.count("*").alias("rows")), dates)
+            confirm(records.groupBy(LANDING_DATE).agg(F.count("*").alias("rows")), named)
         return records
 
-    def confirm(self, counted: DataFrame, dates: Iterable[date] | None = None) -> None:
-        """Hold the ``rows`` read per date against those published. A date that lost some, or all, is an
-        error that names it: what is left would look complete."""
-        states = ledger.visible(ledger.read(self.spark, self.ledger_path).where(F.col("dataset") == self.dataset))
-        if dates is not None:
-            states = states.where(F.col("partition_date").isin(list(dates)))
-        due = states.select("partition_date", "output_rows")
-        found = counted.select(F.col(LANDING_DATE).alias("partition_date"), "rows")
-        held = due.join(found, "partition_date", "left").na.fill(0, ["rows"])
-        lost = held.where(F.col("rows") != F.col("output_rows")).orderBy("partition_date").collect()
-        if lost:
-            raise PublishedRunLost("; ".join(
-                f"{r.partition_date}: {r.output_rows} records published, {r.rows} found" for r in lost))
+    def records_of(self, named: list[Row]) -> DataFrame:
+        return pointed_read(self.spark, named, self.landing, self.compacted)
 
     # -- publishing ---------------------------------------------------------------------
 
@@ -317,21 +310,40 @@ def _landing_through(spark: SparkSession, landing: str, through: dict[date, date
     return raw_columns(bounded.where(F.col("ingested_at_utc") <= F.col("published_through")))
 
 
+def pointers(spark: SparkSession, ledger_path: str, dataset: str, dates: Iterable[date] | None = None) -> list[Row]:
+    """Published dates of a dataset, one row each."""
+    states = ledger.read(spark, ledger_path).where(F.col("dataset") == dataset)
+    if dates is not None:
+        states = states.where(F.col("partition_date").isin(list(dates)))
+    return ledger.visible(states).select(
+        "partition_date", "published_path", "published_through", "output_rows").collect()
+
+
+def confirm(counted: DataFrame, named: list[Row]) -> None:
+    """Hold the ``rows`` read per date against those published. A date that lost some, or all, is an
+    error that names it: what is left would look complete."""
+    found = {r[0]: r[1] for r in counted.select(LANDING_DATE, "rows").collect()}
+    lost = [f"{p.partition_date}: {p.output_rows} records published, {found.get(p.partition_date, 0)} found"
+            for p in named if found.get(p.partition_date, 0) != p.output_rows]
+    if lost:
+        raise PublishedRunLost("; ".join(sorted(lost)))
+
+
 def published_read(spark: SparkSession, ledger_path: str, dataset: str, landing: str,
                    compacted: str, dates: Iterable[date] | None = None) -> DataFrame:
     """Records of what is published, of all dates or of some.
 
     A date without a completed state or without a published path gives no rows; a published
-    run, or a date published in place, whose folder is gone is an error that names it. ``Publisher.confirm``
+    run, or a date published in place, whose folder is gone is an error that names it. ``confirm``
     finds lost files too. The result always has the landing columns.
     """
-    states = ledger.read(spark, ledger_path).where(F.col("dataset") == dataset)
-    if dates is not None:
-        states = states.where(F.col("partition_date").isin(list(dates)))
-    pointers = ledger.visible(states).select("partition_date", "published_path", "published_through").collect()
-    runs = [p.published_path for p in pointers if p.published_through is None]
+    return pointed_read(spark, pointers(spark, ledger_path, dataset, dates), landing, compacted)
+
+
+def pointed_read(spark: SparkSession, named: list[Row], landing: str, compacted: str) -> DataFrame:
+    runs = [p.published_path for p in named if p.published_through is None]
     in_place = {p.partition_date: p.published_through
-                for p in pointers if p.published_through is not None}
+                for p in named if p.published_through is not None}
     parts = []
     if runs:
         parts.append(raw_columns(run_scan(spark, compacted, runs)))
