@@ -79,3 +79,14 @@ def test_empty_table(odd):
 def test_distance_loses_few_pairs_at_the_threshold():
     kept = sum(comb(minhash.SYMBOLS, k) * 0.2**k * 0.8 ** (minhash.SYMBOLS - k) for k in range(minhash.DISTANCE + 1))
     assert 1 - kept < 1e-4
+
+
+def thue_morse(n):
+    """A pattern and its complement, over which powers of any base cancel modulo 2^64."""
+    signs = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs)
+
+
+def test_long_words_whose_powers_cancel_differ(spark):
+    rows = list(enumerate([*thue_morse(2048), thue_morse(2048)[0], "x " + thue_morse(64)[0], "x " + thue_morse(64)[1]]))
+    assert result(spark.createDataFrame(rows, "doc_id long, text string"), 2) == expected(rows, 2)

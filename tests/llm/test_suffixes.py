@@ -66,3 +66,18 @@ def test_empty_table(odd):
 def test_every_difference_of_places_occurs_in_the_cover():
     cover, period = suffixes.COVER, suffixes.PERIOD
     assert {(a - b) % period for a in cover for b in cover} == set(range(period))
+
+
+def thue_morse(n):
+    """A pattern and its complement, over which powers of any base cancel modulo 2^64."""
+    signs = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs)
+
+
+def test_texts_whose_powers_cancel_are_no_copies(spark):
+    rng = random.Random(2)
+    base = [rng.choice("cdefghij") for _ in range(2048)]
+    texts = ["".join(chr(ord(c) + (x == "a")) for c, x in zip(base, signs)) for signs in thue_morse(2048)]
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[0])]
+    found = result(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found == expected(rows)

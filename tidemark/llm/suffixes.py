@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.blocks import gather, opened, packed, steps, summed, unpacked
-from tidemark.llm.words import Powers, mixed
+from tidemark.llm.words import Powers, digest, mixed
 
 LENGTH = 50
 PERIOD = 31
@@ -81,10 +81,11 @@ class Texts:
         return self.inside(at[at < n], NAME)
 
     def wholes(self):
-        """Texts that can lose something, by number, and the entries of their fingerprints."""
+        """Texts that can lose something, by number, and the entries of their digests. Texts are too long for the
+        fingerprints of short strings, in which powers of the base could cancel."""
         long = np.flatnonzero((np.diff(self.begins) >= LENGTH) & np.array([i is not None for i in self.ids], bool))
-        size = np.diff(self.begins)[long]
-        prints = self.prints(self.begins[long], size) + size.astype(np.uint64)
+        prints = np.fromiter(
+            (digest(self.bytes[self.begins[i]:self.begins[i + 1]].tobytes()) for i in long), np.uint64, len(long))
         return long, _entries(prints, self.order[long])
 
 

@@ -1,13 +1,19 @@
 """Words of UTF-8 texts as 64-bit numbers, computed for many texts at once.
 
 A word is a run of bytes other than the six ASCII white-space bytes. Equal words get equal
-numbers; different words get different ones but for a chance of about 2^-64 a pair.
+numbers. Words of up to ``LONG`` bytes are hashed together, by powers of a base modulo 2^64; sums of
+such powers can cancel by a pattern once a text has a thousand bytes, so longer words, which
+are rare, get a digest each.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+LONG = 64
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -21,6 +27,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def digest(data: bytes) -> int:
+    """64 bits of a digest, which no pattern in the data can make equal."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
 class Powers:
     """Powers of an odd base modulo 2^64, and their inverses, as far as asked for."""
 
@@ -51,7 +62,8 @@ def chunks(texts: list[bytes]):
 def word_numbers(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all words of ``texts`` in order, and for each text where its words begin
     (one entry more than there are texts)."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    joined = b" ".join(texts) + b" "
+    data = np.frombuffer(joined, np.uint8)
     space = np.concatenate([[True], _SPACE[data]])
     edge = np.flatnonzero(space[1:] != space[:-1])
     first, last = edge[0::2], edge[1::2]
@@ -60,5 +72,7 @@ def word_numbers(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.nda
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers.up[:len(data)], out=total[1:])
     number = (total[last] - total[first]) * powers.down[first]
     number = mixed(number + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for i in np.flatnonzero(last - first > LONG).tolist():
+        number[i] = digest(joined[first[i]:last[i]])
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     return number, np.searchsorted(first, begins)
