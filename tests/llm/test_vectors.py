@@ -78,3 +78,11 @@ def test_few_pairs_at_the_threshold_are_lost():
     draw = np.random.default_rng(1)
     hit = np.abs(draw.normal(0, 0.2, (200_000, vectors.PROJECTIONS))) <= vectors.SPREAD * 0.2
     assert ((~hit).sum(axis=1) > misses).mean() < 3e-4
+
+
+def test_labels_alike_in_their_first_64_bytes(spark):
+    one, other = "l" * 64 + "1", "l" * 64 + "2"
+    rows = [(i, [1.0, 2.0, 3.0], one if i < 3 else other) for i in range(5)]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    found = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(made).collect())
+    assert found == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 1, 3), (4, 1, 3)]

@@ -78,7 +78,8 @@ def _classes(rows: DataFrame) -> DataFrame:
                     x = np.array(vector, "<f8") + 0.0
                     if np.isfinite(x).all() and x.any():
                         raw = x.tobytes()
-                        name = hashlib.blake2b(raw, digest_size=8, key=str(label).encode()[:64])
+                        whole = hashlib.sha256(str(label).encode()).digest()
+                        name = hashlib.blake2b(raw, digest_size=8, key=whole)
                         node = int.from_bytes(name.digest(), "little", signed=True)
                 out["node"].append(node)
                 out["vector"].append(raw)
