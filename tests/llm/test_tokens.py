@@ -13,11 +13,10 @@ from tidemark.llm.tokens import Encoder
 
 ENCODER = Encoder()
 OTHER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-OTHER.encode_special_tokens = True
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("ab é漢1'!. \n\t\x1c\x85\xa0　st"), max_size=40))
+@given(st.lists(st.sampled_from([*"ab é漢1'!. \n\t\x1c\x85\xa0　st<|>", "<|endoftext|>", "<|endof"]), max_size=40).map("".join))
 def test_ids_equal_those_of_the_other_library(text):
     assert ENCODER.encode(text).tolist() == OTHER.encode(text, add_special_tokens=False).ids
 
@@ -124,5 +123,16 @@ def test_matrix_rows_hold_every_id_once(name, request):
         assert pieces == texts[0] if len(texts) == 1 else sorted(pieces) == sorted(sum(texts, []))
 
 
+def test_the_special_token_is_one_id():
+    assert ENCODER.encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
+def test_written_rows_are_read_back_whole(spark, docs, tmp_path):
+    rows = bins.packed_rows(docs)
+    bins.write(rows, str(tmp_path / "bins"))
+    again = sorted((bytes(r.ids), r.n_tokens, tuple(r.cu_seqlens)) for r in spark.read.parquet(str(tmp_path / "bins")).collect())
+    assert again == sorted((bytes(r.ids), r.n_tokens, tuple(r.cu_seqlens)) for r in rows.collect())
+
+
 def test_empty_tables(odd):
     assert packing.pack(odd.limit(0)).count() == 0 and bins.packed_rows(odd.limit(0)).count() == 0
