@@ -65,17 +65,22 @@ def reconcile(left: DataFrame, right: DataFrame, identity: Sequence[str] = IDENT
 
 
 def current_audit(current: DataFrame, history: DataFrame, entity: Entity) -> DataFrame:
-    """Keys whose current state is not the latest event of ``history``, with a verdict:
-    ``repeated`` (more than one row), ``missing``, ``unexpected`` or ``differs``."""
+    """Keys whose current state is not the latest event of ``history``, with a verdict: ``repeated`` (more than
+    one row), ``missing``, ``unexpected``, ``differs`` (another position) or ``altered`` (its position, other values)."""
     key = entity.key
-    held = current.groupBy(key).agg(
-        F.count("*").alias("rows"), F.max(F.struct(*ORDERING)).alias("held"))
-    due = latest(history, entity).select(key, F.struct(*ORDERING).alias("due"))
+    rest = [c for c in entity.event_columns if c not in (key, *ORDERING)]
+    row = F.struct(*ORDERING, *rest)
+    held = current.groupBy(key).agg(F.count("*").alias("rows"), F.max(row).alias("held"))
+    due = latest(history, entity).select(key, row.alias("due"))
+    elsewhere = F.lit(False)
+    for c in ORDERING:
+        elsewhere = elsewhere | ~F.col(f"held.{c}").eqNullSafe(F.col(f"due.{c}"))
     verdict = (
         F.when(F.col("rows") > 1, "repeated")
         .when(F.col("held").isNull(), "missing")
         .when(F.col("due").isNull(), "unexpected")
-        .when(F.col("held") != F.col("due"), "differs")
+        .when(elsewhere, "differs")
+        .when(~F.col("held").eqNullSafe(F.col("due")), "altered")
     )
     both = held.join(due, key, "full_outer").select(key, verdict.alias("verdict"))
     return both.where(F.col("verdict").isNotNull())

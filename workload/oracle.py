@@ -275,6 +275,8 @@ ORACLE = {
     "raw_landing_stream": _identity(ORDERS),
     "stream_available_now": _identity(PAYMENTS),
     "stream_restart_no_dup": f"""SELECT topic, kafka_partition, "offset",
+  CAST(1 AS BIGINT) AS copies FROM {records(ORDERS)}""",
+    "stream_killed_before_commit": f"""SELECT topic, kafka_partition, "offset",
   CAST(1 AS BIGINT) AS copies FROM {records(ORDERS)}""",
     "landing_root_scan": f"""SELECT topic, kafka_partition, "offset", kafka_timestamp_utc,
   date_trunc('quarter', kafka_timestamp_utc) AS ingested_at_utc, ingestion_date_utc
@@ -323,6 +325,8 @@ UNION ALL SELECT 'events', 'unreadable', count(*) FROM events WHERE props IS NOT
     "history_side_by_side": _events_sql(ORDERS, ", ingestion_date_utc"),
     "current_rebuilt_partial_history": f"SELECT * FROM {current(ORDERS)}",
     "history_unique": _events_sql(ORDERS, ", ingestion_date_utc"),
+    "current_value_audit": f"""SELECT 'altered' AS verdict, count(*) AS keys
+FROM {current(ORDERS)} WHERE status_order = 'CANCELLED' HAVING count(*) > 0""",
     "current_audit": f"""SELECT 'differs' AS verdict, count(*) AS keys
 FROM {current(ORDERS)} WHERE cdc_operation = 'd' HAVING count(*) > 0""",
     "publish_doubled": f"""SELECT 'payments' AS dataset, partition_date,
@@ -337,6 +341,8 @@ FROM (SELECT ingestion_date_utc AS partition_date, count(*) AS input_rows,
   false AS published FROM {records(PAYMENTS)}""",
     "publish_error_captured": f"""SELECT 'refunds' AS dataset, partition_date, 'FAILED' AS status,
   'storage went away' AS error, false AS published
+FROM (SELECT DISTINCT ingestion_date_utc AS partition_date FROM {records(REFUNDS)} ORDER BY 1 LIMIT 2)""",
+    "orphan_runs": f"""SELECT partition_date, CAST(2 AS BIGINT) AS runs, true AS sized
 FROM (SELECT DISTINCT ingestion_date_utc AS partition_date FROM {records(REFUNDS)} ORDER BY 1 LIMIT 2)""",
     "published_after_failed_republish": _identity(PAYMENTS),
     "published_after_late_files": _identity(PAYMENTS),

@@ -17,6 +17,7 @@ from tidemark.operators import fingerprint as prints
 from tidemark.operators import history as past
 from tidemark.operators import ledger, offsets, quality, versions
 from tidemark.operators.compaction import Thresholds, policy
+from tidemark.plans import sweep
 from tidemark.plans.consolidate import Consolidation
 from tidemark.plans.publish import PublicationRejected, Publisher
 from tidemark.schemas import IDENTITY, LANDING_DATE, LEDGER, ORDERS, PAYMENTS, REFUNDS, Entity
@@ -104,6 +105,19 @@ def stream_restart_no_dup(spark, sf_dir):
     return landed.groupBy("topic", "kafka_partition", "offset").agg(F.count("*").alias("copies"))
 
 
+@query
+def stream_killed_before_commit(spark, sf_dir):
+    """Micro-batches of which the last was written but not committed, as when a job is killed between the two;
+    the next start repeats it, and each record is landed once."""
+    source, out = stages.topic_files(spark, sf_dir, ORDERS), scratch(spark, "landing")
+    for _ in range(2):
+        catch_up(file_stream(spark, source, max_files_per_trigger=3), f"{out}/data", f"{out}/checkpoint")
+        stages.forget_last_commit(spark, f"{out}/checkpoint")
+    catch_up(file_stream(spark, source), f"{out}/data", f"{out}/checkpoint")
+    landed = landing_scan(spark, f"{out}/data")
+    return landed.groupBy("topic", "kafka_partition", "offset").agg(F.count("*").alias("copies"))
+
+
 @query
 def landing_root_scan(spark, sf_dir):
     root = stages.landing(spark, sf_dir, ORDERS, scattered=True)
@@ -411,6 +425,16 @@ def history_estimates(spark, sf_dir):
                        near("median_ms", 0.5).alias("median_near"), near("p99_ms", 0.99).alias("p99_near"))
 
 
+@query
+def current_value_audit(spark, sf_dir):
+    """A state with the right positions in which cancelled orders count as delivered."""
+    happened = _events(spark, sf_dir)
+    now = state.latest(happened, ORDERS)
+    wrong = F.when(F.col("status_order") == "CANCELLED", "DELIVERED").otherwise(F.col("status_order"))
+    found = quality.current_audit(now.withColumn("status_order", wrong), happened, ORDERS)
+    return found.groupBy("verdict").agg(F.count("*").alias("keys"))
+
+
 @query
 def current_audit(spark, sf_dir):
     """A state that ignored deletes, held against history."""
@@ -631,6 +655,23 @@ def publish_error_captured(spark, sf_dir):
                                  F.col("published_path").isNotNull().alias("published"))
 
 
+@query
+def orphan_runs(spark, sf_dir):
+    """Runs that a publication left which crashed on two dates, together and then one by one; all
+    dates are published afterwards."""
+    root = stages.landing(spark, sf_dir, REFUNDS, scattered=True)
+    days = stages.landing_dates(spark, root)
+    crashing = stages.publisher(spark, REFUNDS, root, stages.CrashingPublisher)
+    try:
+        crashing.publish(days[:2])
+    except OSError:
+        pass
+    job = Publisher(spark, crashing.dataset, root, crashing.compacted, crashing.ledger_path)
+    job.publish(days)
+    return sweep.orphan_runs(job, older_than=timedelta(0)).groupBy(F.col(LANDING_DATE).alias("partition_date")).agg(
+        F.count("*").alias("runs"), F.every(F.col("bytes") > 0).alias("sized"))
+
+
 @query
 def published_after_failed_republish(spark, sf_dir):
     """Late records, and a republication of all dates that fails: the first one stays visible."""

@@ -66,6 +66,15 @@ def land_late(spark: SparkSession, sf_dir: str, entity: Entity, root: str) -> No
     late.repartition(LANDING_DATE).write.mode("append").partitionBy(LANDING_DATE).parquet(root)
 
 
+def forget_last_commit(spark: SparkSession, checkpoint: str) -> None:
+    """Leave a stream as if it had been killed after writing its last batch, before committing it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{checkpoint}/commits")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    last = max(int(f.getPath().getName()) for f in files.listStatus(folder) if f.getPath().getName().isdigit())
+    files.delete(hadoop.Path(folder, str(last)), False)
+
+
 def land_again(spark: SparkSession, root: str) -> None:
     """Land the records of two partitions once more, a quarter after the first time."""
     later = landing_scan(spark, root).where("kafka_partition < 2").withColumn(
