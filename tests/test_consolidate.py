@@ -1,3 +1,4 @@
+import json
 import os
 from datetime import date
 from pathlib import Path
@@ -8,7 +9,7 @@ from helpers import at, change, image, landed_at
 from tidemark.operators import events, quality
 from tidemark.plans.consolidate import Consolidation
 from tidemark.plans.publish import Publisher
-from tidemark.schemas import KAFKA_RECORD, LANDING_DATE, ORDERS
+from tidemark.schemas import KAFKA_RECORD, LANDING_DATE, ORDERS, PAYMENTS
 from tidemark.session import append
 from tidemark.sources.layers import PublishedRunLost
 
@@ -164,6 +165,45 @@ def test_a_view_and_its_audit(spark, job):
     assert audit() == {}
 
 
+def test_deltas_gather_in_tiers(job):
+    gathering = Consolidation(job.spark, ORDERS, job.publisher, job.root, buckets=4, fan=2)
+    tiers = []
+    for days in ([D1], [D2], [D1], [D3], [D2]):
+        gathering.apply(days)
+        tiers.append([d.tier for d in gathering._versions()[1]])
+    assert tiers == [[0], [1], [1, 0], [2], [2, 0]]
+    assert current(gathering) == EXPECTED and gathering.folded_dates() == [D1, D2, D3]
+    gathering.compact()
+    assert gathering._versions()[1] == [] and current(gathering) == EXPECTED
+    gathering.apply([D3])
+    assert current(gathering) == EXPECTED
+
+
+def test_references_are_audited_where_they_lie(spark, job, tmp_path):
+    """Payments of orders that exist, were deleted, never were, and of none."""
+    job.apply([D1, D2, D3])
+    landing = str(tmp_path / "payments")
+    rows = [(PAYMENTS.topic, 0, n, at(1), b"k", json.dumps({"op": op, "ts_ms": 1, "source": {"lsn": n}, "after": {
+        "id_payment": f"p{n}", "id_order": order, "status_payment": "PENDING"}}).encode())
+        for n, (order, op) in enumerate([("1", "c"), ("2", "c"), ("3", "u"), ("9", "c"), (None, "c")])]
+    landed_at(spark.createDataFrame(rows, KAFKA_RECORD), landing, at(1))
+    source = Publisher(spark, "payments", landing, str(tmp_path / "pc"), str(tmp_path / "pl"))
+    source.publish([D1])
+    child = Consolidation(spark, PAYMENTS, source, str(tmp_path / "pout"), buckets=3)
+    with pytest.raises(ValueError, match="index_references"):
+        child.referential_audit(job)
+    child.apply([D1])
+    child.index_references(job.buckets)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = child.referential_audit(job)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
+        assert {(r.id_payment, r.id_order) for r in found.collect()} == {("p1", "2"), ("p3", "9")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_the_number_of_buckets_can_change(job):
     job.apply([D1, D2])
     wider = Consolidation(job.spark, ORDERS, job.publisher, job.root, buckets=7)

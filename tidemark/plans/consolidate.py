@@ -9,7 +9,7 @@ landed on several dates are listed apart, and readers keep their earliest copy.
 stored beside it: profile, audit and estimates of the whole history read those alone.
 
 Current state is a base and the deltas written since. A fold writes its reduced batch as
-one more delta; ``compact`` makes a new base. Deltas can be merged in any order and any number of
+one more delta; deltas gather in tiers, and ``compact`` makes a new base. Deltas can be merged in any order and any number of
 times, so folds that run side by side lose nothing.
 """
 
@@ -29,7 +29,7 @@ from tidemark.functions.calendar import run_id as new_run_id
 from tidemark.functions.calendar import utc_now
 from tidemark.operators import current as state
 from tidemark.operators import history as past
-from tidemark.operators import offsets
+from tidemark.operators import offsets, quality
 from tidemark.operators.events import events
 from tidemark.plans.publish import Publisher, confirm
 from tidemark.schemas import IDENTITY, LANDING_DATE, Entity
@@ -39,11 +39,12 @@ from tidemark.sources.tables import attach_bucketed, drop_table, write_bucketed
 
 _BASE, _DELTA = "base", "delta"
 _VERSIONS = ("version string, kind string, path string, buckets int, includes array<string>, "
-             "dates array<date>, created_at timestamp")
+             "dates array<date>, tier int, created_at timestamp")
 _RUNS = f"{LANDING_DATE} date, run string, events bigint, created_at timestamp"
 _PRESENCE = (f"{LANDING_DATE} date, run string, topic string, kafka_partition int, bucket bigint, rows bigint, "
              "from_offset bigint, to_offset bigint, bits binary")
 _MEASURES = f"{LANDING_DATE} date, run string, {past.MEASURES}"
+_INDEXES = "version string, path string, buckets int, created_at timestamp"
 _REPEATED = "topic string, kafka_partition int, offset bigint"
 
 
@@ -51,7 +52,7 @@ _REPEATED = "topic string, kafka_partition int, offset bigint"
 class Consolidation:
     """History and current state of one entity below ``root``.
 
-    ``buckets`` sizes the current table: aim at a few hundred MB per bucket.
+    ``buckets`` sizes the current table: aim at a few hundred MB per bucket. ``fan`` deltas of a tier make one of the next.
     """
 
     spark: SparkSession
@@ -59,6 +60,7 @@ class Consolidation:
     publisher: Publisher
     root: str
     buckets: int = 8
+    fan: int = 8
 
     @property
     def history_path(self) -> str:
@@ -218,12 +220,13 @@ class Consolidation:
     # -- current state --------------------------------------------------------------------
 
     def _versions(self) -> tuple[Row | None, list[Row]]:
-        """The base in force and the deltas it does not include."""
+        """The base in force and the deltas that neither it nor a larger delta includes."""
         listed = self._list("current-versions", _VERSIONS)
         rows = [] if listed is None else listed.orderBy("created_at", "version").collect()
         base = max((r for r in rows if r.kind == _BASE), default=None, key=lambda r: (r.created_at, r.version))
-        seen = set(base.includes) if base else set()
-        return base, [r for r in rows if r.kind == _DELTA and r.version not in seen]
+        deltas = [r for r in rows if r.kind == _DELTA]
+        seen = set(base.includes if base else ()).union(*[d.includes for d in deltas])
+        return base, [r for r in deltas if r.version not in seen]
 
     def _table(self, version: Row) -> DataFrame:
         return attach_bucketed(self.spark, self._name(version.version), version.path,
@@ -235,10 +238,12 @@ class Consolidation:
     def current(self) -> DataFrame:
         """The current state: the base and its deltas, bucket by bucket; empty before the first fold."""
         base, deltas = self._versions()
-        parts = [self._table(v) for v in ([base] if base else []) + deltas]
-        if not parts:
-            return empty(self.spark, self.entity.event_schema)
-        return reduce(lambda a, b: state.merge(a, b, self.entity), parts)
+        parts = ([base] if base else []) + deltas
+        return self._merged(parts) if parts else empty(self.spark, self.entity.event_schema)
+
+    def _merged(self, parts: list[Row]) -> DataFrame:
+        # Joins, not one union: a union of bucketed scans is taken for bucketed, and keys then meet wrongly.
+        return reduce(lambda a, b: state.merge(a, b, self.entity), [self._table(v) for v in parts])
 
     def view(self) -> str:
         """Name of a view over the state in force, for SQL; call again after a fold."""
@@ -282,14 +287,51 @@ class Consolidation:
         built = None if runs is None else runs.where(F.col(LANDING_DATE).isin(days))
         source = self._rows_of(built) if built is not None and built.count() == len(days) else self.batch(days)
         self._write(state.latest(source, self.entity), _DELTA, days)
+        self._gather()
+
+    def _gather(self) -> None:
+        """Merge ``fan`` deltas of a tier into one of the next, so that a state of n folds is read from fewer than
+        ``fan`` parts a tier and each row is written once per tier. The base is not touched."""
+        _, deltas = self._versions()
+        for tier in range(max((d.tier for d in deltas), default=0) + 1):
+            same = [d for d in deltas if d.tier == tier]
+            if len(same) >= self.fan:
+                days = sorted({day for d in same for day in d.dates})
+                self._write(self._merged(same), _DELTA, days, deltas=same, tier=tier + 1)
+                _, deltas = self._versions()
+
+    # -- references to another entity ---------------------------------------------------------
+
+    def index_references(self, buckets: int | None = None) -> None:
+        """Write which active row names which row of the parent, bucketed by the latter as the parent's state
+        is (``buckets``, by default as many as here)."""
+        buckets, ref = buckets or self.buckets, self.entity.ref
+        version = new_run_id().lower()
+        path = f"{self.root}/references/{version}"
+        named = state.active(self.current()).select(ref, self.entity.key).repartition(buckets, ref)
+        write_bucketed(named, self._name(f"by_{ref}_{version}"), path, ref, buckets)
+        self._add(self.spark.createDataFrame([(version, path, buckets, utc_now())], _INDEXES), "references-versions", _INDEXES)
+
+    def referential_audit(self, parent: Consolidation) -> DataFrame:
+        """Rows of the newest index that name no active row of ``parent``. Index and state lie in buckets of the same
+        key, so the audit of a state of one part (as after ``compact``) moves neither."""
+        listed = self._list("references-versions", _INDEXES)
+        if listed is None:
+            raise ValueError("no index of references: call index_references first")
+        newest = max(listed.collect(), key=lambda r: (r.created_at, r.version))
+        ref, key = self.entity.ref, self.entity.key
+        schema = T.StructType([self.entity.event_schema[ref], self.entity.event_schema[key]])
+        children = attach_bucketed(self.spark, self._name(f"by_{ref}_{newest.version}"), newest.path, schema, ref,
+                                   newest.buckets)
+        return quality.referential_audit(children, ref, state.active(parent.current()), parent.entity.key, [key])
 
     def _write(self, rows: DataFrame, kind: str, dates: list[date], base: Row | None = None,
-               deltas: Iterable[Row] = ()) -> None:
+               deltas: Iterable[Row] = (), tier: int = 0) -> None:
         now = utc_now()
         version = new_run_id(now).lower()
         path = f"{self.root}/current/{version}"
         write_bucketed(rows.repartition(self.buckets, self.entity.key), self._name(version), path,
                        self.entity.key, self.buckets)
         includes = [*(base.includes if base else []), *(d.version for d in deltas)]
-        row = (version, kind, path, self.buckets, includes, sorted(dates), now)
+        row = (version, kind, path, self.buckets, includes, sorted(dates), tier, now)
         self._add(self.spark.createDataFrame([row], _VERSIONS), "current-versions", _VERSIONS)

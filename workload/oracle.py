@@ -402,6 +402,9 @@ FROM {records(PAYMENTS)} GROUP BY 2""",
     "history_estimates": f"""SELECT DISTINCT topic, true AS keys_near, true AS median_near, true AS p99_near
 FROM {events(ORDERS)}""",
     "referential_audit": _referential_audit(),
+    "referential_audit_bucketed": f"""SELECT id_payment, id_order FROM {current(PAYMENTS)} x
+WHERE cdc_operation <> 'd' AND NOT EXISTS (
+  SELECT 1 FROM {current(ORDERS)} y WHERE y.cdc_operation <> 'd' AND y.id_order = x.id_order)""",
     "table_roundtrip": "SELECT c_custkey AS id, c_name AS description FROM customer",
     "catalog_describe": " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS table_rows FROM {t}"

@@ -837,6 +837,22 @@ def referential_audit(spark, sf_dir):
                       F.col("id_payment").alias("parent_id")))
 
 
+@query
+def referential_audit_bucketed(spark, sf_dir):
+    """Payments of deleted orders, from an index of references that lies as the orders' state does."""
+    jobs = {}
+    for entity in (ORDERS, PAYMENTS):
+        root = stages.landing(spark, sf_dir, entity, scattered=False)
+        source = stages.publisher(spark, entity, root)
+        days = stages.landing_dates(spark, root)
+        source.publish(days)
+        jobs[entity.name] = Consolidation(spark, entity, source, scratch(spark, "consolidated"))
+        jobs[entity.name].apply(days)
+    orders, payments = jobs["orders"], jobs["payments"]
+    payments.index_references(orders.buckets)
+    return payments.referential_audit(orders)
+
+
 # --- catalog --------------------------------------------------------------------------------
 
 @query
