@@ -1,6 +1,8 @@
+import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import secrets
 
@@ -57,6 +59,19 @@ def test_short_and_punctuated_values_of_a_name_are_found(made):
     assert wanted <= found(secrets.train(made))  # no short value among its examples
 
 
+def test_rare_secrets_are_examples_whatever_the_size(spark, made):
+    """Three secrets among 100,000 texts, most of them without ids, train a forest."""
+    plain = spark.range(100_000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"),
+        F.concat(F.lit("the token: response of internationalisation no "), "id").alias("text"),
+        F.lit(None).cast("string").alias("value"))
+    docs = made.where("value is not null").orderBy("doc_id").limit(3).unionByName(plain)
+    detector = secrets.train(docs)
+    assert detector.forest
+    assert {r.secret_sha256 for r in secrets.scan(docs.where("value is not null"), detector).collect()} == {
+        hashlib.sha256(r.value.encode()).hexdigest() for r in docs.where("value is not null").collect()}
+
+
 def test_forest_scores_as_spark_does(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.linalg import Vectors

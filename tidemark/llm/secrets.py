@@ -8,7 +8,7 @@ letter pairs are, how much of it a dictionary covers, its digits, capitals and v
 whether it belongs to a path, and the words and signs beside it.
 
 Training takes labelled findings: (before, candidate, after, label). ``labelled_findings``
-makes some where nobody has labelled any, from a bounded sample: values of a public key format, and
+makes some where nobody has labelled any, from a bounded sample of the matches in all rows: values of a public key format, and
 values with digits assigned to a name that speaks of credentials, are true; runs without a digit
 and without such a name, and short plain words assigned to one, are false; the rest is left out.
 Each long example counts a second time cut short, so that length alone tells nothing.
@@ -17,24 +17,26 @@ Dictionary and letter pairs come from the false ones. Everything else covers all
 ``scan`` returns a row per finding, ``redact`` the documents with their findings replaced.
 Null and empty text has no findings. Rows are judged one by one, so repeated rows and null ids
 give rows of their own. Without true or false examples there is no forest, and what
-``labelled_findings`` would call true counts. An empty table gives no rows.
+``labelled_findings`` would call true counts; a warning says so. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 SHORTEST = 16
 SHORTEST_NAMED = 6
-SAMPLE_ROWS = 3000  # of each kind of example, the documents whose id hashes lowest
+SAMPLE_ROWS = 3000  # of each kind of example
 SAMPLE_CHARS = 2000
-SEARCHED_ROWS = 60_000
 BESIDE = 40  # characters of context on either side
 TREES, DEPTH = 25, 7
 MASK = "[SECRET]"
@@ -169,33 +171,58 @@ class Detector:
         return out
 
 
+def _bounded(pieces: DataFrame, rows: int) -> DataFrame:
+    """At most SAMPLE_ROWS different pieces of ``pieces`` (draw, piece), which has ``rows`` rows: the
+    lowest of about twice as many drawn, so tasks send the driver few each."""
+    if rows > 2 * SAMPLE_ROWS:
+        pieces = pieces.where(F.pmod("draw", F.lit(rows)) < 2 * SAMPLE_ROWS)
+    return pieces.select("draw", "piece").distinct().orderBy("draw", "piece").limit(SAMPLE_ROWS)
+
+
+def _pieces(docs: DataFrame) -> list[str]:
+    """Pieces of text that hold examples: at most SAMPLE_ROWS around names with a value that has a digit
+    and around key formats, as many around names with other values, and as many from anywhere.
+
+    All texts are searched for the first two, so rare secrets are found in tables of any size.
+    """
+    texts = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("draw"))
+    names = "|".join(NAMES)
+    searched = lambda run, value: F.regexp_instr("text", F.lit(
+        rf"{KEY_FORMAT}|(?i:{names})\W{{1,6}}{run}{_RUN}{{{SHORTEST}}}|"
+        rf"(?i:{_ASSIGNED}[\"']?{value}[^\s\"']{{{SHORTEST_NAMED}}})"))
+    # Exploded, as the search would otherwise be repeated in the filter.
+    spots = texts.select("draw", "text", F.explode(F.array(searched("", ""))).alias("some")).where("some > 0")
+    digits = searched(rf"(?={_RUN}{{0,64}}[0-9])", r"(?=[^\s\"']{0,64}[0-9])")
+    spots = spots.select("draw", "text", "some", F.explode(F.array(digits)).alias("certain"))
+    around = lambda at: F.substring(F.col("text"), F.greatest(F.col(at) - BESIDE, F.lit(1)), F.lit(8 * BESIDE))
+    example = lambda certain, piece: F.struct(F.lit(certain).alias("certain"), piece.alias("piece"))
+    matches = written(spots.select("draw", F.explode(F.array(
+        example(True, F.when(F.col("certain") > 0, around("certain"))),
+        example(False, F.when(F.col("certain") != F.col("some"), around("some"))))).alias("m"))
+        .select("draw", "m.*").where("piece is not null"), "secret-examples")
+    rows = {r[0]: r[1] for r in matches.groupBy("certain").count().collect()}
+    place = F.pmod("draw", F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)).cast("long")).cast("int") + 1
+    anywhere = texts.where("text <> ''").select("draw", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("piece"))
+    samples = [_bounded(matches.where(F.col("certain") == kind), n) for kind, n in sorted(rows.items())]
+    samples.append(_bounded(anywhere, docs.count()))
+    return [row.piece for sample in samples for row in sample.collect()]
+
+
 def labelled_findings(docs: DataFrame) -> list[tuple[str, str, str, bool]]:
-    """(before, candidate, after, label) from at most 2 * SAMPLE_ROWS pieces of SAMPLE_CHARS
-    characters, out of about SEARCHED_ROWS documents drawn by a hash."""
-    draw = F.xxhash64("doc_id", "text")
-    rows = docs.count()
-    if rows > SEARCHED_ROWS:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rows)) < SEARCHED_ROWS)
-    spot = F.regexp_instr("text", F.lit(rf"{KEY_FORMAT}|(?i:{'|'.join(NAMES)})\W{{1,6}}{_RUN}{{{SHORTEST}}}|"
-                                           rf"(?i:{_ASSIGNED}[\"']?[^\s\"']{{{SHORTEST_NAMED}}})"))
-    around = F.when(spot > 0, F.substring(F.col("text"), F.greatest(spot - BESIDE, F.lit(1)), F.lit(8 * BESIDE)))
-    place = F.pmod(draw, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)).cast("long")).cast("int") + 1
-    anywhere = F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS))
+    """(before, candidate, after, label) from at most 3 * SAMPLE_ROWS pieces of text."""
     found = []
-    for piece in (around, anywhere):
-        sample = docs.where("text is not null").select(piece.alias("piece"), draw.alias("draw")).where("piece <> ''")
-        for row in sample.orderBy("draw", "piece").limit(SAMPLE_ROWS).collect():
-            # At the ends of a piece a run may be cut.
-            spans = [(a, b) for a, b in candidates(row.piece) if a > 0 and b < len(row.piece)]
-            for a, b in spans:
-                beside = _beside(row.piece, a, b)
-                label = format_label(*beside[:2])
-                if label is not None:
-                    found.append((*beside, label))
-                    before, value, after = beside
-                    cut = value[:SHORTEST_NAMED + sum(map(ord, value)) % (SHORTEST - SHORTEST_NAMED)]
-                    if len(value) >= SHORTEST and format_label(before, cut) is label:
-                        found.append((before, cut, after, label))
+    for piece in _pieces(docs):
+        # At the ends of a piece a run may be cut.
+        spans = [(a, b) for a, b in candidates(piece) if a > 0 and b < len(piece)]
+        for a, b in spans:
+            beside = _beside(piece, a, b)
+            label = format_label(*beside[:2])
+            if label is not None:
+                found.append((*beside, label))
+                before, value, after = beside
+                cut = value[:SHORTEST_NAMED + sum(map(ord, value)) % (SHORTEST - SHORTEST_NAMED)]
+                if len(value) >= SHORTEST and format_label(before, cut) is label:
+                    found.append((before, cut, after, label))
     return found
 
 
@@ -207,6 +234,7 @@ def train(docs: DataFrame, findings: list[tuple[str, str, str, bool]] | None = N
     found = labelled_findings(docs) if findings is None else findings
     habits = Habits([c for _, c, _, label in found if not label])
     if len({label for *_, label in found}) < 2:
+        warnings.warn("examples of one kind only: the plain rule decides, without a forest", stacklevel=2)
         return Detector(habits, None)
     # Kinds are weighed alike, as false findings are far more frequent.
     share = Counter(label for *_, label in found)
