@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -49,6 +51,68 @@ def test_cutoffs_are_certified_and_catch_bad_text(spark):
     assert judged.where("quality = 0 and kept").count() < 0.2 * judged.where("quality = 0").count()
 
 
+def tail(k, n, p):
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) if k < n * p else 1.0
+
+
+def plain_cutoffs(rows, labels, risk=0.05, doubt=0.05):
+    """The same choice, document by document."""
+    ratio = lambda r, top, bottom: getattr(r, top) / getattr(r, bottom) if getattr(r, bottom) else 0.0
+    strata = {}
+    for r in rows:
+        if r.doc_id in labels and not (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words):
+            half = zlib.crc32(f"half:{r.doc_id}".encode()) % 2
+            values = {name: ratio(r, *c) for name, c in rules.RULES.items()}
+            strata.setdefault(r.lang, ([], []))[half].append((labels[r.doc_id], values))
+    paths = {}
+    for lang, (half, _) in strata.items():
+        good, bad = [[v for g, v in half if g == kind] for kind in (1, 0)]
+        if not good:
+            continue
+        best, path = {}, []
+        for step, level in enumerate(rules.LEVELS):
+            for name in rules.RULES:
+                ordered = sorted(v[name] for v in good)
+                cut = ordered[max(0, math.ceil(level * len(ordered)) - 1)]
+                hit = lambda docs: sum(v[name] > cut for v in docs) / max(len(docs), 1)  # noqa: B023, E731
+                gain = hit(bad) - rules.GOOD_COST * hit(good)
+                if name not in best or gain > best[name][0]:
+                    best[name] = (gain, cut)
+            path.append({name: cut for name, (gain, cut) in best.items() if gain > 0})
+        paths[lang] = path
+    out = set()
+    for lang, path in paths.items():
+        good = [v for g, v in strata[lang][1] if g]
+        chosen = {}
+        for cuts in path:
+            k = sum(any(v[name] > cut for name, cut in cuts.items()) for v in good)
+            if not good or tail(k, len(good), risk) > doubt / len(paths):
+                break
+            chosen = {name: (cut, len(good), k) for name, cut in cuts.items()}
+        out |= {(lang, name, *c) for name, c in chosen.items()}
+    return out
+
+
+def test_cutoffs_are_those_of_a_plain_search(spark):
+    draw = random.Random(5)
+    rows, labels = [], []
+    for i in range(6000):
+        good = i % 4 != 0
+        noise = lambda much: int(draw.expovariate(1 / (much if not good and draw.random() < 0.5 else 2)))  # noqa: B023, E731
+        lang = ["en", "de", "fr", None][i % 7 % 4] if i % 50 else "rare"
+        rows.append((i, lang, 100, 500, noise(40), noise(2), 0, noise(20), noise(60)))
+        labels.append((i, int(good)))
+    data = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, "
+                                 "n_dup_lines long, n_repeat_words long, n_marks long, n_upper long")
+    cutoffs = rules.calibrate(data, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {tuple(r)[:5] for r in cutoffs.collect()}
+    want = plain_cutoffs(data.collect(), dict(labels))
+    assert got == want
+    assert {r[0] for r in got} == {"en", "de", "fr", None}  # and too few labels for the rare one
+    judged = rules.judge(data, cutoffs)
+    assert {r.lang for r in judged.where("not certified").select("lang").distinct().collect()} == {"rare"}
+
+
 def test_few_labels_certify_nothing(spark):
     data = measured(spark, 300, 3)
     labels = data.select("doc_id", F.lit(1).alias("quality"))
