@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import mixing
 
@@ -74,3 +75,11 @@ def test_tidy_text_is_taken_sooner(spark):
     found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.5).collect()
     tidy = sum(r.taken > 0 for r in found if r.doc_id % 2)
     assert tidy > 1.5 * sum(r.taken > 0 for r in found if not r.doc_id % 2)
+
+
+def test_bins_hold_a_small_part_of_any_source(spark):
+    """Also of a source whose texts are full of signs, so that its weights are low."""
+    text = F.when(F.col("id") % 2 == 0, F.lit("plain words")).otherwise(F.lit("#1$22 %&*33 44|55<>"))
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), text.alias("text"), (F.col("id") % 2).cast("string").alias("source"))
+    fullest = mixing.keyed(docs).groupBy("source", "bin").count().groupBy("source").agg(F.max("count")).collect()
+    assert len(fullest) == 2 and all(r[1] < 60 for r in fullest)

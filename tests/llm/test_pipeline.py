@@ -75,6 +75,16 @@ def test_one_row_of_each_group_of_near_copies_stays(spark, sf, odd):
     assert all(kept[r] == n for r, n in wordless.items())
 
 
+def test_stages_keep_columns_whatever_their_names(spark, sf, odd):
+    before = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = written(stage(spark, before, sf), name)
+        assert after.schema.names == odd.columns and after.count() > 0
+        if name != "source_mix":  # which repeats rows
+            assert after.exceptAll(before).count() == 0
+        before = after
+
+
 def test_empty_documents(spark, sf, docs):
     before = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:

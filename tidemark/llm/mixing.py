@@ -6,9 +6,10 @@ document has the key -ln(u) / weight, u being a hash of its id and weight its qu
 rising key, documents are taken until the share is full. The document at the border is
 taken in part, so shares are met to the word.
 
-No source is ever sorted as a whole. Keys fall into ``BINS`` ranges; sums per source and
+No source is ever sorted as a whole. Keys fall into ranges, ``BINS`` to a doubling; sums per source and
 range tell in which range the share ends, and only the documents of that range are sorted.
-A source that holds a third of all rows thus costs no more than any other.
+Whatever its weight, a document falls into any given range with a chance below 0.26 / ``BINS``,
+so a source that holds a third of all rows, or one of low weights, costs no more than any other.
 
 A null text has no words; null sources form a source, ranked last. Rows with the same id and
 text are told apart by nothing and share their key; each counts as a document. A source
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.tables import fresh
 from tidemark.session import written
 
 BINS = 1024
@@ -48,7 +50,7 @@ def keyed(docs: DataFrame, seed: int = 0) -> DataFrame:
     sized = docs.select("doc_id", "source", "text", n_words().alias("size"))
     sized = sized.select("doc_id", "source", "size", F.xxhash64("text").alias("tie"),
                          _key(seed, F.col("size")).alias("key"))
-    place = F.least(F.floor((1.0 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int")
+    place = F.floor(F.log2(F.greatest(F.col("key"), F.lit(2.0**-60))) * BINS).cast("int")
     return sized.withColumn("bin", place)
 
 
@@ -132,16 +134,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = mix(docs, **options)
     half = (F.col("rest") - F.col("before")) * 2 >= F.col("size")
     chosen = (F.col("size") > 0) & F.col("before").isNotNull() & half & (F.col("rest") > 0)
+    epochs, last, source, size, tie, copy = fresh(docs, "epochs", "last", "source", "size", "tie", "copy")
     plan = written(rows.groupBy("source").agg(
-        F.max("epochs").alias("epochs_"), F.max(F.when(chosen, _ranked())).alias("last_"))
-        .withColumnRenamed("source", "source_"), "mix-plan")
+        F.max("epochs").alias(epochs), F.max(F.when(chosen, _ranked())).alias(last))
+        .withColumnRenamed("source", source), "mix-plan")
     small = plan.count() <= BROADCAST_SOURCES
     names = docs.columns
-    sized = docs.withColumns({"size_": n_words(), "tie_": F.xxhash64("text")})
-    own = F.struct(_key(seed, F.col("size_")).alias("key"), F.col("doc_id").alias("doc_id"),
-                   F.col("tie_").alias("tie"))
+    sized = docs.withColumns({size: n_words(), tie: F.xxhash64("text")})
+    own = F.struct(_key(seed, F.col(size)).alias("key"), F.col("doc_id").alias("doc_id"),
+                   F.col(tie).alias("tie"))
     joined = sized.join(F.broadcast(plan) if small else plan,
-                        F.col("source").eqNullSafe(F.col("source_")))
-    extra = F.when(F.coalesce(own <= F.col("last_"), F.lit(False)), 1).otherwise(0)
-    copies = F.when(F.col("size_") > 0, F.col("epochs_") + extra).otherwise(0).cast("int")
-    return joined.select(*names, F.explode(F.array_repeat(F.lit(True), copies)).alias("copy_")).select(*names)
+                        F.col("source").eqNullSafe(F.col(source)))
+    extra = F.when(F.coalesce(own <= F.col(last), F.lit(False)), 1).otherwise(0)
+    copies = F.when(F.col(size) > 0, F.col(epochs) + extra).otherwise(0).cast("int")
+    return joined.select(*names, F.explode(F.array_repeat(F.lit(True), copies)).alias(copy)).select(*names)
