@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import kneser, minhash, mixing, packing, secrets
-from tidemark.llm.tables import table, without
+from tidemark.llm.tables import fresh, table, without
 from tidemark.session import written
 
 
@@ -27,12 +27,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = written(minhash.survivors(docs, words=5), "survivors")
     key = {"row": minhash.row_key()}
     left = without(docs, found.where("not kept").select("row"), key)
-    repeated = found.where("kept and n > 1").select("row")
+    (row,) = fresh(docs, "row")
+    repeated = found.where("kept and n > 1").select(F.col("row").alias(row))
     if repeated.isEmpty():
         return left
-    again = left.join(repeated, minhash.row_key() == F.col("row"), "left_semi")
-    first = again.groupBy(minhash.row_key()).agg(F.min(F.struct(*docs.columns)).alias("first")).select("first.*")
-    return without(left, repeated, key).unionByName(first)
+    again = left.join(repeated, minhash.row_key() == F.col(row), "left_semi")
+    first = again.groupBy(minhash.row_key().alias("of")).agg(F.min(F.struct(*docs.columns)).alias("first"))
+    return without(left, repeated.withColumnRenamed(row, "row"), key).unionByName(first.select("first.*"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
