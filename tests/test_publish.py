@@ -11,6 +11,7 @@ from tidemark.operators import ledger
 from tidemark.operators.compaction import Thresholds
 from tidemark.plans.publish import PublicationRejected, Publisher
 from tidemark.schemas import LEDGER, RAW_COLUMNS
+from tidemark.session import packed_session
 from tidemark.sources.layers import PublishedRunLost, file_layout, landings_scan, run_scan
 from tidemark.sources.streams import file_stream
 from tidemark.streaming.landing import catch_up, land_batch
@@ -262,6 +263,27 @@ def test_several_files_per_date_without_a_shuffle(spark, place):
         == {D1: 3, D2: 1}
 
 
+def test_files_of_unequal_sizes_become_files_of_about_one_target(spark, tmp_path):
+    """Eight files of about 60 kB and forty of a few records: dealt by number, one output would hold most."""
+    root, target = str(tmp_path / "landing"), 150_000
+    noise = F.unhex(F.concat(*[F.sha2(F.concat(F.col("offset").cast("string"), F.lit(f"-{i}")), 512) for i in range(8)]))
+    large, small = kafka_frame(spark, 960).repartition(8), kafka_frame(spark, 80, start=960).repartition(40)
+    for part in (large, small):
+        landed_at(part.withColumn("value", noise), root, at(1))
+    sizes = [r.file_bytes for r in file_layout(spark, root).collect()]
+    assert len(sizes) == 48 and max(sizes) > 8 * min(sizes)
+    job = Publisher(spark, "orders", root, str(tmp_path / "compacted"), str(tmp_path / "ledger"),
+                    limits=Thresholds(target_bytes=target, small_bytes=target))
+    state = states(job.publish([D1]))[D1]
+    written_sizes = [r.file_bytes for r in file_layout(spark, job.compacted).collect()]
+    expected = -(-sum(sizes) // target)
+    assert (state.status, state.operation, state.output_rows) == ("COMPLETED", "DO_COMPACTION", 1040)
+    assert max(written_sizes) <= 1.5 * target and expected // 2 < len(written_sizes) <= 2 * expected
+    assert offsets(job.published()) == list(range(1040))
+    plan = landings_scan(packed_session(spark, target), [root], [D1])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_a_date_with_files_but_no_rows_publishes_nothing(spark, place):
     day = f"{place.root}/ingestion_date_utc=2024-05-03"
     spark.createDataFrame([], spark.read.parquet(place.root).drop("ingestion_date_utc").schema) \

@@ -34,7 +34,7 @@ from tidemark.schemas import (
     RUNNING,
     VALIDATION_METHOD,
 )
-from tidemark.session import append, empty, written
+from tidemark.session import append, empty, packed_session, written
 from tidemark.sources.layers import (
     PublishedRunLost,
     existing,
@@ -195,8 +195,10 @@ class Publisher:
         records = landings_scan(self.spark, self.landings, [a.partition_date for a in filled])
         rewritten = [a for a in filled if self.materialize or self.backfills
                      or a.facts["operation"] == DO_COMPACTION]
-        self.write_runs(records, {a.partition_date: self._file_count(decisions, a)
-                                  for a in rewritten}, run=filled[0].run_id)
+        packed = landings_scan(packed_session(self.spark, self.limits.target_bytes), self.landings,
+                               [a.partition_date for a in filled])
+        self.write_runs(packed, {a.partition_date: self._file_count(decisions, a)
+                                 for a in rewritten}, run=filled[0].run_id)
         self._validate(records, filled, rewritten)
         self._record(filled)
 
@@ -228,14 +230,16 @@ class Publisher:
     def _file_count(self, decisions: dict, attempt: Attempt) -> int | None:
         if attempt.facts["operation"] == NO_NEED:
             return None
-        return decisions[attempt.partition_date].expected_files
+        # Two tasks next to each other read more than one target, so twice the number is never exceeded.
+        expected = decisions[attempt.partition_date].expected_files
+        return expected if expected == 1 else 2 * expected
 
     def write_runs(self, records: DataFrame, files: dict[date, int | None], run: str) -> None:
         """Write each date into at most its number of files; ``None`` keeps the file count.
 
-        A large date keeps its own tasks and is not shuffled: each task reads about one
-        target file's worth of small files and writes one file. Dates that fit one file
-        are small and share one shuffle instead of a plan branch each.
+        A large date keeps its own tasks and is not shuffled: ``records`` come packed by bytes, so each
+        task reads at most one target file's worth of files and writes one file, however unequal they
+        are. Dates that fit one file are small and share one shuffle instead of a plan branch each.
         """
         date_column = F.col(LANDING_DATE)
         single = [d for d, n in files.items() if n == 1]

@@ -63,6 +63,19 @@ def builder(app: str, *settings: dict[str, str]) -> SparkSession.Builder:
     return out
 
 
+def packed_session(spark: SparkSession, bytes_per_task: int) -> SparkSession:
+    """A session like ``spark`` whose scans give each task files of up to ``bytes_per_task``, largest
+    first, whatever their number and however many cores are free. Larger files are split."""
+    out = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            out.conf.set(key, value)
+    out.conf.set("spark.sql.files.maxPartitionBytes", f"{bytes_per_task}b")
+    out.conf.set("spark.sql.files.openCostInBytes", "0b")
+    out.conf.set("spark.sql.files.minPartitionNum", "1")
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
