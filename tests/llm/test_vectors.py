@@ -63,6 +63,44 @@ def test_large_cells_are_compared_in_blocks(spark, monkeypatch):
     assert run(spark, sample()) == expected(sample())
 
 
+def test_labels_are_cut_into_cells_along_every_axis(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    rows = sample() + [(2000 + k, draw.standard_normal(32).tolist(), k % 2) for k in range(300)]
+    for block in (12, 40, 90):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        assert run(spark, rows) == expected(rows)
+
+
+def test_few_pairs_are_enumerated(spark, sf):
+    """Pairs looked at, over all groups, against all pairs of equal labels."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").where("label is not null and embedding is not null")
+    looked = pairs = 0
+    window = vectors.SPREAD * math.sqrt(2 - 2 * 0.98)
+    for _, rows in table.toPandas().groupby("label"):
+        x = np.unique(np.stack(rows.embedding.to_list()).astype("<f8"), axis=0)
+        along = vectors._units([v.tobytes() for v in x]) @ vectors._directions(x.shape[1])
+        pairs += len(x) * (len(x) - 1) // 2
+        for mine in vectors.groups(vectors.allowed_misses()):
+            looked += sum(len(i) for i, _ in vectors.neighbours(along[:, mine], window))
+    assert looked < 0.2 * pairs
+
+
+def test_neighbours_are_all_pairs_within_the_window_once():
+    draw = np.random.default_rng(3)
+    for axes in (1, 2, 4):
+        place = draw.standard_normal((200, axes)).round(1)
+        met = [tuple(sorted(p)) for i, j in vectors.neighbours(place, 0.5) for p in zip(i.tolist(), j.tolist())]
+        near = {(i, j) for j in range(200) for i in range(j) if (np.abs(place[i] - place[j]) <= 0.5).all()}
+        assert len(met) == len(set(met)) and near <= set(met)
+
+
+def test_threshold_of_one(spark):
+    rows = [(i, [1.0, 0.0] if i < 3 else [0.0, 1.0], "x") for i in range(5)]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert sorted((r.vec_id, r.n_links) for r in vectors.near_duplicates(made, 1.0).collect()) == [
+        (0, 2), (1, 2), (2, 2), (3, 1), (4, 1)]
+
+
 def test_the_supplied_table(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding, r.label) for r in table.collect()]

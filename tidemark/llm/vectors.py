@@ -7,10 +7,13 @@ a small, known probability. ``needed`` is the number of collisions, out of ``PRO
 that a pair at the threshold reaches but for a chance of ``LOSS``; nearer pairs reach it
 more surely. Pairs that reach it are verified by their cosine in double precision.
 
-Pairs are found by sorting: a pair that may miss m windows hits at least one of the first
-m + 1 projections. Vectors of one label are cut into cells of a window's width along each of
-those; a cell meets itself and the next one. Large cells are cut into blocks, and blocks
-meet in pairs. A pair is counted in the first projection in which it collides.
+Pairs are found by sorting: a pair that may miss m windows hits all of at least one of m + 1
+groups of projections, so only pairs that collide throughout a group are looked at, and each is
+counted in the first such group. Labels of more than ``BLOCK`` vectors are cut into cells of two
+windows along one axis of the group after the other, as many as the label's size asks for; a vector
+also goes to the cells that its window reaches, and a pair is met in the cell of its larger
+coordinates. Cells that are still large, such as those of near copies, are cut into blocks, and blocks meet
+in pairs. Inside a cell, vectors are sorted along the first axis and gathered by window along the others.
 
 Equal vectors of a label are one class with a weight, so copies are not expanded. Tasks
 return counts per class and a spanning forest of the links they found, never all pairs.
@@ -38,6 +41,9 @@ SPREAD = 2.5
 LOSS = 1e-4
 BLOCK = 2048
 PAIRS = 1 << 21  # compared at once
+SHRINK = 0.55  # of a label's vectors, about the part that one more axis leaves in a cell
+ROOM = 1 + 1e-6  # rounding of projections loses no pair at the edge of a window
+NARROWEST = 1e-4  # window of thresholds next to 1
 
 
 def allowed_misses(projections: int = PROJECTIONS, spread: float = SPREAD, loss: float = LOSS) -> int:
@@ -92,28 +98,98 @@ def _classes(rows: DataFrame) -> DataFrame:
     return known.mapInArrow(read, "vec_id bigint, label string, node bigint, vector binary")
 
 
-def _cells(classes: DataFrame, window: float, axes: int) -> DataFrame:
-    """(label, size, axis, cell, node, weight, vector) of every class and axis."""
+def groups(misses: int) -> list[list[int]]:
+    """Projections by group; those that are left over only count."""
+    size = PROJECTIONS // (misses + 1)
+    return [list(range(g * size, (g + 1) * size)) for g in range(misses + 1)]
+
+
+def _cells(classes: DataFrame, window: float, of: list[list[int]]) -> DataFrame:
+    """(label, size, part, c0, c1 ..., home, node, weight, vector) of every class, group of projections and cell.
+
+    ``home`` has a bit for each axis along which the vector lies in the cell itself, not before it.
+    Axes that are not needed have one cell.
+    """
+    width = len(of[0])
+    names = [f"c{k}" for k in range(width)]
+    sizes = classes.groupBy("label").agg(F.count("*").alias("many"))
+    axes = F.ceil(F.log(F.col("many") / BLOCK) / -math.log(SHRINK))
+    axes = F.greatest(F.lit(0), F.least(F.lit(width), axes)).cast("int")
+    sized = classes.join(sizes.select("label", axes.alias("axes")), "label")
 
     def placed(batches):
+        from itertools import product
+
         import pyarrow as pa
 
         for batch in batches:
-            raw = batch.column("vector").to_pylist()
+            raw, axes = batch.column("vector").to_pylist(), batch.column("axes").to_numpy()
             lengths = np.array([len(v) for v in raw])
-            for n in np.unique(lengths).tolist():
-                at = np.flatnonzero(lengths == n)
+            for n, used in sorted(set(zip(lengths.tolist(), axes.tolist()))):
+                at = np.flatnonzero((lengths == n) & (axes == used))
                 along = _units([raw[i] for i in at]) @ _directions(n // 8)
-                taken = batch.take(pa.array(np.tile(at, axes)))
-                cell = np.floor(along[:, :axes] / window).astype(np.int32).T.ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [*(taken.column(c) for c in ("label", "node", "weight", "vector")),
-                     pa.array(np.full(len(cell), n // 8, np.int32)),
-                     pa.array(np.repeat(np.arange(axes, dtype=np.int32), len(at))), pa.array(cell)],
-                    names=["label", "node", "weight", "vector", "size", "axis", "cell"])
-
-    return classes.select("label", "node", "weight", "vector").mapInArrow(
-        placed, "label string, node bigint, weight bigint, vector binary, size int, axis int, cell int")
+                for part, mine in enumerate(of):
+                    place = along[:, mine[:used]]
+                    low = np.floor(place / (2 * window)).astype(np.int32)
+                    reaches = np.floor((place + window * ROOM) / (2 * window)) > low
+                    for ahead in product((0, 1), repeat=used):
+                        there = np.flatnonzero((reaches | ~np.array(ahead, bool)).all(axis=1))
+                        cell = np.zeros((len(there), width), np.int32)
+                        cell[:, :used] = low[there] + np.array(ahead, np.int32)
+                        home = (1 << width) - 1 - sum(1 << k for k, x in enumerate(ahead) if x)
+                        taken = batch.take(pa.array(at[there]))
+                        same = lambda x, m=len(there): pa.array(np.full(m, x, np.int32))
+                        yield pa.RecordBatch.from_arrays(
+                            [*(taken.column(c) for c in ("label", "node", "weight", "vector")), same(n // 8),
+                             same(part), same(home), *(pa.array(cell[:, k].copy()) for k in range(width))],
+                            names=["label", "node", "weight", "vector", "size", "part", "home", *names])
+
+    return sized.select("label", "node", "weight", "vector", "axes").mapInArrow(
+        placed, "label string, node bigint, weight bigint, vector binary, size int, part int, home int, "
+        + ", ".join(f"{c} int" for c in names))
+
+
+def neighbours(place: np.ndarray, window: float):
+    """Pairs (i, j) of rows of ``place``, each pair once: at most a window apart on the first axis, and in the
+    same cell of a window's width or in neighbouring ones on each other axis. In parts of about ``PAIRS``."""
+    from itertools import product
+
+    reach = window * ROOM
+    cell = np.floor(place[:, 1:] / reach).astype(np.int64)
+    cell -= cell.min(axis=0) - 1
+    sides = cell.max(axis=0) + 2  # a step beyond a side meets no cell
+    strides = np.append(np.cumprod(sides[::-1])[::-1][1:], 1) if len(sides) else sides
+    code = cell @ strides
+    known, rank = np.unique(code, return_inverse=True)
+    x = place[:, 0] - place[:, 0].min()
+    span = x.max() + 3 * reach
+    order = np.lexsort((x, rank))
+    key, code, rank, x = (rank * span + x)[order], code[order], rank[order], x[order]
+    own = np.arange(len(key))
+    first, size = [], []
+    for step in product((-1, 0, 1), repeat=place.shape[1] - 1):
+        if not any(step):
+            first.append(own + 1)
+            size.append(np.searchsorted(key, key + reach, "right") - own - 1)
+        elif step > (0,) * len(step):
+            wanted = code + np.array(step) @ strides
+            there = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            middle = there * span + x
+            low = np.searchsorted(key, middle - reach, "left")
+            first.append(low)
+            size.append(np.where(known[there] == wanted, np.searchsorted(key, middle + reach, "right") - low, 0))
+    first, size = np.concatenate(first), np.concatenate(size)
+    some = np.flatnonzero(size)
+    first, size, row = first[some], size[some], some % len(key)
+    done = np.concatenate([[0], np.cumsum(size)])
+    start = 0
+    while start < len(size):
+        stop = max(start + 1, int(np.searchsorted(done, done[start] + PAIRS, "right")) - 1)
+        part = size[start:stop]
+        i = np.repeat(row[start:stop], part)
+        j = np.repeat(first[start:stop] - done[start:stop] + done[start], part) + np.arange(len(i))
+        start = stop
+        yield order[i], order[j]
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -130,72 +206,55 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _compared(cells: DataFrame, threshold: float, window: float, misses: int) -> DataFrame:
     """(a, b, links): counts of a class (b null) and links between classes (links null)."""
-    place = ["label", "size", "axis", "cell"]
-    counted = cells.groupBy(*place).agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    here = counted.select(*place, blocks.alias("here"))
-    beside = counted.select("label", "size", "axis", (F.col("cell") - 1).alias("cell"), blocks.alias("beside"))
-    before = counted.select("label", "size", "axis", (F.col("cell") + 1).alias("cell"), blocks.alias("before"))
-    rows = cells.join(here.join(beside, place, "left").join(before, place, "left"), place)
-    own = F.pmod(F.xxhash64("node"), F.col("here").cast("long")).cast("int")
-    count = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    meet = lambda x, first, second, guest: F.struct(
-        x.alias("cell"), first.alias("first"), second.alias("second"), F.lit(guest).alias("guest"))
-    cell = F.col("cell")
-    # Blocks of a cell meet each other (first <= second), and each block of the next cell (numbered from
-    # ``here`` of the lower cell on).
-    same = F.transform(count("here"), lambda y: F.when(
-        y <= F.col("own"), meet(cell, y, F.col("own"), 1)).otherwise(meet(cell, F.col("own"), y, 0)))
-    as_low = F.when(F.col("beside").isNotNull(), F.transform(
-        count("beside"), lambda y: meet(cell, F.col("own"), F.col("here") + y, 0)))
-    as_high = F.when(F.col("before").isNotNull(), F.transform(
-        count("before"), lambda y: meet(cell - 1, y, F.col("before") + F.col("own"), 1)))
-    nothing = F.array().cast("array<struct<cell:int,first:int,second:int,guest:int>>")
-    tasks = F.concat(*[F.coalesce(x.cast("array<struct<cell:int,first:int,second:int,guest:int>>"), nothing)
-                       for x in (same, as_low, as_high)])
-    rows = rows.withColumn("own", own).withColumn("t", F.explode(tasks)).select(
-        F.xxhash64("label", "size").alias("label"), "size", "axis", "t.cell", "t.first", "t.second", "t.guest",
-        "node", "weight", "vector")
-    keys = ["label", "size", "axis", "cell", "first", "second"]
+    of = groups(misses)
+    width = len(of[0])
+    place = ["label", "size", "part", *(f"c{k}" for k in range(width))]
+    large = cells.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    rows = cells.join(large.select(*place, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), place, "left")
+    blocks = F.coalesce("blocks", F.lit(1))
+    own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
+    # Blocks of a cell meet each other (first <= second).
+    meet = F.transform(F.sequence(F.lit(0), blocks - 1), lambda y: F.struct(
+        F.least(y, "own").alias("first"), F.greatest(y, "own").alias("second"),
+        (y <= F.col("own")).cast("int").alias("guest")))
+    rows = rows.withColumn("own", own).withColumn("t", F.explode(meet)).select(
+        F.xxhash64("label", "size").alias("label"), *place[1:], "t.first", "t.second", "t.guest",
+        "home", "node", "weight", "vector")
+    keys = [*place, "first", "second"]
 
     def linked(batches):
         import pyarrow as pa
 
         for group in sorted_groups(batches, keys):
-            axis, first, second = (group.column(c)[0].as_py() for c in ("axis", "first", "second"))
-            node, weight, guest = (group.column(c).to_numpy() for c in ("node", "weight", "guest"))
+            mine, first, second = (group.column(c)[0].as_py() for c in ("part", "first", "second"))
+            node, weight, guest, home = (group.column(c).to_numpy() for c in ("node", "weight", "guest", "home"))
             unit = _units(group.column("vector").to_pylist())
             along = unit @ _directions(unit.shape[1])
-            order = np.argsort(along[:, axis], kind="stable")
-            node, weight, guest, unit, along = (x[order] for x in (node, weight, guest, unit, along))
-            upto = np.searchsorted(along[:, axis], along[:, axis] + window, "right")
             found = []
-            size = upto - np.arange(len(node)) - 1
-            done = np.concatenate([[0], np.cumsum(size)])
-            start = 0
-            while start < len(node):
-                stop = max(start + 1, int(np.searchsorted(done, done[start] + PAIRS, "right")) - 1)
-                part = size[start:stop]
-                i = np.repeat(np.arange(start, stop), part)
-                j = i + 1 + np.arange(len(i)) - np.repeat(done[start:stop] - done[start], part)
-                start = stop
+            for i, j in neighbours(along[:, of[mine]], window):
+                keep = (home[i] | home[j]) == (1 << width) - 1
                 if first != second:
-                    keep = guest[i] != guest[j]
+                    keep &= guest[i] != guest[j]
+                i, j = i[keep], j[keep]
+                for k in of[mine]:
+                    keep = np.abs(along[i, k] - along[j, k]) <= window
                     i, j = i[keep], j[keep]
                 missed = np.zeros(len(i), np.int8)
-                for k in range(PROJECTIONS):
-                    if k == axis:
+                rest = [[k] for k in range(len(of) * width, PROJECTIONS)]
+                for g, axes in enumerate(of + rest):
+                    if g == mine:
                         continue
-                    hit = np.abs(along[i, k] - along[j, k]) <= window
-                    missed += ~hit
-                    keep = ~hit if k < axis else missed <= misses
-                    if not keep.all():
-                        i, j, missed = i[keep], j[keep], missed[keep]
+                    out = sum((np.abs(along[i, k] - along[j, k]) > window).astype(np.int8) for k in axes)
+                    missed += out
+                    keep = missed <= misses
+                    if g < mine:
+                        keep &= out > 0
+                    i, j, missed = i[keep], j[keep], missed[keep]
                 sound = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
                 found.append((i[sound], j[sound]))
-            i, j = (np.concatenate(x) for x in zip(*found))
-            if not len(i):
+            if not any(len(i) for i, _ in found):
                 continue
+            i, j = (np.concatenate(x) for x in zip(*found))
             links = np.bincount(i, weight[j], len(node)) + np.bincount(j, weight[i], len(node))
             low = _forest(i, j, len(node))
             has = np.flatnonzero(links)
@@ -213,11 +272,11 @@ def _compared(cells: DataFrame, threshold: float, window: float, misses: int) ->
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label)."""
     misses = allowed_misses()
-    window = SPREAD * math.sqrt(2 - 2 * threshold)
+    window = max(NARROWEST, SPREAD * math.sqrt(2 - 2 * threshold))
     rows = written(_classes(vectors), "vectors")
     classes = written(rows.where("node is not null").groupBy("node", "label").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.any_value("vector").alias("vector")), "classes")
-    found = written(_compared(_cells(classes, window, misses + 1), threshold, window, misses), "found")
+    found = written(_compared(_cells(classes, window, groups(misses)), threshold, window, misses), "found")
     places = components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     placed = written(
