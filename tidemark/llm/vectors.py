@@ -31,6 +31,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.graph import components
 from tidemark.llm.groups import sorted_groups
@@ -43,6 +44,7 @@ BLOCK = 2048
 PAIRS = 1 << 21  # compared at once
 SHRINK = 0.55  # of a label's vectors, about the part that one more axis leaves in a cell
 ROOM = 1 + 1e-6  # rounding of projections loses no pair at the edge of a window
+BROADCAST_ROWS = 100_000
 NARROWEST = 1e-4  # window of thresholds next to 1
 
 
@@ -60,15 +62,21 @@ def _directions(size: int) -> np.ndarray:
     return np.random.default_rng(size).standard_normal((size, PROJECTIONS))
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def _units(raw: list[bytes], kind: str = "<f8") -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype("<f8")
     # Scaled first, so that squares neither vanish nor overflow.
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """vec_id, label, size, node of every row; node is null where the vector cannot link."""
+def _kind(vectors: DataFrame) -> str:
+    """How components travel: as they come, in four bytes or in eight."""
+    kind = vectors.schema["embedding"].dataType
+    return "<f4" if isinstance(getattr(kind, "elementType", None), T.FloatType) else "<f8"
+
+
+def _classes(rows: DataFrame, kind: str) -> DataFrame:
+    """vec_id, label, node, vector of every row; node is null where the vector cannot link."""
 
     def read(batches):
         import hashlib
@@ -83,7 +91,7 @@ def _classes(rows: DataFrame) -> DataFrame:
                 if label is not None and vector and None not in vector:
                     x = np.array(vector, "<f8") + 0.0
                     if np.isfinite(x).all() and x.any():
-                        raw = x.tobytes()
+                        raw = x.astype(kind).tobytes()
                         whole = hashlib.sha256(str(label).encode()).digest()
                         name = hashlib.blake2b(raw, digest_size=8, key=whole)
                         node = int.from_bytes(name.digest(), "little", signed=True)
@@ -104,7 +112,13 @@ def groups(misses: int) -> list[list[int]]:
     return [list(range(g * size, (g + 1) * size)) for g in range(misses + 1)]
 
 
-def _cells(classes: DataFrame, window: float, of: list[list[int]]) -> DataFrame:
+def _beside(rows: DataFrame, few: DataFrame, on: list[str], label: str) -> DataFrame:
+    """``rows`` with what ``few``, rows of numbers, says of some of their keys; broadcast up to a counted length."""
+    few = written(few, label)
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, "left")
+
+
+def _cells(classes: DataFrame, window: float, of: list[list[int]], kind: str) -> DataFrame:
     """(label, size, part, c0, c1 ..., home, node, weight, vector) of every class, group of projections and cell.
 
     ``home`` has a bit for each axis along which the vector lies in the cell itself, not before it.
@@ -112,10 +126,11 @@ def _cells(classes: DataFrame, window: float, of: list[list[int]]) -> DataFrame:
     """
     width = len(of[0])
     names = [f"c{k}" for k in range(width)]
-    sizes = classes.groupBy("label").agg(F.count("*").alias("many"))
+    classes = classes.withColumn("label", F.xxhash64("label"))
+    large = classes.groupBy("label").agg(F.count("*").alias("many")).where(F.col("many") > BLOCK)
     axes = F.ceil(F.log(F.col("many") / BLOCK) / -math.log(SHRINK))
-    axes = F.greatest(F.lit(0), F.least(F.lit(width), axes)).cast("int")
-    sized = classes.join(sizes.select("label", axes.alias("axes")), "label")
+    axes = F.least(F.lit(width), axes).cast("int")
+    sized = _beside(classes, large.select("label", axes.alias("axes")), ["label"], "large-labels")
 
     def placed(batches):
         from itertools import product
@@ -127,7 +142,8 @@ def _cells(classes: DataFrame, window: float, of: list[list[int]]) -> DataFrame:
             lengths = np.array([len(v) for v in raw])
             for n, used in sorted(set(zip(lengths.tolist(), axes.tolist()))):
                 at = np.flatnonzero((lengths == n) & (axes == used))
-                along = _units([raw[i] for i in at]) @ _directions(n // 8)
+                along = _units([raw[i] for i in at], kind)
+                along = along @ _directions(along.shape[1])
                 for part, mine in enumerate(of):
                     place = along[:, mine[:used]]
                     low = np.floor(place / (2 * window)).astype(np.int32)
@@ -140,12 +156,12 @@ def _cells(classes: DataFrame, window: float, of: list[list[int]]) -> DataFrame:
                         taken = batch.take(pa.array(at[there]))
                         same = lambda x, m=len(there): pa.array(np.full(m, x, np.int32))
                         yield pa.RecordBatch.from_arrays(
-                            [*(taken.column(c) for c in ("label", "node", "weight", "vector")), same(n // 8),
+                            [*(taken.column(c) for c in ("label", "node", "weight", "vector")), same(n),
                              same(part), same(home), *(pa.array(cell[:, k].copy()) for k in range(width))],
                             names=["label", "node", "weight", "vector", "size", "part", "home", *names])
 
-    return sized.select("label", "node", "weight", "vector", "axes").mapInArrow(
-        placed, "label string, node bigint, weight bigint, vector binary, size int, part int, home int, "
+    return sized.select("label", "node", "weight", "vector", F.coalesce("axes", F.lit(0)).alias("axes")).mapInArrow(
+        placed, "label bigint, node bigint, weight bigint, vector binary, size int, part int, home int, "
         + ", ".join(f"{c} int" for c in names))
 
 
@@ -204,13 +220,14 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return low
 
 
-def _compared(cells: DataFrame, threshold: float, window: float, misses: int) -> DataFrame:
+def _compared(cells: DataFrame, threshold: float, window: float, misses: int, kind: str) -> DataFrame:
     """(a, b, links): counts of a class (b null) and links between classes (links null)."""
     of = groups(misses)
     width = len(of[0])
     place = ["label", "size", "part", *(f"c{k}" for k in range(width))]
     large = cells.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    rows = cells.join(large.select(*place, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), place, "left")
+    large = large.select(*place, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = _beside(cells, large, place, "large-cells")
     blocks = F.coalesce("blocks", F.lit(1))
     own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
     # Blocks of a cell meet each other (first <= second).
@@ -218,7 +235,7 @@ def _compared(cells: DataFrame, threshold: float, window: float, misses: int) ->
         F.least(y, "own").alias("first"), F.greatest(y, "own").alias("second"),
         (y <= F.col("own")).cast("int").alias("guest")))
     rows = rows.withColumn("own", own).withColumn("t", F.explode(meet)).select(
-        F.xxhash64("label", "size").alias("label"), *place[1:], "t.first", "t.second", "t.guest",
+        *place, "t.first", "t.second", "t.guest",
         "home", "node", "weight", "vector")
     keys = [*place, "first", "second"]
 
@@ -228,7 +245,7 @@ def _compared(cells: DataFrame, threshold: float, window: float, misses: int) ->
         for group in sorted_groups(batches, keys):
             mine, first, second = (group.column(c)[0].as_py() for c in ("part", "first", "second"))
             node, weight, guest, home = (group.column(c).to_numpy() for c in ("node", "weight", "guest", "home"))
-            unit = _units(group.column("vector").to_pylist())
+            unit = _units(group.column("vector").to_pylist(), kind)
             along = unit @ _directions(unit.shape[1])
             found = []
             for i, j in neighbours(along[:, of[mine]], window):
@@ -273,10 +290,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label)."""
     misses = allowed_misses()
     window = max(NARROWEST, SPREAD * math.sqrt(2 - 2 * threshold))
-    rows = written(_classes(vectors), "vectors")
+    kind = _kind(vectors)
+    rows = written(_classes(vectors, kind), "vectors")
     classes = written(rows.where("node is not null").groupBy("node", "label").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.any_value("vector").alias("vector")), "classes")
-    found = written(_compared(_cells(classes, window, groups(misses)), threshold, window, misses), "found")
+    found = written(_compared(_cells(classes, window, groups(misses), kind), threshold, window, misses, kind), "found")
     places = components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     placed = written(
