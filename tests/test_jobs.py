@@ -1,3 +1,7 @@
+import os
+from datetime import date
+from pathlib import Path
+
 import pytest
 from helpers import at, change, image, landed_at
 
@@ -26,6 +30,37 @@ def test_publish_preview_consolidate(spark, options, tmp_path):
     assert [(r.id_order, r.status_order) for r in kept] == [("1", "SHIPPED")]
 
 
+def test_the_whole_job_from_the_command_line(spark, options, tmp_path, capsys):
+    jobs.main(["publish", *options])
+    jobs.main(["preview", *options])
+    shown = capsys.readouterr().out
+    assert "status_order" in shown and "SHIPPED" in shown
+    root = ["--root", str(tmp_path / "out"), "--buckets", "2"]
+    jobs.main(["consolidate", *options, *root])
+    jobs.main(["consolidate", *options, *root])
+    base = [*options[:-2], *root]
+    for more in (["--compact"], ["--rebuild", "--sweep"]):
+        jobs.main(["maintain", *base, *more])
+        assert "check" in capsys.readouterr().out
+    assert jobs.maintain(spark, jobs.arguments(["maintain", *base])).collect() == []
+
+
+def test_maintain_shows_what_is_wrong(spark, options, tmp_path):
+    jobs.publish(spark, jobs.arguments(["publish", *options]))
+    base = [*options[:-2], "--root", str(tmp_path / "out"), "--buckets", "2"]
+    args = jobs.arguments(["maintain", *base])
+    job = jobs._consolidation(spark, args)
+    job.reprocess([date(2024, 5, 1)])  # and never folded
+    left = str(tmp_path / "compacted" / "ingestion_date_utc=2024-05-01" / "run_id=LEFT")
+    spark.range(1).write.parquet(left)
+    for file in Path(left).glob("*.parquet"):
+        os.utime(file, (0, 0))
+    assert [tuple(r) for r in jobs.maintain(spark, args).orderBy("check").collect()] == [
+        ("current", "missing", 1), ("runs_left", "LEFT", 1)]
+    jobs.maintain(spark, jobs.arguments(["maintain", *base, "--rebuild", "--sweep"]))
+    assert jobs.maintain(spark, args).collect() == [] and not Path(left).exists()
+
+
 def test_preview_of_an_unpublished_date_is_empty(spark, options):
     assert jobs.preview(spark, jobs.arguments(["preview", *options])).count() == 0
 

@@ -1,5 +1,6 @@
 from helpers import event, event_frame, raw_frame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import quality
 from tidemark.schemas import ORDERS, PAYMENTS
@@ -31,6 +32,15 @@ def test_referential_audit_ignores_null_references(spark):
     assert [tuple(r) for r in out.collect()] == [("2", "x")]
 
 
+def test_type_audit(spark):
+    held = spark.createDataFrame([("1", 2, None), ("2", None, "x")], "a string, b int, `odd.name` string")
+    stated = T.StructType.fromDDL("a string, b bigint, c date")
+    assert sorted(map(tuple, quality.type_audit(held, stated).collect())) == [
+        ("a", "string", "string", "ok", 2), ("b", "bigint", "int", "retyped", 1),
+        ("c", "date", None, "missing", 0), ("odd.name", None, "string", "unexpected", 1)]
+    assert {r.held_values for r in quality.type_audit(held.limit(0), stated).collect()} == {0}
+
+
 def test_reconcile_names_every_difference(spark):
     left = raw_frame(spark, ["a", "b", "c", "d"]).unionByName(raw_frame(spark, ["a"]))
     right = raw_frame(spark, ["a", "b", "c"]).where("offset > 0").unionByName(

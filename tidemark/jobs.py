@@ -3,7 +3,8 @@
     jobs.py land        --topic T --servers H:P --path P --checkpoint C [--available-now]
     jobs.py publish     --dataset D --landing L --compacted C --ledger G [--date YYYY-MM-DD ...]
     jobs.py consolidate --dataset D --landing L --compacted C --ledger G --root R [--date ...]
-    jobs.py preview     (as consolidate) shows the newest state within the published dates
+    jobs.py preview     (as publish) shows the newest state within the published dates
+    jobs.py maintain    (as consolidate, without dates) [--rebuild | --compact] [--sweep]; shows what each audit found
 
 Without --date a job takes the day before today in UTC. Most values can come from the
 environment instead.
@@ -14,12 +15,16 @@ from __future__ import annotations
 import argparse
 import os
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import business_date
 from tidemark.operators import current as state
+from tidemark.operators import quality
 from tidemark.operators.events import events
+from tidemark.plans import sweep
 from tidemark.plans.consolidate import Consolidation
 from tidemark.plans.publish import Publisher
 from tidemark.schemas import ENTITIES
@@ -63,7 +68,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     land.add_argument("--max-offsets-per-trigger", type=int)
     land.add_argument("--starting-offsets", default="earliest")
 
-    for job in ("publish", "consolidate", "preview"):
+    for job in ("publish", "consolidate", "preview", "maintain"):
         sub = jobs.add_parser(job)
         for name in ("dataset", "landing", "compacted", "ledger"):
             _option(sub, name, required=True)
@@ -73,7 +78,12 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
             sub.add_argument("--materialize", action="store_true")
             sub.add_argument("--payload", action="store_true")
             sub.add_argument("--republish-grown", action="store_true")
-        if job == "consolidate":
+        if job == "maintain":
+            sub.add_argument("--sweep", action="store_true", help="remove runs that no state ever published")
+            base = sub.add_mutually_exclusive_group()
+            base.add_argument("--rebuild", action="store_true", help="write the current state anew from history")
+            base.add_argument("--compact", action="store_true", help="merge the current state's parts into one")
+        if job in ("consolidate", "maintain"):
             sub.add_argument("--root", required=True)
             sub.add_argument("--buckets", type=int, default=200)
         sub.add_argument("--backfill", nargs="*", default=[])
@@ -107,10 +117,13 @@ def publish(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return _publisher(spark, args).publish(_dates(args))
 
 
+def _consolidation(spark: SparkSession, args: argparse.Namespace) -> Consolidation:
+    return Consolidation(spark, ENTITIES[args.dataset], _publisher(spark, args), args.root, args.buckets)
+
+
 def consolidate(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """Write history of the dates and fold them into current state."""
-    job = Consolidation(spark, ENTITIES[args.dataset], _publisher(spark, args), args.root,
-                        args.buckets)
+    job = _consolidation(spark, args)
     job.reprocess(_dates(args))
     job.apply(_dates(args))
     return job.current()
@@ -123,6 +136,33 @@ def preview(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return state.latest(events(published, entity), entity)
 
 
+def maintain(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Rebuild or compact the current state, remove what crashed publications left, then audit: one row per check
+    (``runs_left``, ``columns``, ``values``, ``current``), what it found and how often."""
+    job = _consolidation(spark, args)
+    if args.rebuild:
+        job.rebuild()
+    elif args.compact:
+        job.compact()
+    left = sweep.orphan_runs(job.publisher)
+    if args.sweep:
+        sweep.remove(job.publisher, left.collect())
+        left = sweep.orphan_runs(job.publisher)
+
+    def counted(check: str, found: DataFrame, what: str) -> DataFrame:
+        return found.groupBy(F.col(what).alias("found")).agg(F.count("*").alias("times")).select(
+            F.lit(check).alias("check"), "found", "times")
+
+    broken = job.domain_audit().where("violations > 0")
+    checks = [
+        counted("runs_left", left, "run_id"),
+        counted("columns", job.type_audit().where("verdict <> 'ok'"), "verdict"),
+        broken.select(F.lit("values").alias("check"), F.col("rule").alias("found"), F.col("violations").alias("times")),
+        counted("current", quality.current_audit(job.current(), job.history(), job.entity), "verdict"),
+    ]
+    return reduce(DataFrame.unionByName, checks)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = arguments(argv)
     store = [object_store(args.store, os.environ["STORE_ACCESS_KEY"], os.environ["STORE_SECRET_KEY"],
@@ -131,9 +171,11 @@ def main(argv: list[str] | None = None) -> None:
     if args.job == "land":
         land(spark, args)
         return
-    result = {"publish": publish, "consolidate": consolidate, "preview": preview}[args.job](spark, args)
+    result = {"publish": publish, "consolidate": consolidate, "preview": preview,
+              "maintain": maintain}[args.job](spark, args)
     if args.job == "preview":
         result.printSchema()
+    if args.job in ("preview", "maintain"):
         result.show(PREVIEW_ROWS, truncate=False)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.current import ORDERING, latest
 from tidemark.schemas import IDENTITY, OPERATIONS, Entity
@@ -33,6 +34,30 @@ def domain_audit(events: DataFrame, entity: Entity) -> DataFrame:
     return counts.select(F.inline(listed))
 
 
+def type_audit(held: DataFrame, stated: T.StructType) -> DataFrame:
+    """Columns of a table, read by its own schema, against those stated for it: ``ok``, ``retyped``, ``missing``
+    or ``unexpected``, with the number of values each holds. One pass over the table; names compare by case."""
+    found = {f.name: f.dataType.simpleString() for f in held.schema}
+    due = {f.name: f.dataType.simpleString() for f in stated}
+    counts = held.agg(*[F.count(F.col(f"`{name}`")).alias(f"n{k}") for k, name in enumerate(found)])
+    at = {name: F.col(f"n{k}") for k, name in enumerate(found)}
+
+    def verdict(name: str) -> str:
+        if name not in found:
+            return "missing"
+        if name not in due:
+            return "unexpected"
+        return "ok" if found[name] == due[name] else "retyped"
+
+    listed = F.array(*[
+        F.struct(F.lit(name).alias("column_name"), F.lit(due.get(name)).cast("string").alias("stated"),
+                 F.lit(found.get(name)).cast("string").alias("found"), F.lit(verdict(name)).alias("verdict"),
+                 at.get(name, F.lit(0)).cast("long").alias("held_values"))
+        for name in dict.fromkeys([*due, *found])
+    ])
+    return counts.select(F.inline(listed))
+
+
 def referential_audit(child: DataFrame, ref: str, parent: DataFrame, key: str,
                       child_key: Sequence[str]) -> DataFrame:
     """Child rows whose ``ref`` names no parent row. A null ``ref`` names nothing and is not

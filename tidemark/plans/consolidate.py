@@ -219,6 +219,17 @@ class Consolidation:
 
     # -- current state --------------------------------------------------------------------
 
+    def type_audit(self) -> DataFrame:
+        """``quality.type_audit`` of the stored files of the runs in force, which are read by their own schemas, not by
+        the one stated here; files of one column in types that do not go together are an error of the read."""
+        runs = self._runs()
+        paths = [] if runs is None else [run_path(self.history_path, r[LANDING_DATE], r.run)
+                                         for r in runs.where("events > 0").orderBy(LANDING_DATE).collect()]
+        if not paths:
+            return quality.type_audit(empty(self.spark, self.entity.event_schema), self.entity.event_schema)
+        held = self.spark.read.option("mergeSchema", "true").option("basePath", self.history_path).parquet(*paths)
+        return quality.type_audit(held.drop(LANDING_DATE, "run_id"), self.entity.event_schema)
+
     def _versions(self) -> tuple[Row | None, list[Row]]:
         """The base in force and the deltas that neither it nor a larger delta includes."""
         listed = self._list("current-versions", _VERSIONS)

@@ -180,6 +180,20 @@ def _domain_audit(with_customers: bool) -> str:
     return f"WITH counted AS (SELECT {counts} FROM {mixed}) {listed}"
 
 
+def _table_types() -> str:
+    types = {f.name: f.dataType.simpleString() for f in ORDERS.event_schema}
+    rows = [("history", c, f"'{t}'", f"'{t}'", "ok", f'count("{c}")') for c, t in types.items()]
+    rows += [("copy", c, f"'{t}'", f"'{t}'", "ok", f'count("{c}")') for c, t in types.items()
+             if c not in ("amount", "updated_at")]
+    rows += [("copy", "amount", f"'{types['amount']}'", "'string'", "retyped", "count(amount)"),
+             ("copy", "updated_at", f"'{types['updated_at']}'", "CAST(NULL AS VARCHAR)", "missing", "0 * count(*)"),
+             ("copy", "note", "CAST(NULL AS VARCHAR)", "'string'", "unexpected", "count(*)")]
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, {stated} AS stated, {found} AS found, "
+        f"'{verdict}' AS verdict, {n} AS held_values FROM {events(ORDERS)}"
+        for t, c, stated, found, verdict, n in rows)
+
+
 def _referential_audit() -> str:
     o, p, r = (f"(SELECT * FROM {current(e)} WHERE cdc_operation <> 'd')"
                for e in (ORDERS, PAYMENTS, REFUNDS))
@@ -401,6 +415,7 @@ FROM {records(PAYMENTS)} GROUP BY 2""",
     "history_profile": f"SELECT topic, cdc_operation, count(*) AS events FROM {events(ORDERS)} GROUP BY 1, 2",
     "history_estimates": f"""SELECT DISTINCT topic, true AS keys_near, true AS median_near, true AS p99_near
 FROM {events(ORDERS)}""",
+    "table_types": _table_types(),
     "referential_audit": _referential_audit(),
     "referential_audit_bucketed": f"""SELECT id_payment, id_order FROM {current(PAYMENTS)} x
 WHERE cdc_operation <> 'd' AND NOT EXISTS (

@@ -823,6 +823,20 @@ def domain_audit(spark, sf_dir):
     return quality.domain_audit(mixed, ORDERS)
 
 
+@query
+def table_types(spark, sf_dir):
+    """Types of a stored history, and of a copy with an amount as text, a column lost and one more."""
+    job, days = _consolidation(spark, sf_dir)
+    job.reprocess(days)
+    path = scratch(spark, "retyped")
+    history = job.history().select(*ORDERS.event_columns)
+    history.withColumn("amount", F.col("amount").cast("string")).withColumn("note", F.lit("x")).drop(
+        "updated_at").write.parquet(path)
+    copy = quality.type_audit(spark.read.parquet(path), ORDERS.event_schema)
+    return job.type_audit().select(F.lit("history").alias("table_name"), "*").unionByName(
+        copy.select(F.lit("copy").alias("table_name"), "*"))
+
+
 @query
 def referential_audit(spark, sf_dir):
     """Payments of deleted orders, and refunds of deleted payments."""
