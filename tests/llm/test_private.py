@@ -150,5 +150,17 @@ def test_query_digest_and_rows(spark, docs, odd):
     assert sorted((r.doc_id or -1, r.base_sha256) for r in out) == due
 
 
+def test_query_counts_spans_by_kind(spark):
+    card_number = "4111111111111111"
+    texts = [None, "", "none", "a@b.c", "1.2.3.4 5.6.7.8", f"{card_number}; {card_number}", "+44 20 7946 0958", f"{card_number}, a@b.c",
+             f"1.2.3.4, a@b.c, +44 20 7946 0958, d@e.f, {card_number}"]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = private.digests(private.find(private.searched(made), private.Judge())).collect()
+    found = {r.doc_id: [r[f"n_{k}"] for k in private.KINDS] for r in out}
+    kinds = [[s.split(":")[0] for s in plain(t).split(",")] for t in texts]
+    assert found == {i: [k.count(name) for name in private.KINDS] for i, k in enumerate(kinds)}
+    assert found[len(texts) - 1] == [2, 1, 1, 1]
+
+
 def test_empty(docs):
     assert private.personal_data(docs.limit(0)).count() == 0

@@ -347,9 +347,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def digests(found: DataFrame) -> DataFrame:
     """Counts of base spans per kind, the hash of their list, and the list of all spans."""
+    def count(kind: int) -> Column:  # a second parameter of the lambda would be the span's place in the array
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
     return found.select(
-        "doc_id", *[F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("bigint").alias(f"n_{k}")
-                    for i, k in enumerate(KINDS)],
+        "doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(named("base"), 256).alias("base_sha256"), named("spans").alias("spans"))
 
 
