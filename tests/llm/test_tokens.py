@@ -86,6 +86,11 @@ def test_cuts_cost_the_least(lengths, sentences):
     assert cost == least_cost(ends.tolist(), sentences, 1024)
 
 
+def test_every_sentence_end_can_be_a_cut():
+    close = np.array([1009, 1012, 1023])  # the last of three ends in a row leaves 1 token of padding in all
+    assert packing.cuts(np.array([2047]), close).tolist() == [0, 1023, 2047]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=80))
 def test_best_fit_is_that_of_a_plain_search(lengths):

@@ -33,14 +33,13 @@ HARD = 28
 GRID = 256
 BLOCK = 1 << 19
 EXACT = 512  # the power of two that is tried as an exact length
-CELL = 16  # of the sentence ends within so many tokens, the first can be a cut
+CELL = 1  # grain of sentence ends in tokens: each can be a cut
 
 
 def cuts(ends: np.ndarray, sentences: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Where to cut a stream: positions from 0 to its end. ``ends``: after each document;
     ``sentences``: after each sentence."""
     total = int(ends[-1])
-    sentences = sentences[np.unique(sentences // CELL, return_index=True)[1]]
     at = np.unique(np.concatenate([[0], ends, sentences, np.arange(0, total, GRID)]))
     price = np.full(len(at), HARD)
     price[np.searchsorted(at, sentences)] = SENTENCE
