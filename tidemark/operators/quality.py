@@ -61,8 +61,12 @@ def type_audit(held: DataFrame, stated: T.StructType) -> DataFrame:
 def referential_audit(child: DataFrame, ref: str, parent: DataFrame, key: str,
                       child_key: Sequence[str]) -> DataFrame:
     """Child rows whose ``ref`` names no parent row. A null ``ref`` names nothing and is not
-    an orphan, as in a database foreign key."""
-    parents = parent.select(F.col(key).alias("_key"))
+    an orphan, as in a database foreign key.
+
+    Both sides are of one size class and meet by sorting: sizes guessed from files do not know how many rows
+    a file becomes, and by them the keys of all parents could be sent through the driver.
+    """
+    parents = parent.select(F.col(key).alias("_key")).hint("merge")
     children = child.where(F.col(ref).isNotNull()).select(*dict.fromkeys([*child_key, ref]))
     return children.join(parents, F.col(ref) == F.col("_key"), "left_anti")
 
