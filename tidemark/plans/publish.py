@@ -47,6 +47,10 @@ from tidemark.sources.layers import (
 )
 
 
+ROW_GROUP = 8 * 1024 * 1024  # a file is taken to hold at most one row group per so many bytes, and one more
+BRANCHES = 64  # dates of one file each that a plan names one by one
+
+
 class PublicationRejected(RuntimeError):
     """A run does not hold exactly the records of its landing date."""
 
@@ -231,21 +235,27 @@ class Publisher:
         if attempt.facts["operation"] == NO_NEED:
             return None
         # Two tasks next to each other read more than one target, so twice the number is never exceeded.
-        expected = decisions[attempt.partition_date].expected_files
-        return expected if expected == 1 else 2 * expected
+        # Pieces of a file that hold no row group give no rows: with targets far below a file's size, most tasks would read
+        # nothing, and each still reports to the driver.
+        decision = decisions[attempt.partition_date]
+        filled = decision.input_files + decision.input_bytes // ROW_GROUP
+        return 1 if decision.expected_files == 1 else min(2 * decision.expected_files, filled)
 
     def write_runs(self, records: DataFrame, files: dict[date, int | None], run: str) -> None:
         """Write each date into at most its number of files; ``None`` keeps the file count.
 
         A large date keeps its own tasks and is not shuffled: ``records`` come packed by bytes, so each
         task reads at most one target file's worth of files and writes one file, however unequal they
-        are. Dates that fit one file are small and share one shuffle instead of a plan branch each.
+        are. Dates that fit one file are one task each, without a shuffle, as long as they are at most
+        ``BRANCHES``; more share one shuffle instead of a plan branch each.
         """
         date_column = F.col(LANDING_DATE)
         single = [d for d, n in files.items() if n == 1]
         kept = [d for d, n in files.items() if n is None]
         parts = []
-        if single:
+        if len(single) <= BRANCHES:
+            parts += [records.where(date_column == F.lit(d)).coalesce(1) for d in sorted(single)]
+        else:
             parts.append(records.where(date_column.isin(single))
                          .repartition(len(single), date_column))
         if kept:
