@@ -1,11 +1,11 @@
 """The derived layers: how they are laid out, and what their building moves."""
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import quality
+from tidemark.operators import history, quality
 from tidemark.operators.compaction import Thresholds
 from tidemark.operators.fingerprint import fingerprint
 from tidemark.plans import publish
@@ -13,7 +13,13 @@ from tidemark.plans.publish import Publisher
 from tidemark.schemas import LANDING_DATE, ORDERS, REFUNDS
 from tidemark.sources.layers import file_layout, landing_scan
 from workload import stages
-from workload.changes import changes, kafka_records, raw_records
+from workload.changes import changes, encoded, kafka_records, raw_records
+
+HELD = f"topic string, kafka_partition int, offset long, value string, {LANDING_DATE} date"
+IMAGE = "struct<id_order string, id_client string, status_order string, amount string, created_at string, updated_at string>"
+BARE = (f"before {IMAGE}, after {IMAGE}, source struct<lsn long, txId long, sequence string, ts_ms long>, "
+        "op string, ts_ms long")
+WRAPPED = f"payload struct<{BARE}>"
 
 
 @pytest.fixture(scope="module", params=[True], ids=["odd"])
@@ -116,3 +122,71 @@ def test_dates_of_one_file_are_rewritten_without_a_shuffle(spark, tables):
     done = job.publish(days)
     assert {r.output_files for r in done.collect()} == {1}
     assert Rewriting.seen[-1] == len(days)
+
+
+@pytest.fixture(scope="module")
+def late_tables(spark, tmp_path_factory):
+    """Orders some of whose changes cross the end of a quarter, of depths that real priorities do not have, and odd ones."""
+    place = str(tmp_path_factory.mktemp("late"))
+    ends = [datetime(1996, 3, 31, 22, 30), datetime(1996, 12, 31, 23, 59, 59), datetime(1997, 5, 5), None]
+    rows = [(None if i == 50 else i if i % 9 else -i, i % 7, [*"FOP", None][i % 4], (-1) ** i * 37.5 * i * i, ends[i // 10 % 4],
+             f"{i % 10}-X") for i in range(200)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                          "o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{place}/orders.parquet")
+    return place
+
+
+def test_lives_are_dealt_as_one_row_per_quarter(spark, late_tables):
+    seen = []
+    found = kafka_records(spark, late_tables, ORDERS, lambda rows: seen.append(rows) or rows)
+    due = kafka_records(spark, late_tables, ORDERS)
+    assert found.exceptAll(due).isEmpty() and due.exceptAll(found).isEmpty()
+    assert 200 <= seen[0].count() < 310 < due.count()
+    quarters = stages.ingested_at("timestamp")
+    dates = found.select(F.get_json_object(F.col("key").cast("string"), "$.id_order").alias("id"), quarters.alias("q"))
+    assert dates.where("q IS NOT NULL").groupBy("id").agg(F.count_distinct("q").alias("n")).where("n > 1").count() > 10
+
+
+def test_text_of_changes_is_that_of_a_json_writer(spark, late_tables):
+    values = kafka_records(spark, late_tables, ORDERS).where("value IS NOT NULL").select(F.col("value").cast("string").alias("v"))
+    wrapped = F.col("v").startswith('{"payload"')
+    for those, schema in ((wrapped, WRAPPED), (~wrapped, BARE)):
+        again = F.to_json(F.from_json("v", schema), {"ignoreNullFields": "false"})
+        assert values.where(those).count() > 20 and values.where(those & (again != F.col("v"))).isEmpty()
+
+
+def test_shortest_bytes(spark):
+    numbers = [0, 1, -1, 127, 128, -128, -129, 255, 256, 32767, 32768, -32768, -32769, 2**40, -2**40, 2**63 - 1, -2**63, None]
+    found = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", F.unbase64(encoded(F.col("n"))).alias("b")).collect()
+    for r in found:
+        size = None if r.n is None else next(k for k in range(1, 9) if -(1 << 8 * k - 1) <= r.n < 1 << 8 * k - 1)
+        assert r.b == (None if r.n is None else r.n.to_bytes(size, "big", signed=True))
+
+
+@pytest.fixture(scope="module")
+def copied(spark, tmp_path_factory):
+    """History files of three dates, some events on several."""
+    place = str(tmp_path_factory.mktemp("copied") / "history")
+    rows = [("t", o % 3, o, f"v{o}-{d}", date(2024, 1, d)) for o in range(3000) for d in (1, 2, 3) if o % (d + 1) == 0]
+    spark.createDataFrame(rows, HELD).repartition(5).write.partitionBy(LANDING_DATE).parquet(place)
+    return rows, spark.read.schema(HELD).parquet(place)
+
+
+@pytest.mark.parametrize("bitmaps", [history.BITMAPS, 0])
+def test_later_copies_are_left_out_where_rows_lie(spark, copied, monkeypatch, bitmaps):
+    rows, held = copied
+    monkeypatch.setattr(history, "BITMAPS", bitmaps)
+    repeated = spark.createDataFrame([("t", o % 3, o) for o in range(0, 2400)] * 2, "topic string, kafka_partition int, offset long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = history.without_repeats(held, repeated)
+        assert found.columns == held.columns
+        tree = plan(found, "sparkPlan")
+        assert ("SortMergeJoin" in tree) == (bitmaps == 0) and "Aggregate" not in tree
+        got = sorted(tuple(r) for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    first = {}
+    for r in rows:
+        first.setdefault(r[2], r[4])
+    assert got == sorted(r for r in rows if r[2] >= 2400 or r[4] == first[r[2]])

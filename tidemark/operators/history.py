@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.offsets import BITS
 from tidemark.operators.quality import domain_rules
 from tidemark.schemas import IDENTITY, LANDING_DATE, Entity
 from tidemark.session import written
 
 MEASURES = ("topic string, kafka_partition int, cdc_operation string, events bigint, violations array<bigint>, "
             "keys binary, latency binary")
+BITMAPS = 16_384  # of 4 KB each: the most that are sent to every executor
 SKETCH_BITS = 12  # standard error of distinct counts about 1.6 %
 
 
@@ -91,7 +93,27 @@ def once_per_date(batch: DataFrame, arrived: DataFrame) -> DataFrame:
 
 
 def without_repeats(history: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``history`` in which the identities of ``repeated`` keep their earliest copy only."""
+    """``history``, a read of files, in which the identities of ``repeated`` keep their copy of the earliest landing date only.
+
+    Copies are compared by identity, date and place in their files. What is to be left out is a bit per row of a file,
+    so that whole rows stay where they are read, unless there are more than ``BITMAPS`` bitmaps.
+    """
     once = repeated.select(*IDENTITY).distinct()
-    untouched = history.join(once, list(IDENTITY), "left_anti")
-    return untouched.unionByName(distinct_events(history.join(once, list(IDENTITY), "left_semi")))
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = written(history.select(path.alias("path")).distinct().select(
+        "path", F.monotonically_increasing_id().alias("file")), "files")
+    placed = history.select(*IDENTITY, LANDING_DATE, path.alias("path"), row.alias("row")).join(
+        F.broadcast(files), "path").drop("path")  # a row per file
+    copies = placed.join(once, list(IDENTITY), "left_semi")
+    order = Window.partitionBy(*IDENTITY).orderBy(LANDING_DATE, "file", "row")
+    later = copies.withColumn("n", F.row_number().over(order)).where("n > 1").select(
+        "file", F.shiftright("row", BITS).alias("block"), F.col("row").bitwiseAND(F.lit((1 << BITS) - 1)).alias("place"))
+    dropped = later.repartition("file", "block").groupBy("file", "block").agg(F.bitmap_construct_agg("place").alias("bits"))
+    dropped = written(dropped.join(F.broadcast(files), "file").drop("file"), "later-copies")
+    few = dropped.limit(BITMAPS + 1).count() <= BITMAPS
+    place = F.col("row").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    kept = F.col("bits").isNull() | (F.getbit(byte, place.bitwiseAND(F.lit(7))) == 0)
+    marked = history.select("*", path.alias("path"), row.alias("row"), F.shiftright(row, BITS).alias("block")).join(
+        F.broadcast(dropped) if few else dropped, ["path", "block"], "left")
+    return marked.where(kept).select(*history.columns)
