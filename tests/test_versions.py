@@ -83,3 +83,13 @@ def test_empty(spark):
     assert versions.versions(none, ORDERS).count() == 0
     assert versions.as_of(none.select("id_order", "source_lsn"), none.select("id_order", "source_lsn", "offset"),
                           "id_order", "source_lsn", "offset", ("offset",)).count() == 0
+
+
+def test_sides_are_made_once_when_keys_are_divided(spark):
+    rows = event_frame(spark, changes())
+    left = rows.select("id_order", "source_lsn")
+    right = rows.select("id_order", "source_lsn", "offset", "status_order")
+    found = versions.as_of(left, right, "id_order", "source_lsn", "offset", ("status_order",), hot=7)
+    read = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in read and "Relation" in read and "RDD" not in read and "LocalRelation" not in read
+    assert found.count() == rows.count()

@@ -63,8 +63,8 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, tie: str, carry:
     """``left`` with the columns ``carry`` of the last row of ``right`` with the same ``key`` at or before
     its own position ``at``; null where there is none. Among right rows of one position the largest ``tie`` counts.
 
-    Both sides are laid into one order and each left row takes what was seen last, so every row moves
-    once, however many right rows a left row could meet.
+    Both sides are written once, as they are read several times, and laid into one order, in which each left row takes
+    what was seen last, so every row moves once, however many right rows a left row could meet.
     """
     seen = F.struct(*[F.col(c).alias(c) for c in carry])
     none = F.lit(None)
@@ -75,18 +75,18 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, tie: str, carry:
     lefts = left.select(F.col(key).alias("k"), F.col(at).alias("p"), F.lit(1).alias("side"),
                         none.cast(rights.schema["t"].dataType).alias("t"), none.cast(kind).alias("seen"), own.alias("row"))
     row_kind = lefts.schema["row"].dataType
-    both = rights.withColumn("row", none.cast(row_kind)).unionByName(lefts)
+    both = written(rights.withColumn("row", none.cast(row_kind)).unionByName(lefts), "as-of")
     rows, divided = _with_stretch(both, "k", "p", hot)
     order = Window.partitionBy("k", "stretch").orderBy("p", "side", "t")
     last = F.last("seen", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     met = rows.withColumn("found", last).where("side = 1")
     if divided:
-        ends = rows.where("side = 0").groupBy("k", "stretch").agg(
-            F.max_by("seen", F.struct("p", "t")).alias("final"))
+        ends = rows.groupBy("k", "stretch").agg(
+            F.max_by("seen", F.when(F.col("side") == 0, F.struct("p", "t"))).alias("final"))
         # Every stretch of a left row needs what the stretches before it ended with.
-        every = rows.select("k", "stretch").distinct().join(ends, ["k", "stretch"], "left")
         before = Window.partitionBy("k").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-        carried = every.select("k", "stretch", F.last("final", ignorenulls=True).over(before).alias("carried"))
+        carried = ends.select("k", "stretch", F.last("final", ignorenulls=True).over(before).alias("carried")).where(
+            "carried IS NOT NULL")
         met = met.join(carried, ["k", "stretch"], "left").withColumn("found", F.coalesce("found", "carried"))
     absent = F.col("k").isNull()  # a null key meets nothing
     found: list[Column] = [F.when(~absent, F.col(f"found.{c}")).alias(c) for c in carry]
