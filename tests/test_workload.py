@@ -14,6 +14,7 @@ from tidemark.schemas import LANDING_DATE, ORDERS, REFUNDS
 from tidemark.sources.layers import file_layout, landing_scan
 from workload import stages
 from workload.changes import changes, encoded, kafka_records, raw_records
+from workload.queries import QUERIES
 
 HELD = f"topic string, kafka_partition int, offset long, value string, {LANDING_DATE} date"
 IMAGE = "struct<id_order string, id_client string, status_order string, amount string, created_at string, updated_at string>"
@@ -163,6 +164,11 @@ def test_shortest_bytes(spark):
         assert r.b == (None if r.n is None else r.n.to_bytes(size, "big", signed=True))
 
 
+def test_changes_sent_to_several_topics_are_made_once(spark, sf):
+    tree = plan(QUERIES["cdc_quarantine"](spark, sf))
+    assert tree.count("Relation [o_orderkey") == 1 and "Repartition" in tree
+
+
 @pytest.fixture(scope="module")
 def copied(spark, tmp_path_factory):
     """History files of three dates, some events on several."""
